@@ -77,14 +77,14 @@ def reading_checks(
     """Every usable reading with what speaks against it, measured by its own interface.
 
     Columns: exporter, ifindex, us, in_oct, rate, speed, median (of the interface's rates above zero), expected (trend +
-    seasonal), residual, contradicted, over_speed, outlier, far_above, stuck.
+    seasonal), residual, contradicted, over_speed, outlier, off_level, far_above, stuck.
 
     Decomposition: seasonal = median rate of the hour of day less the interface's median; trend = median per day of what
-    is left; both robust and mergeable (quantile sketches of 1e-3 rank error).  outlier: the residual, or the plain
-    deviation from the interface's median, exceeds the limit of a generalised extreme studentised deviate test at alpha.
-    The test takes its scale from the median absolute deviation and keeps it while it removes points; up to half of the
-    points may go.  far_above: an outlier whose rate is at least factor times median.  No such rate escapes the test:
-    rates are not negative, so their median absolute deviation is at most their median, hence the plain deviation of a
+    is left; both robust and mergeable (quantile sketches of 1e-3 rank error).  outlier: the residual
+    exceeds the limit of a generalised extreme studentised deviate test at alpha; off_level: the plain deviation from the
+    interface's median does (so a high rate that comes every day is seen, too).  The test takes its scale from the median
+    absolute deviation and keeps it while it removes points; up to half of the points may go.  far_above: outlier or
+    off_level, and the rate is at least factor times median.  No such rate escapes the test on the plain deviation: rates are not negative, so their median absolute deviation is at most their median, hence the plain deviation of a
     rate of 15 medians is at least 14 / 1.4826 = 9.4 deviations, and the limit stays below 7 up to 1e10 readings.
     over_speed: rate above the interface's largest known speed.  stuck: see stuck_runs, all but the first of a run.
 
@@ -142,13 +142,14 @@ def reading_checks(
         .join(stuck_runs(steps, run, repeat_share), [*KEYS, "chunk"], "left")
     )
     z = lambda deviation, mad, limit: F.coalesce((score(deviation, F.col(mad)) > 2.5) & (step(score(deviation, F.col(mad))) >= F.col(limit)), F.lit(False))
-    outlier = z(F.col("rate") - expected, "mad_rest", "limit_rest") | z(level, "mad_level", "limit_level")
+    outlier = z(F.col("rate") - expected, "mad_rest", "limit_rest")
+    off_level = z(level, "mad_level", "limit_level")
     false = F.lit(False)
-    return steps.join(facts, [*KEYS, "chunk"]).withColumn("outlier", outlier).select(
+    return steps.join(facts, [*KEYS, "chunk"]).withColumn("outlier", outlier).withColumn("off_level", off_level).select(
         *KEYS, "us", "in_oct", "rate", "speed", "median", expected.alias("expected"), (F.col("rate") - expected).alias("residual"),
         "contradicted",
-        F.coalesce(F.col("rate") > F.col("speed"), false).alias("over_speed"), "outlier",
-        F.coalesce(F.col("outlier") & (F.col("rate") >= factor * F.col("median")), false).alias("far_above"),
+        F.coalesce(F.col("rate") > F.col("speed"), false).alias("over_speed"), "outlier", "off_level",
+        F.coalesce((F.col("outlier") | F.col("off_level")) & (F.col("rate") >= factor * F.col("median")), false).alias("far_above"),
         (~F.col("contradicted") & F.coalesce((F.col("in_oct") == F.col("prev_oct")) & F.array_contains("stuck_runs", F.col("run_us")), false)).alias("stuck"),
     )
 
