@@ -1 +1 @@
-"""functions."""
+"""Column functions of the flow model."""

@@ -1 +1 @@
-"""plans."""
+"""What is asked for, and which tables answer it."""
