@@ -1 +1 @@
-"""detect."""
+"""Detection rules over flow rows and the findings they make."""

@@ -1 +1 @@
-"""maintain."""
+"""Keeping the stored tables: sealing, retention, purging, repair."""
