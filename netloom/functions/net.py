@@ -34,7 +34,7 @@ def _lookup(table: dict[int, str], key: Column) -> Column:
 def ipv4_number(a: Column) -> Column:
     """The number of a dotted quad, 0 for any other address."""
     p = F.split(a, r"\.")
-    n = p[0].cast("long") * 16_777_216 + p[1].cast("long") * 65_536 + p[2].cast("long") * 256 + p[3].cast("long")
+    n = sum((F.get(p, F.lit(i)).try_cast("long") * 256 ** (3 - i) for i in range(1, 4)), F.get(p, F.lit(0)).try_cast("long") * 256**3)
     return F.when(a.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), n).otherwise(F.lit(0).cast("long"))
 
 
@@ -43,7 +43,7 @@ def address_key(a: Column) -> Column:
     v4 = F.concat(F.lit("4"), F.lpad(F.lower(F.hex(ipv4_number(a))), 8, "0"))
     halves = F.split(a, "::")
     words = lambda h: F.filter(F.split(h, ":"), lambda x: x != "")
-    left = words(halves[0])
+    left = words(F.get(halves, F.lit(0)))
     right = F.when(F.size(halves) > 1, words(F.try_element_at(halves, F.lit(2)))).otherwise(F.array().cast("array<string>"))
     gap = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
     full = F.concat(left, F.array_repeat(F.lit("0"), gap), right)

@@ -1 +1 @@
-"""streaming."""
+"""Records into flow rows and summaries as they come."""
