@@ -3,6 +3,8 @@ grouping columns, the shown form and, in the registered checks, the SQL."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 U64 = 18_446_744_073_709_551_615
@@ -18,7 +20,7 @@ SERVICE = f"concat({PORT}, chr(9), app)"
 
 def unsigned_sum(c: Column | str) -> Column:
     """Sum that stops at 2**64 - 1, as decimal(20,0); for columns that may hold more than a signed sum can."""
-    return F.least(F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(20,0)")), F.lit(U64).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return F.least(F.sum((F.col(c) if isinstance(c, str) else c).cast("decimal(20,0)")), F.lit(Decimal(U64)).cast("decimal(20,0)")).cast("decimal(20,0)")
 
 
 def total(c: str) -> Column:

@@ -51,8 +51,14 @@ def address_key(a: Column) -> Column:
     return F.when(a.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), v4).when(a.rlike("^[0-9A-Fa-f:]*:[0-9A-Fa-f:]*$") & (F.length(v6) == 33), v6)
 
 
+def is_address(a: Column) -> Column:
+    """Whether a text has the form of an address; one look at it, where address_key takes it apart."""
+    return a.rlike(r"^(\d{1,3}(\.\d{1,3}){3}|[0-9A-Fa-f:]*:[0-9A-Fa-f:]*)$")
+
+
 def special(key: Column) -> Column:
-    """Whether an address key lies in a range that is internal everywhere."""
+    """Whether an address key lies in a range that is internal everywhere. Give a column, not an expression: it is compared
+    with every range."""
     inside = F.lit(False)
     for lo, hi in SPECIAL.values():
         inside = inside | key.between(lo, hi)

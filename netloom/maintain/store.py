@@ -45,7 +45,9 @@ class Store:
         return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def exists(self, table: str) -> bool:
-        return self._fs().exists(self._path(table))
+        """Whether the table holds anything; dropped partitions leave empty folders."""
+        fs, at = self._fs(), self._path(table)
+        return fs.exists(at) and fs.getContentSummary(at).getLength() > 0
 
     def check_format(self) -> None:
         """Refuse data written by a later version; mark a new folder with this one."""

@@ -36,7 +36,7 @@ def plausible(now: datetime) -> Column:
     size, packets = F.coalesce("bytes", F.lit(0)), F.coalesce("packets", F.lit(0))
     time = lambda c: F.col(c).isNull() | ((F.year(c) >= FIRST_YEAR) & (F.col(c) < F.lit(now + timedelta(hours=48))))
     return (
-        net.address_key(F.col("src")).isNotNull() & net.address_key(F.col("dst")).isNotNull() & time("start") & time("end")
+        net.is_address(F.col("src")) & net.is_address(F.col("dst")) & time("start") & time("end")
         & (mult <= MOST_MULT) & (size * mult <= MOST_BYTES) & (packets * mult <= MOST_BYTES) & ((packets == 0) | (size <= packets * MOST_PACKET + packets - 1))
     )
 
@@ -119,9 +119,8 @@ def _joined(rows: DataFrame, facts: DataFrame, side: str) -> DataFrame:
     return rows.join(facts.withColumnRenamed("addr", side), side, "left")
 
 
-def default_segment(addr: Column) -> Column:
+def default_segment(addr: Column, key: Column) -> Column:
     """The /24 or /48 an address lies in."""
-    key = net.address_key(addr)
     v6 = F.concat_ws(":", *[F.regexp_replace(F.substring(key, 2 + 4 * i, 4), "^0+(?=.)", "") for i in range(3)])
     v6 = F.regexp_replace(F.regexp_replace(v6, "(:0)+$", ""), "^0$", "")
     return F.when(key.startswith("4"), F.concat(F.regexp_replace(addr, r"\.\d+$", ".0"), F.lit("/24"))).otherwise(F.concat(v6, F.lit("::/48")))
@@ -137,14 +136,15 @@ def enriched(records: DataFrame, nets: DataFrame | None = None, asns: DataFrame
     out = records.withColumn("_c", client_first).withColumn("client", F.when(F.col("_c"), F.col("src")).otherwise(F.col("dst")))
     out = out.withColumn("server", F.when(F.col("_c"), F.col("dst")).otherwise(F.col("src"))).withColumn("_sp", F.when(F.col("_c"), F.col("dst_port")).otherwise(F.col("src_port"))).drop("_c")
     addresses = out.select(F.col("client").alias("addr")).unionByName(out.select(F.col("server").alias("addr"))).distinct()
-    facts = addresses.withColumn("inside", net.special(net.address_key(F.col("addr"))))
+    # The key is a column of its own before it is used many times over.
+    facts = addresses.withColumn("key", net.address_key(F.col("addr"))).withColumn("inside", net.special(F.col("key")))
     named = ranges.longest_prefix(addresses, nets, ["name"]).withColumnRenamed("name", "net") if nets is not None else None
     facts = facts.join(named, "addr", "left") if named is not None else facts.withColumn("net", F.lit(None).cast("string"))
     found = ranges.first_listed(addresses, threats, ["list"]) if threats is not None else None
     facts = facts.join(found, "addr", "left") if found is not None else facts.withColumn("list", F.lit(None).cast("string"))
     who = ranges.asn_of(addresses, asns) if asns is not None else None
     facts = facts.join(who, "addr", "left") if who is not None else facts.select("*", F.lit(None).cast("long").alias("asn"), F.lit(None).cast("string").alias("cc"), F.lit(None).cast("string").alias("org"))
-    facts = facts.select("addr", (F.col("inside") | F.col("net").isNotNull()).alias("int"), F.coalesce("net", default_segment(F.col("addr"))).alias("seg"), "list", "asn", "cc", "org")
+    facts = facts.select("addr", (F.col("inside") | F.col("net").isNotNull()).alias("int"), F.coalesce("net", default_segment(F.col("addr"), F.col("key"))).alias("seg"), "list", "asn", "cc", "org")
     for side, p in (("client", "c_"), ("server", "s_")):
         out = _joined(out, facts.select("addr", *[F.col(x).alias(p + x) for x in facts.columns[1:]]), side)
     out = out.withColumn("dir", net.direction(F.col("c_int"), F.col("s_int")))

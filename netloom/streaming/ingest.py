@@ -78,7 +78,7 @@ def decoded(datagrams: DataFrame) -> DataFrame:
         state.update((pickle.dumps(session),))
         state.setTimeoutDuration(netflow.HOLD_S * 1000)
         out = pd.DataFrame(rows, columns=names)
-        out["arrived"] = pd.to_datetime(out["arrived"], unit="s", utc=True).dt.tz_localize(None)
+        out["arrived"] = pd.to_datetime(out["arrived"], unit="s", utc=True).dt.tz_localize(None).astype("datetime64[us]")
         out["arrival_seq"] = out["arrival_seq"].fillna(0)
         yield plain(out)
 

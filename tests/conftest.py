@@ -9,6 +9,6 @@ from netloom.session import local_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4, "4g")
+    session = local_session(4, 2, "4g")
     yield session
     session.stop()
