@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -36,14 +37,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
     What follows reads the table, so a lost executor costs its tasks only, and a frame used several times is computed
-    once.  The tables live until :func:`release` or the end of the session.
+    once.  The tables live until :func:`release` or the end of the session.  by: lay the rows out by these columns, in as
+    many buckets as shuffles have partitions, so that joins on them don't move the rows again.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if by:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        table = f"netloom_{path.rsplit('-', 1)[1]}"
+        df.repartition(n, *by).write.option("compression", "zstd").option("path", path).bucketBy(n, *by).saveAsTable(table)
+        _tables.append(table)
+        return spark.table(table)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +59,8 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Delete the shared tables of this application."""
     try:
+        while _tables:
+            spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
         path = _own.pop(spark.sparkContext.applicationId, None)
         if path:
             jvm = spark.sparkContext._jvm

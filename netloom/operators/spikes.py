@@ -92,7 +92,7 @@ def reading_checks(
     only be contradicted or stuck; an empty table gives an empty result; other columns don't matter.  Statistics reach the
     readings through one row per (interface, chunk of time), so no task holds an interface.
     """
-    steps = cut(reading_steps(ifc, skew_us).withColumn("rate", rate(gap_us)).withColumn("hour", (F.pmod(floor_div(F.col("us"), HOUR_US), F.lit(24))).cast("int")), "rates")
+    steps = cut(reading_steps(ifc, skew_us).withColumn("rate", rate(gap_us)).withColumn("hour", (F.pmod(floor_div(F.col("us"), HOUR_US), F.lit(24))).cast("int")), "rates", [*KEYS, "chunk"])
     rates = steps.where(F.col("rate").isNotNull()).select(*KEYS, "chunk", "hour", "us", "rate")
     chunks = steps.select(*KEYS, "chunk").distinct().withColumn("day", floor_div(F.col("chunk") * CHUNK_US, DAY_US))
 
