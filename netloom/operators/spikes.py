@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netloom.core.columns import floor_div
 from netloom.core.counters import CHUNK_US, HOUR_US, KEYS, interface_speed, rate, reading_steps
-from netloom.core.order_stats import exact_medians
+from netloom.core.order_stats import bracket, bracketed_medians
 from netloom.core.shared import cut
 
 DAY_US = 24 * HOUR_US
@@ -96,7 +96,7 @@ def reading_checks(
     rates = steps.where(F.col("rate").isNotNull()).select(*KEYS, "chunk", "hour", "us", "rate")
     chunks = steps.select(*KEYS, "chunk").distinct().withColumn("day", floor_div(F.col("chunk") * CHUNK_US, DAY_US))
 
-    middle = rates.groupBy(*KEYS).agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle"), F.count("*").alias("n"))
+    middle = rates.groupBy(*KEYS).agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle"), bracket(F.when(F.col("rate") > 0, F.col("rate"))).alias("ends"), F.count("*").alias("n"))
     hours = rates.groupBy(*KEYS, "hour").agg(F.percentile_approx("rate", 0.5, 1_000).alias("typical"))
     season = hours.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("hour", "typical"))).alias("typical"))
     base = cut(chunks.join(middle.join(season, KEYS), KEYS), "season")
@@ -132,7 +132,7 @@ def reading_checks(
         .groupBy(*KEYS)
         .agg(F.min(F.when(F.col("kind") == "rest", F.col("at"))).alias("limit_rest"), F.min(F.when(F.col("kind") == "level", F.col("at"))).alias("limit_level"))
     )
-    medians = exact_medians(rates.where("rate > 0"), KEYS, "rate")
+    medians = bracketed_medians(rates.where("rate > 0").join(base.select(*KEYS, "chunk", "ends"), [*KEYS, "chunk"]), KEYS, "rate", "ends")
     facts = (
         chunks.select(*KEYS, "chunk")
         .join(base, [*KEYS, "chunk"], "left")

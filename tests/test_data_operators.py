@@ -7,7 +7,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.core.order_stats import exact_medians
+from netloom.core.order_stats import bracket, bracketed_medians
 from netloom.core.shared import new_path
 from netloom.operators import grid, late, rolling, spikes
 
@@ -107,9 +107,11 @@ def test_stuck_across_chunks_and_empty(spark):
 
 def test_exact_medians(spark):
     rng = Random(1)
-    data = {g: [rng.choice([rng.uniform(-5, 5), 0.0, 2.0, 1e12]) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 999), ("d", 1000))}
+    data = {g: [rng.choice([rng.uniform(-5, 5), 0.0, 2.0, 1e12]) for _ in range(n)] for g, n in (("a", 1), ("b", 2), ("c", 999), ("d", 1000), ("f", 20_000))}
+    data["g"] = [rng.random() for _ in range(20_001)]
     df = spark.createDataFrame([(g, v) for g, vs in data.items() for v in vs] + [("a", None), ("e", None)], "g string, v double")
-    assert {r.g: r.median for r in exact_medians(df, ["g"], "v").collect()} == {g: median(v) for g, v in data.items()}
+    rows = df.join(df.groupBy("g").agg(bracket(F.col("v")).alias("ends")), "g")
+    assert {r.g: r.median for r in bracketed_medians(rows, ["g"], "v", "ends").collect()} == {g: median(v) for g, v in data.items()}
 
 
 HOST = "ts timestamp, ip string, role short, internal boolean, bytes long, wire long, pkts long, flows long, arrival_seq long, arrived timestamp, day string"
