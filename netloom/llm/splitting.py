@@ -15,8 +15,8 @@ from netloom.llm import tokens
 
 #: Strength of a boundary; the strongest are the last to be merged away.
 ANYWHERE, WORD, SENTENCE, LINE, PARAGRAPH, HEADING = range(6)
-BOUNDARY = re.compile(
-    r"(?P<h>(?:\r?\n)+(?=\#{1,6}[ \t]|<h[1-6]|={3,}|-{3,}))|(?P<p>\r?\n[ \t]*(?:\r?\n[ \t]*)+|</p>\s*)|(?P<l>\r?\n)|(?P<s>[.!?…][\"')\]»”]*(?=\s)|[。！？][」』）”]*)"
+BOUNDARY = re.compile(  # the first look is at one character
+    r"(?=[\r\n<.!?…。！？])(?:(?P<h>(?:\r?\n)+(?=\#{1,6}[ \t]|<h[1-6]|={3,}|-{3,}))|(?P<p>\r?\n[ \t]*(?:\r?\n[ \t]*)+|</p>\s*)|(?P<l>\r?\n)|(?P<s>[.!?…][\"')\]»”]*(?=\s)|[。！？][」』）”]*))"
 )
 STRENGTH = {"h": HEADING, "p": PARAGRAPH, "l": LINE, "s": SENTENCE}
 
