@@ -16,6 +16,7 @@ from netloom.sources import netflow
 
 #: How far back in data time reports of a minute are compared.
 WINDOW = timedelta(minutes=8)
+ARRIVAL_DELAY = "10 minutes"
 
 
 def plain(df: pd.DataFrame) -> pd.DataFrame:
@@ -58,7 +59,8 @@ def marked(rows: DataFrame, window: timedelta = WINDOW) -> DataFrame:
 def decoded(datagrams: DataFrame) -> DataFrame:
     """Records of version 5, 9 and IPFIX datagrams, with the state of each exporter kept between batches.
 
-    Sets wait for their template and records for their rate, five minutes at most.
+    Sets wait for their template and records for their rate, five minutes at most by the arrival of datagrams, which the
+    receiver stamps; receivers may lie ARRIVAL_DELAY apart.
     """
     names = [c.split()[0] for c in STREAMED.split(", ")]
 
@@ -66,7 +68,7 @@ def decoded(datagrams: DataFrame) -> DataFrame:
         session = pickle.loads(state.get[0]) if state.exists else netflow.Session()
         rows = []
         if state.hasTimedOut:
-            rows = session._rated([], state.getCurrentProcessingTimeMs() / 1000)
+            rows = session._rated([], state.getCurrentWatermarkMs() / 1000)
         else:
             for df in frames:
                 for raw, arrived, seq in df.sort_values("arrival_seq")[["payload", "arrived", "arrival_seq"]].itertuples(index=False):
@@ -76,13 +78,15 @@ def decoded(datagrams: DataFrame) -> DataFrame:
                         continue
                     rows += [r | {"arrival_seq": seq * 1_000 + k} for k, r in enumerate(got)]
         state.update((pickle.dumps(session),))
-        state.setTimeoutDuration(netflow.HOLD_S * 1000)
+        if session.waiting or session.sets:
+            state.setTimeoutTimestamp(state.getCurrentWatermarkMs() + netflow.HOLD_S * 1000 + 1)
         out = pd.DataFrame(rows, columns=names)
         out["arrived"] = pd.to_datetime(out["arrived"], unit="s", utc=True).dt.tz_localize(None).astype("datetime64[us]")
         out["arrival_seq"] = out["arrival_seq"].fillna(0)
         yield plain(out)
 
-    return datagrams.groupBy("exporter").applyInPandasWithState(take, STREAMED, "session binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = datagrams.withWatermark("arrived", ARRIVAL_DELAY)
+    return timed.groupBy("exporter").applyInPandasWithState(take, STREAMED, "session binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 STREAMED = (
