@@ -46,7 +46,7 @@ def rates(samples: DataFrame, weight: float = 0.6) -> DataFrame:
     """
     w = Window.partitionBy("exporter").orderBy("at")  # one row per exporter and interval of the sampler
     now = (F.col("records") - F.lag("records").over(w)) / (F.col("at") - F.lag("at").over(w))
-    each = samples.withColumn("r", F.greatest(now, F.lit(0.0))).where("r is not null")
+    each = samples.withColumn("r", now).where("r is not null").withColumn("r", F.greatest("r", F.lit(0.0)))
     near = each.withColumn("last", F.collect_list("r").over(w.rowsBetween(-15, 0)))
     first = F.get("last", F.lit(0))
     smooth = F.aggregate(F.slice("last", 2, 16), first, lambda a, x: a * (1 - weight) + x * weight)
