@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from netloom.core.shared import cut
 from netloom.functions import net
 from netloom.operators import ranges
 
@@ -145,6 +146,7 @@ def enriched(records: DataFrame, nets: DataFrame | None = None, asns: DataFrame
     who = ranges.asn_of(addresses, asns) if asns is not None else None
     facts = facts.join(who, "addr", "left") if who is not None else facts.select("*", F.lit(None).cast("long").alias("asn"), F.lit(None).cast("string").alias("cc"), F.lit(None).cast("string").alias("org"))
     facts = facts.select("addr", (F.col("inside") | F.col("net").isNotNull()).alias("int"), F.coalesce("net", default_segment(F.col("addr"), F.col("key"))).alias("seg"), "list", "asn", "cc", "org")
+    facts = cut(facts, "facts")  # used for both ends
     for side, p in (("client", "c_"), ("server", "s_")):
         out = _joined(out, facts.select("addr", *[F.col(x).alias(p + x) for x in facts.columns[1:]]), side)
     out = out.withColumn("dir", net.direction(F.col("c_int"), F.col("s_int")))
