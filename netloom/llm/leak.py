@@ -97,7 +97,7 @@ def regions(index: Index, text: str, window: int, edits: int) -> list[tuple[int,
     A stretch of window characters with e differences shares at least window - Q + 1 - Q * e q-grams with the item, on
     diagonals no more than e apart.  First the q-grams of any item are counted in windows of the text; what reaches the
     bound is looked up and counted again per item in overlapping bands of 2 * edits + 1 diagonals, laid out twice, so that
-    every set of diagonals at most edits apart lies inside one band.
+    every set of diagonals at most edits apart lies inside one band.  Without edits a stretch ends where its q-grams do.
     """
     need = window - Q + 1 - Q * edits
     span = window - Q + 1 + edits
@@ -144,7 +144,7 @@ def regions(index: Index, text: str, window: int, edits: int) -> list[tuple[int,
         np.add.at(ok, end[end < len(d)], -1)
         inside = np.cumsum(ok) > 0
         index_in = np.flatnonzero(inside)
-        cuts = np.flatnonzero((np.diff(index_in) > 1) | (np.diff(group[index_in]) > 0) | (np.diff(d[index_in]) > span)) + 1
+        cuts = np.flatnonzero((np.diff(index_in) > 1) | (np.diff(group[index_in]) > 0) | (np.diff(d[index_in]) > (span if edits else 1))) + 1
         for part in np.split(index_in, cuts):
             x, y = part[0], part[-1]
             found.add((int(key_item[x]), int(d[x]), int(d[y]) + Q, int(a[part].min()), int(a[part].max()) + Q))

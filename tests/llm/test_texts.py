@@ -101,6 +101,18 @@ def test_leaks_against_word_windows(spark):
     assert leak.shared_words(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_stretches_parted_by_an_equally_long_word(spark):
+    passage = "unmistakable correspondents everywhere acknowledged extraordinarily complicated 20 a b c d e f g h i j k l m n o p q r"
+    texts = [passage.replace("20", "35"), passage.replace("20 a", "20 z"), passage.replace(" h ", " 7 ")]
+    items = spark.createDataFrame([(0, passage)], "item_id long, passage string")
+    assert {tuple(r) for r in leak.shared_words(docs(spark, texts), items).collect()} == {(0, 0), (1, 0), (2, 0)}
+    # The next document may begin where the diagonal of this one's end goes on.
+    head, tail = passage.split(" 20 ")
+    items = spark.createDataFrame([(0, f"{head} 2 {tail}")], "item_id long, passage string")
+    got = leak.shared_words(docs(spark, [head, tail]).coalesce(1), items).collect()
+    assert {tuple(r) for r in got} == {(1, 0)}
+
+
 def test_many_blocks_and_long_documents(spark, monkeypatch):
     rng = Random(8)
     passages = [" ".join(f"p{k}x{rng.randint(0, 9999)}" for _ in range(40)) for k in range(9)]
