@@ -195,6 +195,63 @@ def alignment(a: str, b: str, most: int) -> int | None:
     return None
 
 
+def reaches(a: str, b: str, most: int) -> tuple[list[int], list[int]]:
+    """Per number of edits up to `most`: the longest prefix of a alike to a prefix of b, and the longest that ends with Q equal
+    characters (or is equal throughout)."""
+    far = {0: same_length(a, 0, b, 0)}
+    free, firm = [far[0]], [far[0]]
+    for e in range(1, most + 1):
+        grown: dict[int, int] = {}
+        end = firm[-1]
+        for d in range(-e, e + 1):
+            i = max(far.get(d, -9) + 1, far.get(d - 1, -9), far.get(d + 1, -9) + 1)
+            i = min(i, len(a), len(b) - d)
+            if i >= 0 and i + d >= 0:
+                n = same_length(a, i, b, i + d)
+                grown[d] = i + n
+                end = i + n if n >= Q and i + n > end else end
+        far = grown
+        free.append(max(free[-1], *far.values()))
+        firm.append(end)
+    return free, firm
+
+
+def alike_parts(text: str, a: int, b: int, lo: int, hi: int, item: str, c: int, d: int, size: int, edits: int) -> set[tuple[int, int, int]]:
+    """(words, chars, edits) of the parts of text[a:b] and item[c:d] that hold `size` characters of the item with at most edits
+    differences, each grown as far as edits per size characters allow, inside text[lo:hi].
+
+    Of `size` characters with e differences at least (size - e) / (e + 1) are equal in a row; so every such part is found by
+    growing both ways from the equal stretches of that length, which lie at most 2 * edits diagonals from that of (a, c).
+    """
+    least = max(1, -(-(size - edits) // (edits + 1)))
+    most = edits * -(-(d - c) // size)
+    t, p = codes_of(text[a:b]), codes_of(item)
+    parts = set()
+    for diagonal in range(a - c - 2 * edits, a - c + 2 * edits + 1):
+        x0, x1 = max(a, diagonal), min(b, diagonal + len(p))
+        if x1 - x0 < least:
+            continue
+        same = np.concatenate(([False], t[x0 - a : x1 - a] == p[x0 - diagonal : x1 - diagonal], [False]))
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        for x, y in zip(turns[::2], turns[1::2]):
+            if y - x < least:
+                continue
+            x, y = int(x) + x0, int(y) + x0
+            if not lo <= x < hi:
+                continue
+            left = item[: x - diagonal][::-1], text[max(lo, x - len(item) - most) : x][::-1]
+            right = item[y - diagonal :], text[y : min(hi, y + len(item) + most)]
+            before, after = reaches(*left, edits)[0], reaches(*right, edits)[0]
+            e = next((e for e in range(edits + 1) if max(before[k] + after[e - k] for k in range(e + 1)) + y - x >= size), None)
+            if e is None:
+                continue
+            before, after = reaches(*left, most)[1], reaches(*right, most)[1]
+            grown = [(before[k] + y - x + after[n], -k - n) for k in range(most + 1) for n in range(most + 1 - k)]
+            chars, minus = max([(size, -e)] + [g for g in grown if g[0] >= size and -g[1] <= edits * -(-g[0] // size)])
+            parts.add((max(0, item.count(" ", x - diagonal, y - diagonal) - 1), chars, -minus))
+    return parts
+
+
 def exact_words(text: str, at: int, item: str, start: int, length: int) -> int:
     """Most consecutive whole words in a common stretch through text[at:] and item[start:]; blanks enclose every word."""
     best, i = 0, 0
@@ -252,15 +309,22 @@ def search(index: Index, words: int, edits: int, window: int | None):
         ends = np.cumsum([len(p) + 1 for _, p in pack])
         got = []
         for item, a, b, c, d in regions(index, text, size, edits):
-            doc = pack[int(np.searchsorted(ends, a, "right"))][0]
+            first, last = (int(k) for k in np.searchsorted(ends, (a, b - 1), "right"))
+            doc = pack[first][0]
             whole = index.texts[item]
             if edits == 0:
                 n = same_length(text, a, whole, c)
                 got.append((doc, index.ids[item], exact_words(text, a, whole, c, min(n, b - a)), n, 0))
                 continue
             budget = edits * -(-(d - c) // size)
-            off = alignment(whole[c:d], text[a:b], budget)
-            if off is not None and d - c >= size - Q * edits:
+            off = alignment(whole[c:d], text[a:b], budget) if first == last else None
+            if off is None:
+                # Too much lies between the alike parts, or they are in two texts: each is held against the item by itself.
+                for k in range(first, last + 1):
+                    hi = int(ends[k]) - 1
+                    got += [(pack[k][0], index.ids[item], *part) for part in alike_parts(text, a, b, hi - len(pack[k][1]), hi, whole, c, d, size, edits)]
+                continue
+            if d - c >= size - Q * edits:
                 run_words = exact_words(text, a, whole, c, min(b - a, d - c)) if a - c == b - d else 0
                 got.append((doc, index.ids[item], run_words, d - c, off))
         return got
@@ -276,7 +340,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 8, edits: int = 0
 
     edits = 0: every maximal region equal to at least the shortest run of `words` words of any passage; words says how many
     whole words it holds.  edits > 0: regions in which at least window characters of a passage occur with at most edits
-    differences each window, verified by banded alignment.
+    differences each window, verified by banded alignment; what isn't alike as a whole is verified part by part.
 
     Items are read by the driver in blocks of bounded size, each block a broadcast index that all documents are held
     against; so the passages may outgrow a broadcast, at the price of another pass.  Each document is searched by one task,

@@ -165,6 +165,20 @@ def test_altered_passages_are_found(spark):
     assert all(r.chars >= 80 and 0 < r.edits <= 15 for r in got.values())
 
 
+def test_alike_parts_of_a_region_that_is_not_alike_as_a_whole(spark):
+    rng = Random(11)
+    other = lambda n: "".join(rng.choice("vwxyz") for _ in range(n))
+    passage = "".join(rng.choice("abcdefghijklm nop") for _ in range(260)).strip()
+    p = " ".join(passage.split())
+    texts = [
+        f"{other(30)}{p[:80]}{other(60)}{p[140:220]}{other(30)}", f"{p[:50]}{other(1)}{p[51:90]}{other(50)}{p[140:240]}",
+        f"{p[:60]}{other(60)}{p[120:180]}{other(30)}", p[:100], p[101:220],
+    ]
+    items = spark.createDataFrame([(0, passage)], "item_id long, passage string")
+    got = {r.doc_id: (r.chars, r.edits) for r in leak.altered_passages(docs(spark, texts).coalesce(1), items).collect()}
+    assert set(got) == {0, 1, 3, 4} and all(chars >= 80 and edits <= 3 for chars, edits in got.values()) and got[0][1] == 0
+
+
 def check_pieces(text, limit, overlap):
     got = splitting.pieces(text, limit, overlap)
     assert all(tokens.count(text[f:t]) == n <= limit for f, _, t, n in got)
