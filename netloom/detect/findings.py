@@ -63,9 +63,12 @@ def merge(existing: DataFrame | None, sightings: DataFrame, gap: int = GAP) -> D
 
 
 def run(flows: DataFrame, start: datetime, end: datetime, limits: Limits = Limits(), seen: DataFrame | None = None, r_host: DataFrame | None = None, learned: bool = True) -> DataFrame:
-    """Packed sightings of all rules in every window whose end lies in (start, end]; rules that need a memory only if learned."""
+    """Packed sightings of all rules in every window whose end lies in (start, end]; rules that need a memory only if learned.
+
+    Every threat sighting is kept: a cap by address would hide the same ones in each window.
+    """
     rows = rules.windowed(flows, limits, start, end)
-    parts = [rule(rows, limits) for rule in rules.ALWAYS] + [rules.flood(rows, limits, r_host)]
+    parts = [rules.threat(rows, limits, None) if rule is rules.threat else rule(rows, limits) for rule in rules.ALWAYS] + [rules.flood(rows, limits, r_host)]
     if learned:
         parts += [rule(rows, limits, seen) for rule in rules.LEARNED]
     out = packed(parts[0])

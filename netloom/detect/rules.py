@@ -245,11 +245,14 @@ def flood(rows: DataFrame, c: Limits, r_host: DataFrame | None = None) -> DataFr
     return _report(g, "flood", F.lit(2), _no(), F.col("dst"), port_label(F.col("dport"), F.col("proto")), "pps", "usual", _average(), "sources", "sampling")
 
 
-def threat(rows: DataFrame, c: Limits) -> DataFrame:
-    """Traffic with a listed address: serious where an internal host began it, noise where it came from outside."""
+def threat(rows: DataFrame, c: Limits, most: int | None = 500) -> DataFrame:
+    """Traffic with a listed address: serious where an internal host began it, noise where it came from outside.
+
+    At most `most` per window, in the order of the addresses; None for all.
+    """
     sent = lambda end: F.coalesce(F.sum(F.when(F.col("src") == F.col(end), F.col("wire"))), F.lit(0))
     g = rows.where("threat <> ''").groupBy("win", "client", "server", "threat").agg(F.min("dir").alias("dir"), sent("client").alias("up"), sent("server").alias("down"), F.sum("flows").alias("flows"), F.max("mult").cast("double").alias("sampling"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    g = _best(g, [F.col("client"), F.col("server"), F.col("threat")], 500)
+    g = g if most is None else _best(g, [F.col("client"), F.col("server"), F.col("threat")], most)
     sev = F.when(F.col("dir") == 1, 3).when(F.col("dir") == 2, 1).otherwise(2)
     return _report(g, "threat", sev, F.col("client"), F.col("server"), F.col("threat"), F.col("threat").alias("list"), "dir", "up", "down", "flows", "sampling")
 

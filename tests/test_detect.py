@@ -97,6 +97,14 @@ def test_exfil_flood_threat_and_model_api(spark):
     assert (f.sev, f.port) == (3, "bad")
 
 
+def test_findings_keep_all_threats_of_a_window(spark):
+    threats = spark.createDataFrame([("4c0000207", "4c0000207", 0, 0, "bad")], "lo string, hi string, ordinal int, len int, list string")
+    flows = flow_rows(spark, [dict(start=60, end=60, src=f"10.1.{k // 250}.{k % 250 + 1}") for k in range(510)], threats=threats)
+    got = findings.run(flows, END - timedelta(seconds=1), END, learned=False).where("kind = 'threat'").collect()
+    assert {r.src for r in got} == {f"10.1.{k // 250}.{k % 250 + 1}" for k in range(510)}
+    assert rules.threat(rules.windowed(flows, Limits(), END - timedelta(seconds=1), END), Limits()).count() == 500
+
+
 def test_windows_overlap(spark):
     flows = flow_rows(spark, [dict(start=0, end=0), dict(start=299, end=299, src_port=2), dict(start=300, end=300, src_port=3)])
     rows = rules.windowed(flows, Limits(), T0 - timedelta(hours=1), T0 + timedelta(hours=1)).groupBy("win").count().collect()
