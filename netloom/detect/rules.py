@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netloom.core.columns import floor_div
 
-# Services that ask for a password, services of administration and file sharing, and what names a model API.
+# Services that ask for a password, and services of administration and file sharing.
 LOGIN_PORTS = [21, 22, 23, 445, 1433, 1521, 3306, 3389, 5432, 5900, 5985, 5986, 6379, 27017]
 ADMIN_PORTS = [22, 135, 139, 445, 3389, 5900, 5985, 5986]
-MODEL_ORGS = ("openai", "anthropic", "mistral", "cohere", "perplexity", "huggingface")
 #: Average frame above which traffic to an administration service is a session; bytes to a destination worth remembering.
 SESSION, REMEMBERED = 250, 1_000_000
 DAY = 86_400
@@ -25,7 +24,11 @@ REPORTED = ("win", "kind", "sev", "src", "dst", "port", "first", "last")
 
 @dataclass(frozen=True)
 class Limits:
-    """Thresholds; those ending in _sampled hold where packets were sampled."""
+    """Thresholds; those ending in _sampled hold where packets were sampled.
+
+    most: the largest number of sightings of a kind in one window, the most striking first; kinds it doesn't name have no
+    such limit.
+    """
 
     window: int = 600
     every: int = 300
@@ -50,8 +53,9 @@ class Limits:
     flood_pps: float = 20_000
     flood_avg: float = 120
     flood_ratio: float = 10
-    model_orgs: tuple[str, ...] = field(default=MODEL_ORGS)
+    model_orgs: tuple[str, ...] = ()
     model_bytes: float = 1e6
+    most: dict[str, int] = field(default_factory=dict)
 
 
 def windowed(flows: DataFrame, limits: Limits, start: datetime, end: datetime) -> DataFrame:
@@ -79,8 +83,10 @@ def _sampled(yes: float, no: float) -> Column:
     return F.when(F.col("sampling") > 1, yes).otherwise(no)
 
 
-def _best(df: DataFrame, by: list[Column], limit: int) -> DataFrame:
-    """At most limit sightings per window; the order decides, then the key, so that a run can be repeated."""
+def _best(df: DataFrame, by: list[Column], limit: int | None) -> DataFrame:
+    """At most limit sightings per window (None: all); the order decides, then the key, so that a run can be repeated."""
+    if limit is None:
+        return df
     w = Window.partitionBy("win").orderBy(*by)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= limit).drop("_r")
 
@@ -120,7 +126,7 @@ def scan(rows: DataFrame, c: Limits) -> DataFrame:
         (F.col("wire") <= F.col("pkts") * F.when(F.col("proto") == 6, c.probe_avg).otherwise(c.icmp_avg))
         & (F.col("targets") >= _sampled(c.scan_targets_sampled, c.scan_targets)) & (F.col("seen") <= 3 * F.col("targets"))
     )
-    g = _examples(_best(g, [F.desc("targets"), F.col("src"), F.col("dport"), F.col("proto")], 100), part, keys, "dst", 6)
+    g = _examples(_best(g, [F.desc("targets"), F.col("src"), F.col("dport"), F.col("proto")], c.most.get("scan")), part, keys, "dst", 6)
     return _report(g, "scan", _by_source(), F.col("src"), _no(), port_label(F.col("dport"), F.col("proto")), "targets", "pkts", _average(), "sampling", "examples")
 
 
@@ -130,7 +136,7 @@ def portscan(rows: DataFrame, c: Limits) -> DataFrame:
     part = rows.where("proto = 6 and dport < 32768")
     g = part.groupBy(*keys).agg(F.count_distinct("dport").alias("ports"), *_common())
     g = g.where((F.col("wire") <= F.col("pkts") * c.probe_avg) & (F.col("ports") >= _sampled(c.scan_ports_sampled, c.scan_ports)) & (F.col("seen") <= 3 * F.col("ports")))
-    g = _examples(_best(g, [F.desc("ports"), F.col("src"), F.col("dst")], 100), part, keys, "dport", 8)
+    g = _examples(_best(g, [F.desc("ports"), F.col("src"), F.col("dst")], c.most.get("portscan")), part, keys, "dport", 8)
     return _report(g, "portscan", _by_source(), F.col("src"), F.col("dst"), _no(), "ports", "pkts", _average(), "sampling", "examples")
 
 
@@ -141,7 +147,7 @@ def brute(rows: DataFrame, c: Limits) -> DataFrame:
         (F.col("wire") <= F.col("pkts") * _sampled(min(c.brute_avg, 200), c.brute_avg)) & (F.col("conns") >= _sampled(c.brute_sampled, c.brute))
         & ((F.col("sampling") <= 1) | (F.col("conns") >= 0.7 * F.col("seen")))
     )
-    g = _best(g, [F.desc("conns"), F.col("src"), F.col("dst"), F.col("dport")], 100)
+    g = _best(g, [F.desc("conns"), F.col("src"), F.col("dst"), F.col("dport")], c.most.get("brute"))
     return _report(g, "brute", _by_source(), F.col("src"), F.col("dst"), port_label(F.col("dport"), F.lit(6)), "conns", "pkts", _average(), "sampling")
 
 
@@ -233,7 +239,7 @@ def flood(rows: DataFrame, c: Limits, r_host: DataFrame | None = None) -> DataFr
     g = rows.where(F.col("wire") <= F.col("pkts") * c.flood_avg).groupBy("win", "dst").agg(F.count_distinct("src").alias("sources"), *_common())
     g = g.where(F.col("pkts") >= c.flood_pps * c.window)
     modes = rows.where(F.col("wire") <= F.col("pkts") * c.flood_avg).join(g.select("win", "dst"), ["win", "dst"], "left_semi").groupBy("win", "dst").agg(F.mode("dport", True).alias("dport"), F.mode("proto", True).alias("proto"))
-    g = _best(g, [F.desc("pkts"), F.col("dst")], 50).join(modes, ["win", "dst"])
+    g = _best(g, [F.desc("pkts"), F.col("dst")], c.most.get("flood")).join(modes, ["win", "dst"])
     if r_host is not None:
         hours = r_host.groupBy("ip", "ts").agg(F.sum("pkts").alias("hp"))
         at = F.unix_seconds("ts")
@@ -245,14 +251,11 @@ def flood(rows: DataFrame, c: Limits, r_host: DataFrame | None = None) -> DataFr
     return _report(g, "flood", F.lit(2), _no(), F.col("dst"), port_label(F.col("dport"), F.col("proto")), "pps", "usual", _average(), "sources", "sampling")
 
 
-def threat(rows: DataFrame, c: Limits, most: int | None = 500) -> DataFrame:
-    """Traffic with a listed address: serious where an internal host began it, noise where it came from outside.
-
-    At most `most` per window, in the order of the addresses; None for all.
-    """
+def threat(rows: DataFrame, c: Limits) -> DataFrame:
+    """Traffic with a listed address: serious where an internal host began it, noise where it came from outside."""
     sent = lambda end: F.coalesce(F.sum(F.when(F.col("src") == F.col(end), F.col("wire"))), F.lit(0))
     g = rows.where("threat <> ''").groupBy("win", "client", "server", "threat").agg(F.min("dir").alias("dir"), sent("client").alias("up"), sent("server").alias("down"), F.sum("flows").alias("flows"), F.max("mult").cast("double").alias("sampling"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    g = g if most is None else _best(g, [F.col("client"), F.col("server"), F.col("threat")], most)
+    g = _best(g, [F.desc(F.col("up") + F.col("down")), F.col("client"), F.col("server"), F.col("threat")], c.most.get("threat"))
     sev = F.when(F.col("dir") == 1, 3).when(F.col("dir") == 2, 1).otherwise(2)
     return _report(g, "threat", sev, F.col("client"), F.col("server"), F.col("threat"), F.col("threat").alias("list"), "dir", "up", "down", "flows", "sampling")
 
@@ -263,7 +266,7 @@ def fastscan(rows: DataFrame, c: Limits) -> DataFrame:
     part = rows.where("proto = 6").withColumn("minute", F.date_trunc("minute", "ts"))
     g = part.groupBy(*keys).agg(F.count_distinct("dst").alias("targets"), F.count_distinct("dport").alias("ports"), *_common())
     g = g.where((F.col("targets") >= c.fast_targets) & (F.col("ports") >= c.fast_ports) & (F.col("wire") <= F.col("pkts") * c.probe_avg))
-    g = _examples(_best(g, [F.desc(F.col("targets") * F.col("ports")), F.col("src"), F.col("minute")], 50), part, keys, "dst", 6)
+    g = _examples(_best(g, [F.desc(F.col("targets") * F.col("ports")), F.col("src"), F.col("minute")], c.most.get("fastscan")), part, keys, "dst", 6)
     g = g.withColumn("first", F.col("minute")).withColumn("last", F.col("minute"))
     return _report(g, "fastscan", F.when(F.col("own"), 3).otherwise(2), F.col("src"), _no(), _no(), "targets", "ports", "pkts", _average(), "sampling", "examples")
 
@@ -280,17 +283,17 @@ def beacon(rows: DataFrame, c: Limits) -> DataFrame:
         (F.avg(F.abs(F.col("gap") - F.col("mean"))) / F.max("mean")).alias("jitter"), F.timestamp_seconds(F.min("minute")).alias("first"), F.timestamp_seconds(F.max("minute")).alias("last"),
     )
     g = g.where((F.col("checkins") >= F.greatest(F.lit(c.beacon_minutes), F.lit(3))) & (F.col("bytes") <= c.beacon_bytes * F.col("checkins")) & (F.col("jitter") <= c.beacon_jitter))
-    g = _best(g, [F.desc("checkins"), F.col("client"), F.col("server"), F.col("svc_port"), F.col("proto")], 200)
+    g = _best(g, [F.desc("checkins"), F.col("client"), F.col("server"), F.col("svc_port"), F.col("proto")], c.most.get("beacon"))
     return _report(g, "beacon", F.lit(2), F.col("client"), F.col("server"), port_label(F.col("svc_port"), F.col("proto")), "period_s", "jitter", "checkins", "bytes", "pkts", "sampling", "org")
 
 
 def model_api(rows: DataFrame, c: Limits) -> DataFrame:
-    """An internal host that sends much to an organisation that runs model APIs; an empty list turns the rule off."""
+    """An internal host that sends much to an organisation that runs model APIs; what names them is given with the limits, and no name turns the rule off."""
     named = F.lit(False)
     for org in c.model_orgs:
         named = named | F.lower("peer_org").contains(org.lower())
     g = rows.where((F.col("dir") == 1) & ~F.col("srv_int") & named).groupBy("win", "client", "server", "svc_port").agg(F.min("peer_org").alias("org"), F.sum("bytes").alias("bytes"), F.sum("pkts").alias("pkts"), F.count_distinct(F.date_trunc("minute", "ts")).alias("minutes"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    g = _best(g.where(F.col("bytes") >= c.model_bytes), [F.desc("bytes"), F.col("client"), F.col("server"), F.col("svc_port")], 50)
+    g = _best(g.where(F.col("bytes") >= c.model_bytes), [F.desc("bytes"), F.col("client"), F.col("server"), F.col("svc_port")], c.most.get("llm"))
     return _report(g, "llm", F.lit(1), F.col("client"), F.col("server"), port_label(F.col("svc_port"), F.lit(6)), "org", "bytes", "pkts", "minutes")
 
 

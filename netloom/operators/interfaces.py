@@ -12,7 +12,6 @@ from netloom.functions.flow import total
 from netloom.plans.query import HOUR, Query, step_for, trunc
 from netloom.plans.tables import Tables
 
-LISTED = 200
 COUNTERS = ("in_oct", "out_oct", "in_pkts", "out_pkts")
 
 
@@ -74,10 +73,10 @@ def interface_hours(tables: Tables, q: Query) -> DataFrame:
     return cells.groupBy(F.col("bucket").alias("start"), *KEYS).agg(*[F.round(F.sum(c)).cast("long").alias(c) for c in COUNTERS])
 
 
-def interfaces(tables: Tables, q: Query) -> DataFrame:
+def interfaces(tables: Tables, q: Query, most: int | None = None) -> DataFrame:
     """exporter, ifindex, speed, counters, in_wire, out_wire, peer: interfaces with counters or flows in the range.
 
-    Of the interfaces known by flows alone the LISTED busiest of each side.  peer: flows were not sampled on it; it is only
+    most: of the interfaces that flows name take this many of each side, the busiest; None for all.  peer: flows were not sampled on it; it is only
     the other end of flows sampled elsewhere on the device.
     """
     known = (
@@ -85,18 +84,18 @@ def interfaces(tables: Tables, q: Query) -> DataFrame:
         .where("exporter is not null and ifindex is not null")
         .groupBy(*KEYS).agg(F.coalesce(F.max("speed"), F.lit(0)).alias("speed"), F.lit(True).alias("counters"))
     )
-    rows = tables.flows.where(q.in_range())
+    rows = tables.rows(q.in_range())
     out = known
     for side, name in (("in_if", "in_wire"), ("out_if", "out_wire")):
         flow = rows.where(F.col(side) != 0).groupBy("exporter", F.col(side).cast("long").alias("ifindex")).agg(total("wire").alias(name))
-        out = out.join(flow.orderBy(F.desc(name), "exporter", "ifindex").limit(LISTED), KEYS, "full")
+        out = out.join(flow if most is None else flow.orderBy(F.desc(name), "exporter", "ifindex").limit(most), KEYS, "full")
     out = out.select(*KEYS, F.coalesce("speed", F.lit(0)).alias("speed"), F.coalesce("counters", F.lit(False)).alias("counters"), F.coalesce("in_wire", F.lit(0)).alias("in_wire"), F.coalesce("out_wire", F.lit(0)).alias("out_wire"))
     return _mark_peers(tables, q, out)
 
 
 def _mark_peers(tables: Tables, q: Query, listed: DataFrame) -> DataFrame:
     carried = F.col("in_wire") + F.col("out_wire")
-    totals = tables.flows.where(q.in_range()).groupBy("exporter").agg(F.sum("wire").alias("all_wire"))
+    totals = tables.rows(q.in_range()).groupBy("exporter").agg(F.sum("wire").alias("all_wire"))
     if tables.r_dim is not None:
         wide = Query(trunc(q.start, HOUR), q.end)
         marks = tables.r_dim.where(wide.in_range() & F.col("dim").isin("obsif", "obsunk"))
@@ -137,7 +136,7 @@ def recon_buckets(tables: Tables, q: Query, exporter: str | None = None, ifindex
     cells = _shares(intervals(rows, cols), cols, F.greatest("prev_us", F.lit(a)), F.least("us", F.lit(a + n * step_us)), step_us, int(q.offset.total_seconds()) * 1_000_000)
     counted = cells.groupBy(*KEYS, "bucket").agg(F.sum("in_oct").alias("in_ctr"), F.sum("out_oct").alias("out_ctr"), F.sum("secs").alias("secs"))
     wide = Query(start, q.end, offset=q.offset)
-    flows, samples = tables.flows.where(wide.in_range()), F.sum(F.col("pkts") / F.greatest(F.col("mult"), F.lit(1.0)))
+    flows, samples = tables.rows(wide.in_range()), F.sum(F.col("pkts") / F.greatest(F.col("mult"), F.lit(1.0)))
     sides = []
     for side, name in (("in_if", "in"), ("out_if", "out")):
         keyed = one(flows.withColumn("ifindex", F.col(side).cast("long")))
@@ -190,7 +189,7 @@ def flow_figures(tables: Tables, q: Query) -> DataFrame:
     n = (wide.end - wide.start) // step + 1
     n -= n > 1 and wide.end - (wide.start + (n - 1) * step) < timedelta(seconds=15)
     rank = -(-95 * n // 100)
-    rows = tables.flows.where(wide.in_range())
+    rows = tables.rows(wide.in_range())
     out = None
     for side, name in (("in_if", "in"), ("out_if", "out")):
         per = rows.where(F.col(side) != 0).groupBy("exporter", F.col(side).cast("long").alias("ifindex"), wide.bucket(step).alias("b")).agg(F.sum("wire").alias("w"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netloom.core.columns import address, as_timestamp
 from netloom.plans.query import LONG_RANGE, Query
@@ -15,24 +15,41 @@ DEVICE, IN, OUT, BOTH = range(4)
 BLANK = {"bytes": 0, "wire": 0, "pkts": 0, "flows": 0, "peer_cc": "", "peer_asn": 0, "peer_org": "", "segment": "", "threat": "", "app": "", "dup": False}
 
 
-def once(df: DataFrame, needed: list[str]) -> DataFrame:
-    """One delivery of each record. Copies are equal but for their arrival, so any order among equal arrivals will do."""
+ARRIVAL = ("arrival_seq", "arrived")
+
+
+def once(df: DataFrame, needed: list[str], also: tuple[str, ...] = ()) -> DataFrame:
+    """One delivery of each record. Copies are equal but for their arrival, so any order among equal arrivals will do.
+
+    also: columns that questions put conditions on.  Equal in all copies, they are part of the key, so Catalyst moves such
+    conditions below the shuffle and down to the scan.
+    """
     keyed = df.where("arrival_seq is not null")
-    w = Window.partitionBy("arrival_seq").orderBy(F.col("arrived").asc_nulls_last())
+    w = Window.partitionBy("arrival_seq", *also).orderBy(F.col("arrived").asc_nulls_last())
     first = keyed.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     return first.select(*needed).unionByName(df.where("arrival_seq is null").select(*needed))
 
 
+def has_arrivals(df: DataFrame) -> bool:
+    return set(ARRIVAL) <= set(df.columns)
+
+
+def blanked_flows(hot: DataFrame) -> DataFrame:
+    """Flow rows as queries take them, but for second deliveries: rows without ts left out, blanks for nulls."""
+    rows = hot.where("ts is not null").withColumn("ts", as_timestamp(F.col("ts")))
+    return rows.fillna({k: v for k, v in BLANK.items() if k in rows.columns})
+
+
 def clean_flows(hot: DataFrame) -> DataFrame:
-    """Flow rows as queries take them: each record once, rows without ts left out, blanks for nulls."""
-    rows = once(hot, [c for c in hot.columns if c not in ("arrival_seq", "arrived")]) if "arrival_seq" in hot.columns else hot
-    return rows.where("ts is not null").withColumn("ts", as_timestamp(F.col("ts"))).fillna({k: v for k, v in BLANK.items() if k in rows.columns})
+    """blanked_flows, each record once."""
+    rows = blanked_flows(hot)
+    return once(rows, [c for c in rows.columns if c not in ARRIVAL], ("ts",)) if has_arrivals(rows) else rows
 
 
-def clean_rollup(df: DataFrame, key: str) -> DataFrame:
+def clean_rollup(df: DataFrame, key: str, also: tuple[str, ...] = ()) -> DataFrame:
     """Partial rows of a rollup, each once; rows without ts or key left out, null sums 0."""
-    rows = once(df, [c for c in df.columns if c not in ("arrival_seq", "arrived")]) if "arrival_seq" in df.columns else df
-    rows = rows.where("ts is not null").withColumn("ts", as_timestamp(F.col("ts")))
+    rows = df.where("ts is not null").withColumn("ts", as_timestamp(F.col("ts")))
+    rows = once(rows, [c for c in rows.columns if c not in ARRIVAL], ("ts", *also)) if has_arrivals(rows) else rows
     rows = rows.withColumn(key, address(F.col(key))) if key == "ip" else rows
     return rows.where(F.col(key).isNotNull()).fillna(0, ["bytes", "wire", "pkts", "flows"])
 
@@ -72,7 +89,10 @@ def view_of(q: Query) -> View | None:
 
 @dataclass(frozen=True)
 class Tables:
-    """flows and the rollups built from them. Rollups may be missing; queries then read flows."""
+    """flows and the rollups built from them. Rollups may be missing; queries then read flows.
+
+    flows may hold second deliveries (then with arrival_seq and arrived); read them with rows() or detail().
+    """
 
     flows: DataFrame
     r_ts: DataFrame | None = None
@@ -86,7 +106,16 @@ class Tables:
     @staticmethod
     def read(spark: SparkSession, folder: str) -> Tables:
         t = lambda n: spark.read.parquet(f"{folder}/{n}.parquet")
-        return Tables(clean_flows(t("hot")), clean_rollup(t("r_ts"), "app"), clean_rollup(t("r_host"), "ip"), clean_rollup(t("r_dim"), "val"), ifc=t("ifc"))
+        return Tables(blanked_flows(t("hot")), clean_rollup(t("r_ts"), "app"), clean_rollup(t("r_host"), "ip", ("role",)), clean_rollup(t("r_dim"), "val", ("dim",)), ifc=t("ifc"))
+
+    def rows(self, cond: Column | None = None) -> DataFrame:
+        """The flow rows for which cond holds, each record once.
+
+        The condition comes first: copies of a record agree on it, so what it leaves out never enters the shuffle that
+        finds copies, and its bounds reach the scan.
+        """
+        rows = self.flows if cond is None else self.flows.where(cond)
+        return once(rows, [c for c in rows.columns if c not in ARRIVAL], ("ts",)) if has_arrivals(rows) else rows
 
     def rollup(self, q: Query, name: str) -> DataFrame | None:
         """The rows of rollup `name` (r_ts, r_host or r_dim) that answer q, or None if the flow rows must.
@@ -104,7 +133,7 @@ class Tables:
         return None if part is None else part.where((F.col("iface") == v.key) & F.col("side").isin(*v.sides) & q.in_range())
 
     def detail(self, q: Query) -> DataFrame:
-        return self.flows.where(q.where())
+        return self.rows(q.where())
 
     def without_rollups(self) -> Tables:
         return replace(self, r_ts=None, r_host=None, r_dim=None, r_ts_if=None, r_dim_if=None)

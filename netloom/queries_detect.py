@@ -2,64 +2,71 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.detect import findings, rules
+from netloom.plans.query import Query
 from netloom.plans.tables import Tables
-from netloom.queries_flow import _FLOWS, DAY, LONG, SQL as _SQLS, register
+from netloom.queries_flow import _FLOWS, _rollup_sql, SQL as _SQLS, register
 
 LOW = rules.Limits(
     scan_targets=4, scan_targets_sampled=2, scan_ports=3, scan_ports_sampled=2, brute=2, brute_sampled=1, fast_targets=2, fast_ports=2, beacon_minutes=3, beacon_bytes=500_000, beacon_jitter=0.6,
-    probe_avg=900, icmp_avg=900, brute_avg=2000, exfil_bytes=200_000, exfil_ratio=1.5, flood_pps=1.0, flood_avg=900, flood_ratio=0, model_orgs=("net 1", "net 2", "transit"), model_bytes=50_000, new_service_clients=50, chain_within=3600,
+    probe_avg=900, icmp_avg=900, brute_avg=2000, exfil_bytes=200_000, exfil_ratio=1.5, flood_pps=1.0, flood_avg=900, flood_ratio=0.02, model_orgs=("net 1", "net 2", "transit"), model_bytes=50_000, new_service_clients=50, chain_within=3600,
 )
-_S, _E = int(LONG.start.timestamp()), int(LONG.end.timestamp())
+#: A run of thirty days, which holds all of hot.
+RUN = Query(datetime(2026, 3, 1), datetime(2026, 3, 31))
+_S, _E = int(RUN.start.timestamp()), int(RUN.end.timestamp())
 _W = f"""WITH {_FLOWS}, w AS (SELECT *, epoch_us(ts) // 1000000 AS t, unnest(range(epoch_us(ts) // 300000000 * 300 + 300, epoch_us(ts) // 1000000 + 601, 300)) AS win FROM flows WHERE NOT dup),
     r AS (SELECT *, CASE WHEN src = client THEN cli_int ELSE srv_int END AS own FROM w WHERE win > {_S} AND win <= {_E} AND win - 600 <= t AND t < {_E})"""
 _COMMON = "CAST(sum(pkts) AS BIGINT) AS pkts, sum(wire) AS wire, max(mult)::DOUBLE AS sampling, min(t) AS first_s, max(t) + 60 AS last_s, bool_or(own) AS own, sum(pkts / greatest(mult, 1)) AS seen"
 
 
 def _rows(t: Tables) -> DataFrame:
-    return rules.windowed(t.flows, LOW, LONG.start, LONG.end)
+    return rules.windowed(t.rows(), LOW, RUN.start, RUN.end)
 
 
 def _plain(df: DataFrame, *keep: str) -> DataFrame:
-    return df.select("win", "kind", "sev", "src", "dst", "port", F.unix_seconds("first").alias("first_s"), F.unix_seconds("last").alias("last_s"), *keep)
+    return df.select("win", "kind", "sev", "src", "dst", "port", F.unix_seconds("first").alias("first_s"), F.unix_seconds("last").alias("last_s"), *[F.expr(_SHOWN.get(k, k)).alias(k) for k in keep])
 
 
-def _add(name: str, rule, sql: str, *keep: str) -> None:
-    register(f"detect_{name}", lambda t: _plain(rule(t), *keep), f"{_W}, {sql}")
+def _add(name: str, rule, sql: str, *keep: str, summaries: bool = False) -> None:
+    register(f"detect_{name}", lambda t: _plain(rule(t), *keep), f"{_W}, {sql}", summaries)
 
 
+_MORE = "sampling, round(wire::DOUBLE / greatest(pkts, 1), 6) AS avg"
+_FEW = "array_to_string(list_sort(list(DISTINCT {0}))[1:{1}], ',') AS examples"
+_SHOWN = {c: f"round({c}, 6)" for c in ("avg", "jitter", "pps", "usual")} | {"examples": "array_join(examples, ',')"}
 _SEV = "CASE WHEN own THEN 3 ELSE 1 END"
 _LABEL = "CASE WHEN proto IN (1, 58) THEN 'icmp' WHEN proto = 17 THEN concat({0}, '/udp') ELSE concat({0}, '/tcp') END"
-_TOP = "QUALIFY row_number() OVER (PARTITION BY win ORDER BY {0}) <= {1}"
-_add("scan", lambda t: rules.scan(_rows(t), LOW), f"""g AS (SELECT win, src, dport, proto, count(DISTINCT dst) AS targets, {_COMMON} FROM r WHERE proto IN (1, 6, 58) GROUP BY 1, 2, 3, 4)
-    SELECT win, 'scan' AS kind, {_SEV} AS sev, src, '' AS dst, {_LABEL.format('dport')} AS port, first_s, last_s, targets, pkts FROM g
-    WHERE wire <= pkts * {LOW.probe_avg} AND targets >= CASE WHEN sampling > 1 THEN {LOW.scan_targets_sampled} ELSE {LOW.scan_targets} END AND seen <= 3 * targets {_TOP.format('targets DESC, src, dport, proto', 100)}""", "targets", "pkts")
-_add("portscan", lambda t: rules.portscan(_rows(t), LOW), f"""g AS (SELECT win, src, dst, count(DISTINCT dport) AS ports, {_COMMON} FROM r WHERE proto = 6 AND dport < 32768 GROUP BY 1, 2, 3)
-    SELECT win, 'portscan' AS kind, {_SEV} AS sev, src, dst, '' AS port, first_s, last_s, ports, pkts FROM g
-    WHERE wire <= pkts * {LOW.probe_avg} AND ports >= CASE WHEN sampling > 1 THEN {LOW.scan_ports_sampled} ELSE {LOW.scan_ports} END AND seen <= 3 * ports {_TOP.format('ports DESC, src, dst', 100)}""", "ports", "pkts")
+_add("scan", lambda t: rules.scan(_rows(t), LOW), f"""g AS (SELECT win, src, dport, proto, count(DISTINCT dst) AS targets, {_FEW.format('dst', 6)}, {_COMMON} FROM r WHERE proto IN (1, 6, 58) GROUP BY 1, 2, 3, 4)
+    SELECT win, 'scan' AS kind, {_SEV} AS sev, src, '' AS dst, {_LABEL.format('dport')} AS port, first_s, last_s, targets, pkts, examples, {_MORE} FROM g
+    WHERE wire <= pkts * {LOW.probe_avg} AND targets >= CASE WHEN sampling > 1 THEN {LOW.scan_targets_sampled} ELSE {LOW.scan_targets} END AND seen <= 3 * targets""", "targets", "pkts", "examples", "sampling", "avg")
+_add("portscan", lambda t: rules.portscan(_rows(t), LOW), f"""g AS (SELECT win, src, dst, count(DISTINCT dport) AS ports, {_FEW.format('dport', 8)}, {_COMMON} FROM r WHERE proto = 6 AND dport < 32768 GROUP BY 1, 2, 3)
+    SELECT win, 'portscan' AS kind, {_SEV} AS sev, src, dst, '' AS port, first_s, last_s, ports, pkts, examples, {_MORE} FROM g
+    WHERE wire <= pkts * {LOW.probe_avg} AND ports >= CASE WHEN sampling > 1 THEN {LOW.scan_ports_sampled} ELSE {LOW.scan_ports} END AND seen <= 3 * ports""", "ports", "pkts", "examples", "sampling", "avg")
 _add("brute", lambda t: rules.brute(_rows(t), LOW), f"""g AS (SELECT win, src, dst, dport, count(DISTINCT sport) AS conns, {_COMMON} FROM r WHERE proto = 6 AND dport IN ({', '.join(map(str, rules.LOGIN_PORTS))}) GROUP BY 1, 2, 3, 4)
-    SELECT win, 'brute' AS kind, {_SEV} AS sev, src, dst, concat(dport, '/tcp') AS port, first_s, last_s, conns, pkts FROM g
-    WHERE wire <= pkts * CASE WHEN sampling > 1 THEN 200 ELSE {LOW.brute_avg} END AND conns >= CASE WHEN sampling > 1 THEN {LOW.brute_sampled} ELSE {LOW.brute} END AND (sampling <= 1 OR conns >= 0.7 * seen) {_TOP.format('conns DESC, src, dst, dport', 100)}""", "conns", "pkts")
+    SELECT win, 'brute' AS kind, {_SEV} AS sev, src, dst, concat(dport, '/tcp') AS port, first_s, last_s, conns, pkts, {_MORE} FROM g
+    WHERE wire <= pkts * CASE WHEN sampling > 1 THEN 200 ELSE {LOW.brute_avg} END AND conns >= CASE WHEN sampling > 1 THEN {LOW.brute_sampled} ELSE {LOW.brute} END AND (sampling <= 1 OR conns >= 0.7 * seen)""", "conns", "pkts", "sampling", "avg")
 _add("threat", lambda t: rules.threat(_rows(t), LOW), """g AS (SELECT win, client, server, threat, min(dir) AS dir, CAST(coalesce(sum(wire) FILTER (src = client), 0) AS BIGINT) AS up, CAST(coalesce(sum(wire) FILTER (src = server), 0) AS BIGINT) AS down, CAST(sum(flows) AS BIGINT) AS flows, min(t) AS first_s, max(t) + 60 AS last_s FROM r WHERE threat <> '' GROUP BY 1, 2, 3, 4)
-    SELECT win, 'threat' AS kind, CASE dir WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS sev, client AS src, server AS dst, threat AS port, first_s, last_s, up, down, flows FROM g QUALIFY row_number() OVER (PARTITION BY win ORDER BY client, server, threat) <= 500""", "up", "down", "flows")
-_add("fastscan", lambda t: rules.fastscan(_rows(t), LOW), f"""g AS (SELECT win, src, t // 60 * 60 AS minute, count(DISTINCT dst) AS targets, count(DISTINCT dport) AS ports, {_COMMON} FROM r WHERE proto = 6 GROUP BY 1, 2, 3)
-    SELECT win, 'fastscan' AS kind, CASE WHEN own THEN 3 ELSE 2 END AS sev, src, '' AS dst, '' AS port, minute AS first_s, minute + 60 AS last_s, targets, ports FROM g
-    WHERE targets >= {LOW.fast_targets} AND ports >= {LOW.fast_ports} AND wire <= pkts * {LOW.probe_avg} {_TOP.format('targets * ports DESC, src, minute', 50)}""", "targets", "ports")
-_add("beacon", lambda t: rules.beacon(_rows(t), LOW).withColumn("jitter", F.round("jitter", 6)), f"""m AS (SELECT win, client, server, svc_port, proto, t // 60 * 60 AS minute, sum(wire) AS w FROM r WHERE NOT srv_int AND proto IN (6, 17) GROUP BY 1, 2, 3, 4, 5, 6),
+    SELECT win, 'threat' AS kind, CASE dir WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS sev, client AS src, server AS dst, threat AS port, first_s, last_s, up, down, flows FROM g""", "up", "down", "flows")
+_add("fastscan", lambda t: rules.fastscan(_rows(t), LOW), f"""g AS (SELECT win, src, t // 60 * 60 AS minute, count(DISTINCT dst) AS targets, count(DISTINCT dport) AS ports, {_FEW.format('dst', 6)}, {_COMMON} FROM r WHERE proto = 6 GROUP BY 1, 2, 3)
+    SELECT win, 'fastscan' AS kind, CASE WHEN own THEN 3 ELSE 2 END AS sev, src, '' AS dst, '' AS port, minute AS first_s, minute + 60 AS last_s, targets, ports, examples, {_MORE} FROM g
+    WHERE targets >= {LOW.fast_targets} AND ports >= {LOW.fast_ports} AND wire <= pkts * {LOW.probe_avg}""", "targets", "ports", "examples", "sampling", "avg")
+_add("beacon", lambda t: rules.beacon(_rows(t), LOW), f"""m AS (SELECT win, client, server, svc_port, proto, t // 60 * 60 AS minute, sum(wire) AS w FROM r WHERE NOT srv_int AND proto IN (6, 17) GROUP BY 1, 2, 3, 4, 5, 6),
     n AS (SELECT *, minute - lag(minute) OVER (PARTITION BY win, client, server, svc_port, proto ORDER BY minute) AS gap FROM m),
     o AS (SELECT *, avg(gap) OVER (PARTITION BY win, client, server, svc_port, proto) AS mean FROM n),
     g AS (SELECT win, client, server, svc_port, proto, count(*) AS checkins, CAST(sum(w) AS BIGINT) AS bytes, max(mean) AS period_s, avg(abs(gap - mean)) / max(mean) AS jitter, min(minute) AS first_s, max(minute) + 60 AS last_s FROM o GROUP BY 1, 2, 3, 4, 5)
     SELECT win, 'beacon' AS kind, 2 AS sev, client AS src, server AS dst, {_LABEL.format('svc_port')} AS port, first_s, last_s, checkins, bytes, round(jitter, 6) AS jitter FROM g
-    WHERE checkins >= {LOW.beacon_minutes} AND bytes <= {LOW.beacon_bytes} * checkins AND jitter <= {LOW.beacon_jitter} {_TOP.format('checkins DESC, client, server, svc_port, proto', 200)}""", "checkins", "bytes", "jitter")
+    WHERE checkins >= {LOW.beacon_minutes} AND bytes <= {LOW.beacon_bytes} * checkins AND jitter <= {LOW.beacon_jitter}""", "checkins", "bytes", "jitter")
 _add("llm", lambda t: rules.model_api(_rows(t), LOW), f"""g AS (SELECT win, client, server, svc_port, min(peer_org) AS org, CAST(sum(bytes) AS BIGINT) AS bytes, count(DISTINCT t // 60) AS minutes, min(t) AS first_s, max(t) + 60 AS last_s FROM r
     WHERE NOT srv_int AND dir = 1 AND ({' OR '.join(f"lower(peer_org) LIKE '%{o}%'" for o in LOW.model_orgs)}) GROUP BY 1, 2, 3, 4)
-    SELECT win, 'llm' AS kind, 1 AS sev, client AS src, server AS dst, concat(svc_port, '/tcp') AS port, first_s, last_s, org, bytes, minutes FROM g WHERE bytes >= {LOW.model_bytes} {_TOP.format('bytes DESC, client, server, svc_port', 50)}""", "org", "bytes", "minutes")
-_add("flood", lambda t: rules.flood(_rows(t), LOW, t.r_host), f"""g AS (SELECT win, dst, count(DISTINCT src) AS sources, {_COMMON} FROM r WHERE wire <= pkts * {LOW.flood_avg} GROUP BY 1, 2 HAVING sum(pkts) >= {LOW.flood_pps * LOW.window})
-    SELECT win, 'flood' AS kind, 2 AS sev, '' AS src, dst, first_s, last_s, sources FROM g {_TOP.format('pkts DESC, dst', 50)}""".replace("'' AS src, dst,", "'' AS src, dst, @port AS port,"), "sources")
+    SELECT win, 'llm' AS kind, 1 AS sev, client AS src, server AS dst, concat(svc_port, '/tcp') AS port, first_s, last_s, org, bytes, minutes FROM g WHERE bytes >= {LOW.model_bytes}""", "org", "bytes", "minutes")
+_add("flood", lambda t: rules.flood(_rows(t), LOW, t.r_host), f"""{_rollup_sql('r_host', 'ip')}, g AS (SELECT win, dst, count(DISTINCT src) AS sources, {_COMMON} FROM r WHERE wire <= pkts * {LOW.flood_avg} GROUP BY 1, 2 HAVING sum(pkts) >= {LOW.flood_pps * LOW.window}),
+    hours AS (SELECT ip, epoch_us(ts) // 1000000 AS hs, sum(coalesce(pkts, 0)) AS hp FROM r_host_1 GROUP BY 1, 2),
+    u AS (SELECT win, dst, sum(hp)::DOUBLE / (count(*) * 3600) AS usual FROM g JOIN hours ON dst = ip AND hs >= win - {LOW.window + 7 * 86400} AND hs < win - {LOW.window + 3600} GROUP BY 1, 2)
+    SELECT win, 'flood' AS kind, 2 AS sev, '' AS src, dst, @port AS port, first_s, last_s, sources, round(pkts::DOUBLE / {LOW.window}, 6) AS pps, round(coalesce(usual, 0), 6) AS usual, {_MORE} FROM g LEFT JOIN u USING (win, dst) WHERE pkts::DOUBLE / {LOW.window} >= {LOW.flood_ratio} * coalesce(usual, 0)""", "sources", "pps", "usual", "sampling", "avg", summaries=True)
 _MODE = f"(SELECT {{0}} FROM r m WHERE m.win = g.win AND m.dst = g.dst AND m.wire <= m.pkts * {LOW.flood_avg} GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
 _SQLS["detect_flood"] = _SQLS["detect_flood"].replace("@port", f"CASE WHEN {_MODE.format('proto')} IN (1, 58) THEN 'icmp' WHEN {_MODE.format('proto')} = 17 THEN concat({_MODE.format('dport')}, '/udp') ELSE concat({_MODE.format('dport')}, '/tcp') END")
 _ADMIN = ", ".join(map(str, rules.ADMIN_PORTS))
@@ -84,8 +91,8 @@ def _merged(t: Tables) -> DataFrame:
     return out.select("kind", "src", "dst", "port", "sev", F.unix_seconds("first").alias("first_s"), F.unix_seconds("last").alias("last_s"), "hits", F.get_json_object("ev", "$.up").cast("long").alias("up"))
 
 
-register("findings_merged", _merged, f"""{_W}, g AS (SELECT win, client, server, threat, min(dir) AS dir, coalesce(sum(wire) FILTER (src = client), 0) AS up, min(t) AS f, max(t) + 60 AS l FROM r WHERE threat <> '' GROUP BY 1, 2, 3, 4 QUALIFY row_number() OVER (PARTITION BY win ORDER BY client, server, threat) <= 500),
+register("findings_merged", _merged, f"""{_W}, g AS (SELECT win, client, server, threat, min(dir) AS dir, coalesce(sum(wire) FILTER (src = client), 0) AS up, min(t) AS f, max(t) + 60 AS l FROM r WHERE threat <> '' GROUP BY 1, 2, 3, 4),
     o AS (SELECT *, max(l) OVER (PARTITION BY client, server, threat ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM g),
     i AS (SELECT *, sum(CASE WHEN p IS NULL OR p < f - 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY client, server, threat ORDER BY win) AS k FROM o)
     SELECT 'threat' AS kind, client AS src, server AS dst, threat AS port, max(CASE dir WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END) AS sev, min(f) AS first_s, max(l) AS last_s, count(*) AS hits, CAST(max(up) AS BIGINT) AS up FROM i GROUP BY client, server, threat, k""")
-register("findings_run", lambda t: findings.merge(None, findings.run(t.flows, DAY, DAY + timedelta(days=1), LOW, r_host=t.r_host)))
+register("findings_run", lambda t: findings.merge(None, findings.run(t.rows(), RUN.start, RUN.end, LOW, r_host=t.r_host)), summaries=True)

@@ -9,14 +9,15 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netloom.operators import interfaces, overview, paths, rollups, series, topn, totals
-from netloom.plans.query import Filter, Query
+from netloom.plans.query import Filter, Query, step_for
 from netloom.plans.tables import Tables
 
-DAY = datetime(2026, 3, 10, tzinfo=timezone.utc)
-#: Six hours are answered by the flow rows, longer ranges without filters by summaries.
-SHORT = Query(DAY, DAY + timedelta(hours=6))
-LONG = Query(DAY, DAY + timedelta(days=1))
-MONTH = Query(datetime(2026, 2, 1), datetime(2026, 3, 1))
+#: The ranges hold their tables whole: all of hot, all of the summaries (r_ts lies in the last of its months), and of ifc
+#: what its polls brought (clocks far off put a few rows into other years).
+MARCH = Query(datetime(2026, 3, 1), datetime(2026, 4, 1))
+QUARTER = Query(datetime(2026, 1, 1), datetime(2026, 4, 1))
+POLLED = Query(datetime(2026, 3, 1), datetime(2026, 3, 13))
+STEP, QUARTER_STEP, POLLED_STEP = (int(step_for(q.span).total_seconds()) for q in (MARCH, QUARTER, POLLED))
 #: A moment after all the data, so that every range is in the past.
 NOW = datetime(2026, 7, 1, tzinfo=timezone.utc)
 
@@ -45,8 +46,9 @@ def _detail(q: Query, cond: str = "true", dup: bool = False) -> str:
     return f"WITH {_FLOWS}, d AS (SELECT * FROM flows WHERE {_span(q)} AND {'true' if dup else 'NOT dup'} AND ({cond}))"
 
 
-def register(name: str, f: Callable[[Tables], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, folder: f(Tables.read(spark, folder))
+def register(name: str, f: Callable[[Tables], DataFrame], sql: str | None = None, summaries: bool = False) -> None:
+    """summaries: let them answer where they can. Otherwise the flow rows do, whatever the range."""
+    QUERIES[name] = lambda spark, folder: f(Tables.read(spark, folder) if summaries else Tables.read(spark, folder).without_rollups())
     if sql:
         SQL[name] = sql
 
@@ -69,15 +71,15 @@ def _top_sql(dim: str, by: str = "wire", asc: bool = False, cond: str = "true",
     rank = {"avg": "wire / greatest(pkts, 1)"}.get(by, by)
     if dim == "threat":
         cond = f"({cond}) AND threat <> ''"
-    return f"""{_detail(SHORT, cond, dup)}, g AS (SELECT {cols}, coalesce({_EXTRA.get(dim, "''")}, '') AS extra, {_SUMS}, CAST({peers} AS BIGINT) AS peers, {_INTERNAL.get(dim, 'false')} AS internal FROM d GROUP BY 1, 2, 3)
+    return f"""{_detail(MARCH, cond, dup)}, g AS (SELECT {cols}, coalesce({_EXTRA.get(dim, "''")}, '') AS extra, {_SUMS}, CAST({peers} AS BIGINT) AS peers, {_INTERNAL.get(dim, 'false')} AS internal FROM d GROUP BY 1, 2, 3)
         SELECT * FROM g ORDER BY {rank} {'ASC' if asc else 'DESC'}, wire DESC, key, key2, key3 LIMIT {limit}"""
 
 
 for _d in topn.DIMS:
-    register(f"topn_{_d}", lambda t, d=_d: topn.top_n(t, SHORT, d), _top_sql(_d))
+    register(f"topn_{_d}", lambda t, d=_d: topn.top_n(t, MARCH, d), _top_sql(_d))
 for _b in ("bytes", "pkts", "flows", "peers", "avg"):
-    register(f"topn_client_by_{_b}", lambda t, b=_b: topn.top_n(t, SHORT, "client", by=b), _top_sql("client", _b))
-register("topn_client_avg_asc", lambda t: topn.top_n(t, SHORT, "client", by="avg", asc=True), _top_sql("client", "avg", True))
+    register(f"topn_client_by_{_b}", lambda t, b=_b: topn.top_n(t, MARCH, "client", by=b), _top_sql("client", _b))
+register("topn_client_avg_asc", lambda t: topn.top_n(t, MARCH, "client", by="avg", asc=True), _top_sql("client", "avg", True))
 
 
 def _top_rollup_sql(rollup: str) -> str:
@@ -88,13 +90,13 @@ def _top_rollup_sql(rollup: str) -> str:
         src, key, cond, internal = _rollup_sql("r_dim", "val"), "val", f"dim = '{rollup}'", "false"
         name, split = "r_dim_1", rollup in ("port", "asn")
     shown = "split_part(key, chr(9), 1) AS key, '' AS key2, '' AS key3, split_part(key, chr(9), 2) AS extra" if split else "key, '' AS key2, '' AS key3, '' AS extra"
-    return f"""WITH {src}, g AS (SELECT {key} AS key, {_SUMS}, {internal} AS internal FROM {name} WHERE {cond} AND {_span(MONTH)} GROUP BY 1 ORDER BY wire DESC, key LIMIT 66)
+    return f"""WITH {src}, g AS (SELECT {key} AS key, {_SUMS}, {internal} AS internal FROM {name} WHERE {cond} AND {_span(QUARTER)} GROUP BY 1 ORDER BY wire DESC, key LIMIT 66)
         SELECT {shown}, bytes, wire, pkts, flows, CAST(0 AS BIGINT) AS peers, internal FROM g"""
 
 
 for _d, _x in topn.DIMS.items():
     if _x.rollup:
-        register(f"topn_rollup_{_d}", lambda t, d=_d: topn.top_n(t, MONTH, d), _top_rollup_sql(_x.rollup))
+        register(f"topn_rollup_{_d}", lambda t, d=_d: topn.top_n(t, QUARTER, d), _top_rollup_sql(_x.rollup), True)
 
 # -- filters, each on a ranking of conversations
 _BYTES_SRC, _BYTES_DST = "(CASE WHEN src = client THEN cli_int ELSE srv_int END)", "(CASE WHEN dst = client THEN cli_int ELSE srv_int END)"
@@ -110,7 +112,7 @@ _FILTERS = {
     "app": ((Filter("app", "DNS"),), "app = 'DNS'"),
     "country": ((Filter("country", "de"),), "peer_cc = 'DE'"),
     "country_internal": ((Filter("country", "__internal__"),), "dir = 3"),
-    "asn": ((Filter("asn", "AS64512"),), "peer_asn = 64512"),
+    "asn": ((Filter("asn", "AS64977"),), "peer_asn = 64977"),
     "proto": ((Filter("proto", "UDP"),), "proto = 17"),
     "dir": ((Filter("dir", "inbound"),), "dir = 2"),
     "bytes_in": ((Filter("bytes", "in"),), f"NOT {_BYTES_SRC} AND {_BYTES_DST}"),
@@ -128,8 +130,8 @@ _ONE_DEVICE = {
     "iface_out": ((Filter("iface_out", "10.66.0.1/4"),), "exporter = '10.66.0.1' AND out_if = 4"),
 }
 for _n, (_f, _c) in (_FILTERS | _ONE_DEVICE).items():
-    register(f"filter_{_n}", lambda t, f=_f: topn.top_n(t, SHORT.also(*f), "conv", 1000), _top_sql("conv", cond=_c, dup=_n in _ONE_DEVICE, limit=1000))
-register("filter_include_dup", lambda t: topn.top_n(t, Query(SHORT.start, SHORT.end, include_dup=True), "exporter"), _top_sql("exporter", dup=True))
+    register(f"filter_{_n}", lambda t, f=_f: topn.top_n(t, MARCH.also(*f), "conv", 1000), _top_sql("conv", cond=_c, dup=_n in _ONE_DEVICE, limit=1000))
+register("filter_include_dup", lambda t: topn.top_n(t, Query(MARCH.start, MARCH.end, include_dup=True), "exporter"), _top_sql("exporter", dup=True))
 
 
 # -- series
@@ -155,84 +157,83 @@ _LINES = {
     "asn_src": (_ASN, f"src = {_PEER}"), "asn_dst": (_ASN, f"dst = {_PEER}"), "if_in": ("concat(exporter, '/', in_if)", "in_if <> 0"), "if_out": ("concat(exporter, '/', out_if)", "out_if <> 0"),
 }
 for _n, (_k, _c) in _LINES.items():
-    register(f"series_{_n}", lambda t, n=_n: _rounded(series.series_by(t, SHORT, n, now=NOW)), _series_sql(SHORT, _k, _c, "wire", 8, 300))
-register("series_pkts", lambda t: _rounded(series.series_by(t, SHORT, "app", "pkts", 5, now=NOW)), _series_sql(SHORT, "app", "true", "pkts", 5, 300))
-_TOKYO = Query(DAY - timedelta(days=30), DAY + timedelta(days=2), (Filter("vlan", "4095", True),), offset=timedelta(hours=9))
-register("series_tz", lambda t: _rounded(series.series_by(t, _TOKYO, "app", now=NOW)), _series_sql(_TOKYO, "app", "vlan <> 4095", "wire", 8, 10800, offset=32400))
-_TS_SOURCE = f"WITH {_rollup_sql('r_ts', 'app')}, b AS (SELECT epoch_us(ts) // 300000000 * 300 AS bucket, app AS name, wire AS m FROM r_ts_1 WHERE @span)"
-register("series_rollup_app", lambda t: _rounded(series.series_by(t, LONG, "app", now=NOW)), _series_sql(LONG, "app", "true", "wire", 8, 300, _TS_SOURCE))
-_HOST_SOURCE = f"WITH {_rollup_sql('r_host', 'ip')}, b AS (SELECT epoch_us(ts) // 10800000000 * 10800 AS bucket, ip AS name, wire AS m FROM r_host_1 WHERE role = 1 AND @span)"
-register("series_rollup_client", lambda t: _rounded(series.series_by(t, MONTH, "client", now=NOW)), _series_sql(MONTH, "ip", "true", "wire", 8, 10800, _HOST_SOURCE))
+    register(f"series_{_n}", lambda t, n=_n: _rounded(series.series_by(t, MARCH, n, now=NOW)), _series_sql(MARCH, _k, _c, "wire", 8, STEP))
+register("series_pkts", lambda t: _rounded(series.series_by(t, MARCH, "app", "pkts", 5, now=NOW)), _series_sql(MARCH, "app", "true", "pkts", 5, STEP))
+_TOKYO = Query(MARCH.start, MARCH.end, (Filter("vlan", "4095", True),), offset=timedelta(hours=9))
+register("series_tz", lambda t: _rounded(series.series_by(t, _TOKYO, "app", now=NOW)), _series_sql(_TOKYO, "app", "vlan <> 4095", "wire", 8, STEP, offset=32400))
+_TS_SOURCE = f"WITH {_rollup_sql('r_ts', 'app')}, b AS (SELECT epoch_us(ts) // 1000000 // {STEP} * {STEP} AS bucket, app AS name, wire AS m FROM r_ts_1 WHERE @span)"
+register("series_rollup_app", lambda t: _rounded(series.series_by(t, MARCH, "app", now=NOW)), _series_sql(MARCH, "app", "true", "wire", 8, STEP, _TS_SOURCE), True)
+_HOST_SOURCE = f"WITH {_rollup_sql('r_host', 'ip')}, b AS (SELECT epoch_us(ts) // 1000000 // {QUARTER_STEP} * {QUARTER_STEP} AS bucket, ip AS name, wire AS m FROM r_host_1 WHERE role = 1 AND @span)"
+register("series_rollup_client", lambda t: _rounded(series.series_by(t, QUARTER, "client", now=NOW)), _series_sql(QUARTER, "ip", "true", "wire", 8, QUARTER_STEP, _HOST_SOURCE), True)
 register(
-    "series_total", lambda t: _rounded(series.total_series(t, SHORT, NOW)),
-    f"""{_detail(SHORT)}, n AS (SELECT unnest(range({int(SHORT.start.timestamp())}, {int(SHORT.end.timestamp())}, 300)) AS bucket)
-        SELECT n.bucket, round(coalesce(sum(wire), 0)::DOUBLE * 8 / 300, 3) AS value FROM n LEFT JOIN d ON epoch_us(ts) // 300000000 * 300 = n.bucket GROUP BY 1""",
+    "series_total", lambda t: _rounded(series.total_series(t, MARCH, NOW)),
+    f"""{_detail(MARCH)}, n AS (SELECT unnest(range({int(MARCH.start.timestamp())}, {int(MARCH.end.timestamp())}, {STEP})) AS bucket)
+        SELECT n.bucket, round(coalesce(sum(wire), 0)::DOUBLE * 8 / {STEP}, 3) AS value FROM n LEFT JOIN d ON epoch_us(ts) // 1000000 // {STEP} * {STEP} = n.bucket GROUP BY 1""",
 )
 
 # -- totals, records
 _TOTALS = """SELECT {sums}, CAST((SELECT count(*) FROM (SELECT client FROM d WHERE cli_int UNION SELECT server FROM d WHERE srv_int)) AS BIGINT) AS hosts,
     CAST((SELECT count(*) FROM (SELECT DISTINCT CASE WHEN NOT srv_int THEN server ELSE client END FROM d WHERE NOT srv_int OR NOT cli_int)) AS BIGINT) AS peers,
     CAST(count(DISTINCT nullif(peer_cc, '')) AS BIGINT) AS countries FROM d""".format(sums=_SUMS)
-register("totals", lambda t: totals.totals(t, SHORT), f"{_detail(SHORT)} {_TOTALS}")
-_DEVICE = SHORT.also(Filter("exporter", "10.66.0.1"))
-register("totals_device", lambda t: totals.totals(t, _DEVICE), f"{_detail(SHORT, _ONE_DEVICE['exporter'][1], True)} {_TOTALS}")
+register("totals", lambda t: totals.totals(t, MARCH), f"{_detail(MARCH)} {_TOTALS}")
+_DEVICE = MARCH.also(Filter("exporter", "10.66.0.1"))
+register("totals_device", lambda t: totals.totals(t, _DEVICE), f"{_detail(MARCH, _ONE_DEVICE['exporter'][1], True)} {_TOTALS}")
 register(
-    "totals_rollup", lambda t: totals.totals(t, MONTH),
+    "totals_rollup", lambda t: totals.totals(t, QUARTER),
     f"""WITH {_rollup_sql('r_ts', 'app')}, {_rollup_sql('r_host', 'ip')}, {_rollup_sql('r_dim', 'val')}
         SELECT CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(wire), 0) AS BIGINT) AS wire, CAST(coalesce(sum(pkts), 0) AS BIGINT) AS pkts, CAST(coalesce(sum(flows), 0) AS BIGINT) AS flows,
-          (SELECT count(DISTINCT ip) FROM r_host_1 WHERE internal AND {_span(MONTH)}) AS hosts, (SELECT count(DISTINCT ip) FROM r_host_1 WHERE NOT internal AND {_span(MONTH)}) AS peers,
-          (SELECT count(DISTINCT val) FROM r_dim_1 WHERE dim = 'country' AND val NOT IN ('', '__internal__') AND {_span(MONTH)}) AS countries FROM r_ts_1 WHERE {_span(MONTH)}""",
+          (SELECT count(DISTINCT ip) FROM r_host_1 WHERE internal AND {_span(QUARTER)}) AS hosts, (SELECT count(DISTINCT ip) FROM r_host_1 WHERE NOT internal AND {_span(QUARTER)}) AS peers,
+          (SELECT count(DISTINCT val) FROM r_dim_1 WHERE dim = 'country' AND val NOT IN ('', '__internal__') AND {_span(QUARTER)}) AS countries FROM r_ts_1 WHERE {_span(QUARTER)}""", True,
 )
-register("host_counts", lambda t: totals.host_counts(t, LONG.also(Filter("dir", "internal", True))), f"""{_detail(LONG, "dir <> 3")}
+register("host_counts", lambda t: totals.host_counts(t, MARCH.also(Filter("dir", "internal", True))), f"""{_detail(MARCH, "dir <> 3")}
         SELECT (SELECT count(*) FROM (SELECT client FROM d WHERE cli_int UNION SELECT server FROM d WHERE srv_int)) AS hosts,
           (SELECT count(*) FROM (SELECT DISTINCT CASE WHEN NOT srv_int THEN server ELSE client END FROM d WHERE NOT srv_int OR NOT cli_int)) AS peers""")
-register("records_page", lambda t: totals.records(t, SHORT, 200, 100), f"""{_detail(SHORT)} SELECT epoch_us(ts) // 1000 AS ts_ms, client, server, CASE WHEN client = src THEN sport ELSE dport END AS cport, svc_port, proto, app, peer_cc, peer_asn, encap, wire, pkts, exporter, in_if, out_if, vlan, tcp_flags, mult, dir, threat
+register("records_page", lambda t: totals.records(t, MARCH, 200, 100), f"""{_detail(MARCH)} SELECT epoch_us(ts) // 1000 AS ts_ms, client, server, CASE WHEN client = src THEN sport ELSE dport END AS cport, svc_port, proto, app, peer_cc, peer_asn, encap, wire, pkts, exporter, in_if, out_if, vlan, tcp_flags, mult, dir, threat
         FROM d ORDER BY ts DESC, wire DESC, client, server, cport, svc_port, proto, exporter, in_if, out_if, dir, vlan, pkts, src LIMIT 200 OFFSET 100""")
-register("record_counts", lambda t: totals.record_counts(t, SHORT), f"{_detail(SHORT)} SELECT epoch_us(ts) // 300000000 * 300 AS bucket, count(*) AS rows, CAST(sum(flows) AS BIGINT) AS flows FROM d GROUP BY 1")
+register("record_counts", lambda t: totals.record_counts(t, MARCH), f"{_detail(MARCH)} SELECT epoch_us(ts) // 1000000 // {STEP} * {STEP} AS bucket, count(*) AS rows, CAST(sum(flows) AS BIGINT) AS flows FROM d GROUP BY 1")
 
 # -- paths and rings
 _PATHS = {"host": ("CASE WHEN dir = 2 THEN server ELSE client END", "app"), "segment": ("segment", "app"), "conv": ("client", _PORT)}
 _CC = "CASE WHEN dir = 3 THEN '__internal__' WHEN peer_cc = '' THEN '__unknown__' ELSE peer_cc END"
 for _n, (_a, _b) in _PATHS.items():
     _m = 8 if _n == "conv" else 6
-    register(f"sankey_{_n}", lambda t, n=_n, m=_m: paths.sankey(t, SHORT, n, 8, m), f"""{_detail(SHORT)}, b AS (SELECT {_a} AS c0, {_b} AS c1, {'server' if _n == 'conv' else _CC} AS c2, wire AS w FROM d),
+    register(f"sankey_{_n}", lambda t, n=_n, m=_m: paths.sankey(t, MARCH, n, 8, m), f"""{_detail(MARCH)}, b AS (SELECT {_a} AS c0, {_b} AS c1, {'server' if _n == 'conv' else _CC} AS c2, wire AS w FROM d),
         t0 AS (SELECT c0 FROM b GROUP BY 1 ORDER BY sum(w) DESC, c0 LIMIT 8), t2 AS (SELECT c2 FROM b GROUP BY 1 ORDER BY sum(w) DESC, c2 LIMIT {_m})
         SELECT CASE WHEN c0 IN (SELECT c0 FROM t0) THEN c0 ELSE '__other__' END AS c0, c1, CASE WHEN c2 IN (SELECT c2 FROM t2) THEN c2 ELSE '__other__' END AS c2, CAST(sum(w) AS BIGINT) AS wire FROM b GROUP BY 1, 2, 3""")
-_LINKS = f"""{_detail(SHORT)}, b AS (SELECT {_PATHS['host'][0]} AS c0, app AS c1, {_CC} AS c2, wire AS w FROM d),
+_LINKS = f"""{_detail(MARCH)}, b AS (SELECT {_PATHS['host'][0]} AS c0, app AS c1, {_CC} AS c2, wire AS w FROM d),
         t0 AS (SELECT c0 FROM b GROUP BY 1 ORDER BY sum(w) DESC, c0 LIMIT 8), t2 AS (SELECT c2 FROM b GROUP BY 1 ORDER BY sum(w) DESC, c2 LIMIT 6),
         l AS (SELECT CASE WHEN c0 IN (SELECT c0 FROM t0) THEN c0 ELSE '__other__' END AS c0, c1, CASE WHEN c2 IN (SELECT c2 FROM t2) THEN c2 ELSE '__other__' END AS c2, sum(w) AS w FROM b GROUP BY 1, 2, 3),
         k0 AS (SELECT c0 FROM l GROUP BY 1 ORDER BY sum(w) DESC, c0 LIMIT 8), k1 AS (SELECT c1 FROM l GROUP BY 1 ORDER BY sum(w) DESC, c1 LIMIT 6), k2 AS (SELECT c2 FROM l GROUP BY 1 ORDER BY sum(w) DESC, c2 LIMIT 6),
         f AS (SELECT CASE WHEN c0 IN (SELECT c0 FROM k0) THEN c0 ELSE '__other__' END AS c0, CASE WHEN c1 IN (SELECT c1 FROM k1) THEN c1 ELSE '__other__' END AS c1, CASE WHEN c2 IN (SELECT c2 FROM k2) THEN c2 ELSE '__other__' END AS c2, w FROM l)
         SELECT 1 AS side, c0 AS source, c1 AS target, CAST(sum(w) AS BIGINT) AS wire FROM f GROUP BY 2, 3 UNION ALL SELECT 2, c1, c2, CAST(sum(w) AS BIGINT) FROM f GROUP BY 2, 3"""
-register("sankey_links", lambda t: paths.sankey_links(t, SHORT), _LINKS)
+register("sankey_links", lambda t: paths.sankey_links(t, MARCH), _LINKS)
 _RINGS = {"server": "server", "client": "client", "service": f"concat({_PORT}, chr(9), app)"}
 for _i, _o in (("server", "client"), ("client", "server"), ("service", "server")):
     _c = "svc_port <> 0" if "service" in (_i, _o) else "true"
-    register(f"rings_{_i}_{_o}", lambda t, i=_i, o=_o: paths.rings(t, SHORT, i, o), f"""{_detail(SHORT, _c)}, x AS (SELECT {_RINGS[_i]} AS i, {_RINGS[_o]} AS o, wire AS w FROM d),
+    register(f"rings_{_i}_{_o}", lambda t, i=_i, o=_o: paths.rings(t, MARCH, i, o), f"""{_detail(MARCH, _c)}, x AS (SELECT {_RINGS[_i]} AS i, {_RINGS[_o]} AS o, wire AS w FROM d),
         ti AS (SELECT i FROM x GROUP BY 1 ORDER BY sum(w) DESC, i LIMIT 8),
         p AS (SELECT CASE WHEN i IN (SELECT i FROM ti) THEN i ELSE '__other__' END AS i, CASE WHEN i IN (SELECT i FROM ti) THEN o ELSE '__other__' END AS o, CAST(sum(w) AS BIGINT) AS w FROM x GROUP BY 1, 2),
         r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY w DESC, o) AS rn FROM p)
         SELECT 1 AS level, '' AS parent, i AS key, CAST(sum(w) AS BIGINT) AS wire FROM p GROUP BY i
         UNION ALL SELECT 2, i, CASE WHEN rn <= 8 AND i <> '__other__' THEN o ELSE '__other__' END, CAST(sum(w) AS BIGINT) FROM r GROUP BY 2, 3 HAVING sum(w) > 0""")
-_SEG = f"""{_detail(SHORT, "dir IN (1, 2) AND peer_cc <> ''")}, s AS (SELECT segment, peer_cc AS country, CAST(sum(wire) AS BIGINT) AS wire FROM d GROUP BY 1, 2 ORDER BY wire DESC, segment, country LIMIT 2000)"""
-register("segment_countries", lambda t: paths.segment_countries(t, SHORT), f"{_SEG} SELECT * FROM s")
+_SEG = f"""{_detail(MARCH, "dir IN (1, 2) AND peer_cc <> ''")}, s AS (SELECT segment, peer_cc AS country, CAST(sum(wire) AS BIGINT) AS wire FROM d GROUP BY 1, 2 ORDER BY wire DESC, segment, country LIMIT 2000)"""
+register("segment_countries", lambda t: paths.segment_countries(t, MARCH), f"{_SEG} SELECT * FROM s")
 
 
 def _origins(t: Tables) -> DataFrame:
     """Where each segment is, for the map: a fixed rule over the segments' numbers."""
     number = F.expr("CASE WHEN segment LIKE 'seg-%' THEN try_cast(substr(segment, 5) AS INT) END")
-    return t.flows.select("segment").distinct().select("segment", F.when(number % 3 == 0, "DE").when(number % 3 == 1, "JP").otherwise("").alias("cc"))
+    return t.rows().select("segment").distinct().select("segment", F.when(number % 3 == 0, "DE").when(number % 3 == 1, "JP").otherwise("").alias("cc"))
 
 
-register("geo_lines", lambda t: paths.geo_lines(t, SHORT, _origins(t)), f"""{_SEG}, o AS (SELECT *, CASE try_cast(substr(segment, 5) AS INT) % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'JP' ELSE '' END AS source FROM s WHERE segment LIKE 'seg-%')
+register("geo_lines", lambda t: paths.geo_lines(t, MARCH, _origins(t)), f"""{_SEG}, o AS (SELECT *, CASE try_cast(substr(segment, 5) AS INT) % 3 WHEN 0 THEN 'DE' WHEN 1 THEN 'JP' ELSE '' END AS source FROM s WHERE segment LIKE 'seg-%')
         SELECT source, country AS target, CAST(sum(wire) AS BIGINT) AS wire FROM o WHERE source <> '' AND source <> country GROUP BY 1, 2""")
 
 # -- interfaces. The counters of the test tables end the day before the flows begin; the flows are read a week earlier.
-WEEK = Query(datetime(2026, 3, 3), datetime(2026, 3, 5))
 
 
 def _shifted(t: Tables) -> Tables:
-    return replace(t.without_rollups(), flows=t.flows.withColumn("ts", F.col("ts") - F.expr("interval 7 days")))
+    return replace(t, flows=t.flows.withColumn("ts", F.col("ts") - F.expr("interval 7 days")))
 
 
 _BACK = _FLOWS.replace("SELECT * REPLACE (", "SELECT * REPLACE (ts - INTERVAL 7 DAY AS ts, ")
@@ -254,75 +255,74 @@ def _cells_sql(lo: int, hi: int, step: int, cols: tuple[str, ...]) -> str:
         cells AS (SELECT exporter, ifindex, b0 // 1000000 AS bucket, ov / 1e6 AS secs, {part} FROM (SELECT *, (least(b0 + {step}, z) - greatest(b0, a))::DOUBLE AS ov FROM grid))"""
 
 
-_W0, _W1 = int(WEEK.start.timestamp()) * 10**6, int(WEEK.end.timestamp()) * 10**6
-register("iface_hours", lambda t: interfaces.interface_hours(t, WEEK), f"""WITH {_pairs_sql(WEEK, 3600 * 10**6, 3600 * 10**6, True)}, {_cells_sql(_W0, _W1, 3600 * 10**6, ('in_oct', 'out_oct', 'in_pkts', 'out_pkts'))}
+_W0, _W1 = int(POLLED.start.timestamp()) * 10**6, int(POLLED.end.timestamp()) * 10**6
+register("iface_hours", lambda t: interfaces.interface_hours(t, POLLED), f"""WITH {_pairs_sql(POLLED, 3600 * 10**6, 3600 * 10**6, True)}, {_cells_sql(_W0, _W1, 3600 * 10**6, ('in_oct', 'out_oct', 'in_pkts', 'out_pkts'))}
         SELECT bucket AS start, exporter, ifindex, CAST(round(sum(in_oct)) AS BIGINT) AS in_oct, CAST(round(sum(out_oct)) AS BIGINT) AS out_oct, CAST(round(sum(in_pkts)) AS BIGINT) AS in_pkts, CAST(round(sum(out_pkts)) AS BIGINT) AS out_pkts FROM cells GROUP BY 1, 2, 3""")
-_RECON_STEP = 900
+_RECON_STEP = POLLED_STEP
 _N = (_W1 - _W0) // 10**6 // _RECON_STEP + 1
-_RECON = f"""WITH {_BACK}, {_pairs_sql(WEEK, 600 * 10**6, 0, False)}, {_cells_sql(_W0, _W0 + _N * _RECON_STEP * 10**6, _RECON_STEP * 10**6, ('in_oct', 'out_oct'))},
+_RECON = f"""WITH {_BACK}, {_pairs_sql(POLLED, 600 * 10**6, 0, False)}, {_cells_sql(_W0, _W0 + _N * _RECON_STEP * 10**6, _RECON_STEP * 10**6, ('in_oct', 'out_oct'))},
         c AS (SELECT exporter, ifindex, bucket, sum(in_oct) AS in_ctr, sum(out_oct) AS out_ctr, sum(secs) AS secs FROM cells GROUP BY 1, 2, 3),
-        fi AS (SELECT exporter, in_if AS ifindex, epoch_us(ts) // 1000000 // {_RECON_STEP} * {_RECON_STEP} AS bucket, sum(wire) AS w FROM flows WHERE in_if <> 0 AND {_span(WEEK)} GROUP BY 1, 2, 3),
-        fo AS (SELECT exporter, out_if AS ifindex, epoch_us(ts) // 1000000 // {_RECON_STEP} * {_RECON_STEP} AS bucket, sum(wire) AS w FROM flows WHERE out_if <> 0 AND {_span(WEEK)} GROUP BY 1, 2, 3),
+        fi AS (SELECT exporter, in_if AS ifindex, epoch_us(ts) // 1000000 // {_RECON_STEP} * {_RECON_STEP} AS bucket, sum(wire) AS w FROM flows WHERE in_if <> 0 AND {_span(POLLED)} GROUP BY 1, 2, 3),
+        fo AS (SELECT exporter, out_if AS ifindex, epoch_us(ts) // 1000000 // {_RECON_STEP} * {_RECON_STEP} AS bucket, sum(wire) AS w FROM flows WHERE out_if <> 0 AND {_span(POLLED)} GROUP BY 1, 2, 3),
         r AS (SELECT coalesce(c.exporter, fi.exporter, fo.exporter) AS exporter, coalesce(c.ifindex, fi.ifindex, fo.ifindex) AS ifindex, coalesce(c.bucket, fi.bucket, fo.bucket) AS bucket,
           coalesce(secs, 0) >= {0.9 * _RECON_STEP} AS covered, coalesce(in_ctr, 0) AS in_ctr, coalesce(out_ctr, 0) AS out_ctr, coalesce(fi.w, 0) AS in_flow, coalesce(fo.w, 0) AS out_flow
           FROM c FULL JOIN fi ON c.exporter = fi.exporter AND c.ifindex = fi.ifindex AND c.bucket = fi.bucket
           FULL JOIN fo ON coalesce(c.exporter, fi.exporter) = fo.exporter AND coalesce(c.ifindex, fi.ifindex) = fo.ifindex AND coalesce(c.bucket, fi.bucket) = fo.bucket)"""
 register(
-    "recon", lambda t: interfaces.recon_buckets(_shifted(t), WEEK).select("exporter", "ifindex", "bucket", "covered", F.round("in_ctr", 0).alias("in_ctr"), F.round("out_ctr", 0).alias("out_ctr"), F.col("in_flow").cast("long").alias("in_flow"), F.col("out_flow").cast("long").alias("out_flow")),
+    "recon", lambda t: interfaces.recon_buckets(_shifted(t), POLLED).select("exporter", "ifindex", "bucket", "covered", F.round("in_ctr", 0).alias("in_ctr"), F.round("out_ctr", 0).alias("out_ctr"), F.col("in_flow").cast("long").alias("in_flow"), F.col("out_flow").cast("long").alias("out_flow")),
     f"{_RECON} SELECT exporter, ifindex, bucket, covered, round(in_ctr) AS in_ctr, round(out_ctr) AS out_ctr, CAST(in_flow AS BIGINT) AS in_flow, CAST(out_flow AS BIGINT) AS out_flow FROM r",
 )
 register(
-    "recon_summary", lambda t: interfaces.recon(_shifted(t), WEEK).select("exporter", "ifindex", "buckets", F.round("in_dev", 6).alias("in_dev"), F.round("out_dev", 6).alias("out_dev"), "in_flow_bytes", "in_no_flow", "out_no_flow"),
+    "recon_summary", lambda t: interfaces.recon(_shifted(t), POLLED).select("exporter", "ifindex", "buckets", F.round("in_dev", 6).alias("in_dev"), F.round("out_dev", 6).alias("out_dev"), "in_flow_bytes", "in_no_flow", "out_no_flow"),
     f"""{_RECON}, s AS (SELECT exporter, ifindex, count(*) AS buckets, sum(in_ctr) AS ic, sum(out_ctr) AS oc, sum(in_flow) AS i, sum(out_flow) AS o FROM r WHERE covered AND bucket + {_RECON_STEP} <= {_W1 // 10**6} GROUP BY 1, 2)
         SELECT exporter, ifindex, buckets, round(CASE WHEN ic > 0 THEN (i - ic) / ic ELSE 0 END, 6) AS in_dev, round(CASE WHEN oc > 0 THEN (o - oc) / oc ELSE 0 END, 6) AS out_dev, CAST(i AS BIGINT) AS in_flow_bytes, ic > 0 AND i = 0 AS in_no_flow, oc > 0 AND o = 0 AS out_no_flow FROM s""",
 )
 register(
-    "percentile_p95", lambda t: interfaces.counter_figures(_shifted(t), WEEK).select("exporter", "ifindex", *[F.round(c, 1).alias(c) for c in ("in_avg", "in_peak", "in95", "out_avg", "out_peak", "out95")], F.round("coverage", 6).alias("coverage")),
+    "percentile_p95", lambda t: interfaces.counter_figures(_shifted(t), POLLED).select("exporter", "ifindex", *[F.round(c, 1).alias(c) for c in ("in_avg", "in_peak", "in95", "out_avg", "out_peak", "out95")], F.round("coverage", 6).alias("coverage")),
     f"""{_RECON}, v AS (SELECT *, in_ctr * 8 / {_RECON_STEP} AS i, out_ctr * 8 / {_RECON_STEP} AS o FROM r WHERE covered AND bucket + {_RECON_STEP} <= {_W1 // 10**6})
         SELECT exporter, ifindex, round(avg(i), 1) AS in_avg, round(max(i), 1) AS in_peak, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY i), 1) AS in95, round(avg(o), 1) AS out_avg, round(max(o), 1) AS out_peak, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY o), 1) AS out95, round(count(*)::DOUBLE / {_N}, 6) AS coverage FROM v GROUP BY 1, 2""",
 )
 register(
-    "interfaces", lambda t: interfaces.interfaces(_shifted(t), WEEK).drop("peer"),
-    f"""WITH {_BACK}, k AS (SELECT {_EXPORTER} AS exporter, ifindex, coalesce(max(speed), 0) AS speed, true AS counters FROM ifc WHERE {_span(WEEK)} GROUP BY 1, 2),
-        i AS (SELECT exporter, in_if AS ifindex, CAST(sum(wire) AS BIGINT) AS in_wire FROM flows WHERE in_if <> 0 AND {_span(WEEK)} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 200),
-        o AS (SELECT exporter, out_if AS ifindex, CAST(sum(wire) AS BIGINT) AS out_wire FROM flows WHERE out_if <> 0 AND {_span(WEEK)} GROUP BY 1, 2 ORDER BY 3 DESC, 1, 2 LIMIT 200)
+    "interfaces", lambda t: interfaces.interfaces(_shifted(t), POLLED).drop("peer"),
+    f"""WITH {_BACK}, k AS (SELECT {_EXPORTER} AS exporter, ifindex, coalesce(max(speed), 0) AS speed, true AS counters FROM ifc WHERE {_span(POLLED)} GROUP BY 1, 2),
+        i AS (SELECT exporter, in_if AS ifindex, CAST(sum(wire) AS BIGINT) AS in_wire FROM flows WHERE in_if <> 0 AND {_span(POLLED)} GROUP BY 1, 2),
+        o AS (SELECT exporter, out_if AS ifindex, CAST(sum(wire) AS BIGINT) AS out_wire FROM flows WHERE out_if <> 0 AND {_span(POLLED)} GROUP BY 1, 2)
         SELECT exporter, ifindex, coalesce(speed, 0) AS speed, coalesce(counters, false) AS counters, coalesce(in_wire, 0) AS in_wire, coalesce(out_wire, 0) AS out_wire
         FROM k FULL JOIN i USING (exporter, ifindex) FULL JOIN o USING (exporter, ifindex)""",
 )
-register("interface_peers", lambda t: interfaces.interfaces(_shifted(t), WEEK))
-register("report_interfaces", lambda t: interfaces.report_interfaces(_shifted(t), WEEK))
+register("interface_peers", lambda t: interfaces.interfaces(_shifted(t), POLLED))
+register("report_interfaces", lambda t: interfaces.report_interfaces(_shifted(t), POLLED))
 
 # -- overview and report
 
 
+_APRIL = MARCH.shifted(MARCH.span)
+
+
 def _ahead(t: Tables) -> Tables:
-    """The flows and the same flows a day later, so that a range has one to be compared with."""
-    later = t.flows.withColumn("ts", F.col("ts") + F.expr("interval 1 day"))
-    return replace(t.without_rollups(), flows=t.flows.where(SHORT.in_range()).unionByName(later.where(F.col("ts") >= F.lit(SHORT.start + timedelta(days=1)))))
+    """The flows and the same flows a range later, so that a range has one to be compared with."""
+    later = t.flows.withColumn("ts", F.col("ts") + F.expr(f"interval {MARCH.span.days} days"))
+    return replace(t, flows=t.flows.unionByName(later))
 
 
-register("overview_totals", lambda t: overview.totals_with_base(t, Query(DAY + timedelta(days=1), DAY + timedelta(days=1, hours=6))).drop("hosts", "peers"), f"""WITH {_FLOWS}
-        SELECT which, CAST(coalesce(sum(bytes), 0) AS BIGINT) AS bytes, CAST(coalesce(sum(wire), 0) AS BIGINT) AS wire, CAST(coalesce(sum(pkts), 0) AS BIGINT) AS pkts, CAST(coalesce(sum(flows), 0) AS BIGINT) AS flows, count(DISTINCT nullif(peer_cc, '')) AS countries
-        FROM (VALUES ('now', {int(DAY.timestamp()) + 86400}), ('day', {int(DAY.timestamp())})) v(which, s) LEFT JOIN flows ON NOT dup AND epoch_us(ts) >= s::BIGINT * 1000000 AND epoch_us(ts) < (s::BIGINT + 21600) * 1000000 GROUP BY 1""")
+register("overview_totals", lambda t: overview.totals_with_base(_ahead(t), _APRIL), f"""WITH {_FLOWS}, d AS (SELECT * FROM flows WHERE NOT dup AND {_span(MARCH)}), t AS ({_TOTALS}) SELECT 'now' AS which, * FROM t UNION ALL SELECT 'prev', * FROM t""")
 for _d, _k in (("dir", 4), ("proto", 2), ("country", 3)):
-    register(f"overview_share_{_d}", lambda t, d=_d, k=_k: overview.shares(t, SHORT, d, k), f"""{_detail(SHORT)}, g AS (SELECT {_KEYS[_d][0]} AS key, CAST(sum(wire) AS BIGINT) AS wire FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
+    register(f"overview_share_{_d}", lambda t, d=_d, k=_k: overview.shares(t, MARCH, d, k), f"""{_detail(MARCH)}, g AS (SELECT {_KEYS[_d][0]} AS key, CAST(sum(wire) AS BIGINT) AS wire FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20),
         r AS (SELECT *, row_number() OVER (ORDER BY wire DESC, key) AS rn FROM g) SELECT CASE WHEN rn <= {_k} AND key <> '' THEN key ELSE '__other__' END AS key, CAST(sum(wire) AS BIGINT) AS wire FROM r GROUP BY 1 HAVING sum(wire) > 0""")
-_NEXT = Query(DAY + timedelta(days=1), DAY + timedelta(days=1, hours=6))
-_BEFORE = Query(DAY, DAY + timedelta(hours=6))
-register("overview_top_clients", lambda t: overview.top_with_base(_ahead(t), _NEXT), f"""{_detail(_BEFORE)}, k AS (SELECT client AS key, CAST(sum(wire) AS BIGINT) AS wire FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
+register("overview_top_clients", lambda t: overview.top_with_base(_ahead(t), _APRIL), f"""{_detail(MARCH)}, k AS (SELECT client AS key, CAST(sum(wire) AS BIGINT) AS wire FROM d GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10),
         e AS (SELECT client AS key, wire FROM d UNION ALL SELECT server, wire FROM d WHERE server <> client)
         SELECT key, k.wire, CAST(coalesce(sum(e.wire), 0) AS BIGINT) AS base FROM k LEFT JOIN e USING (key) GROUP BY 1, 2""")
-register("report_head", lambda t: overview.report_head(t, SHORT, NOW).select("wire", F.round("avg_bps", 3).alias("avg_bps"), F.round("peak_bps", 3).alias("peak_bps"), F.round("p95_bps", 3).alias("p95_bps")), f"""{_detail(SHORT)}, n AS (SELECT unnest(range({int(SHORT.start.timestamp())}, {int(SHORT.end.timestamp())}, 300)) AS bucket),
-        v AS (SELECT n.bucket, coalesce(sum(wire), 0)::DOUBLE * 8 / 300 AS value FROM n LEFT JOIN d ON epoch_us(ts) // 300000000 * 300 = n.bucket GROUP BY 1)
-        SELECT (SELECT CAST(sum(wire) AS BIGINT) FROM d) AS wire, round((SELECT sum(wire)::DOUBLE * 8 / 21600 FROM d), 3) AS avg_bps, round(max(value), 3) AS peak_bps, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 3) AS p95_bps FROM v""")
+register("report_head", lambda t: overview.report_head(t, MARCH, NOW).select("wire", F.round("avg_bps", 3).alias("avg_bps"), F.round("peak_bps", 3).alias("peak_bps"), F.round("p95_bps", 3).alias("p95_bps")), f"""{_detail(MARCH)}, n AS (SELECT unnest(range({int(MARCH.start.timestamp())}, {int(MARCH.end.timestamp())}, {STEP})) AS bucket),
+        v AS (SELECT n.bucket, coalesce(sum(wire), 0)::DOUBLE * 8 / {STEP} AS value FROM n LEFT JOIN d ON epoch_us(ts) // 1000000 // {STEP} * {STEP} = n.bucket GROUP BY 1)
+        SELECT (SELECT CAST(sum(wire) AS BIGINT) FROM d) AS wire, round((SELECT sum(wire)::DOUBLE * 8 / {int(MARCH.span.total_seconds())} FROM d), 3) AS avg_bps, round(max(value), 3) AS peak_bps, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 3) AS p95_bps FROM v""")
 
 # -- summaries from flow rows
 _DIM_SQL = [("app", "app", "true"), ("port", f"concat({_PORT}, chr(9), app)", "true"), ("country", "CASE WHEN dir = 3 THEN '__internal__' ELSE peer_cc END", "true"), ("proto", "CAST(proto AS VARCHAR)", "true"), ("dir", "CAST(dir AS VARCHAR)", "true"), ("exporter", "exporter", "true"), ("segment", "segment", "true"), ("encap", "CAST(encap AS VARCHAR)", "true"), ("asn", _ASN, "peer_asn <> 0")]
 _HOUR = "epoch_us(ts) // 3600000000 * 3600 AS ts_s"
 _epoch = lambda df: df.withColumn("ts_s", F.unix_seconds("ts")).drop("ts")
-register("rollup_ts", lambda t: _epoch(rollups.r_ts(t.flows)), f"WITH {_FLOWS} SELECT epoch_us(ts) // 1000000 AS ts_s, app, {_SUMS} FROM flows WHERE NOT dup GROUP BY 1, 2")
-register("rollup_host", lambda t: _epoch(rollups.r_host(t.flows)), f"WITH {_FLOWS} SELECT {_HOUR}, client AS ip, 1 AS role, cli_int AS internal, {_SUMS} FROM flows WHERE NOT dup GROUP BY 1, 2, 4 UNION ALL SELECT {_HOUR}, server, 2, srv_int, {_SUMS} FROM flows WHERE NOT dup GROUP BY 1, 2, 4")
-register("rollup_dim", lambda t: _epoch(rollups.r_dim(t.flows)), f"WITH {_FLOWS} " + " UNION ALL ".join(f"SELECT {_HOUR}, '{d}' AS dim, {v} AS val, {_SUMS} FROM flows WHERE NOT dup AND {ok} GROUP BY 1, 3" for d, v, ok in _DIM_SQL))
+register("rollup_ts", lambda t: _epoch(rollups.r_ts(t.rows())), f"WITH {_FLOWS} SELECT epoch_us(ts) // 1000000 AS ts_s, app, {_SUMS} FROM flows WHERE NOT dup GROUP BY 1, 2")
+register("rollup_host", lambda t: _epoch(rollups.r_host(t.rows())), f"WITH {_FLOWS} SELECT {_HOUR}, client AS ip, 1 AS role, cli_int AS internal, {_SUMS} FROM flows WHERE NOT dup GROUP BY 1, 2, 4 UNION ALL SELECT {_HOUR}, server, 2, srv_int, {_SUMS} FROM flows WHERE NOT dup GROUP BY 1, 2, 4")
+register("rollup_dim", lambda t: _epoch(rollups.r_dim(t.rows())), f"WITH {_FLOWS} " + " UNION ALL ".join(f"SELECT {_HOUR}, '{d}' AS dim, {v} AS val, {_SUMS} FROM flows WHERE NOT dup AND {ok} GROUP BY 1, 3" for d, v, ok in _DIM_SQL))
 _VIEWS = f"v AS (SELECT *, exporter AS iface, 0 AS side FROM flows UNION ALL SELECT *, concat(exporter, '/', in_if), CASE WHEN in_if = out_if THEN 3 ELSE 1 END FROM flows WHERE in_if <> 0 UNION ALL SELECT *, concat(exporter, '/', out_if), 2 FROM flows WHERE out_if <> 0 AND out_if <> in_if)"
-register("view_ts_if", lambda t: _epoch(rollups.r_ts_if(t.flows)), f"WITH {_FLOWS}, {_VIEWS} SELECT epoch_us(ts) // 300000000 * 300 AS ts_s, iface, side, app, {_SUMS} FROM v GROUP BY 1, 2, 3, 4")
-register("view_dim_if", lambda t: _epoch(rollups.r_dim_if(t.flows)), f"WITH {_FLOWS}, {_VIEWS} " + " UNION ALL ".join(f"SELECT {_HOUR}, iface, side, '{d}' AS dim, {v} AS val, {_SUMS} FROM v WHERE {ok} GROUP BY 1, 2, 3, 5" for d, v, ok in _DIM_SQL))
+register("view_ts_if", lambda t: _epoch(rollups.r_ts_if(t.rows())), f"WITH {_FLOWS}, {_VIEWS} SELECT epoch_us(ts) // 300000000 * 300 AS ts_s, iface, side, app, {_SUMS} FROM v GROUP BY 1, 2, 3, 4")
+register("view_dim_if", lambda t: _epoch(rollups.r_dim_if(t.rows())), f"WITH {_FLOWS}, {_VIEWS} " + " UNION ALL ".join(f"SELECT {_HOUR}, iface, side, '{d}' AS dim, {v} AS val, {_SUMS} FROM v WHERE {ok} GROUP BY 1, 2, 3, 5" for d, v, ok in _DIM_SQL))

@@ -91,7 +91,7 @@ def test_exfil_flood_threat_and_model_api(spark):
     threats = spark.createDataFrame([("4c0000207", "4c0000207", 0, 0, "bad")], "lo string, hi string, ordinal int, len int, list string")
     flows = flow_rows(spark, [dict(bytes=4_000_000, packets=4000), dict(dst="198.51.100.9", bytes=4_000_000, packets=4000)], asns=asns, threats=threats)
     rows = rules.windowed(flows, Limits(), END - timedelta(seconds=1), END)
-    (f,) = rules.model_api(rows, Limits()).collect()
+    (f,) = rules.model_api(rows, Limits(model_orgs=("openai", "example model maker"))).collect()
     assert (f.sev, f.dst) == (1, "192.0.2.7") and rules.model_api(rows, Limits(model_orgs=())).count() == 0
     (f,) = rules.threat(rows, Limits()).collect()
     assert (f.sev, f.port) == (3, "bad")
@@ -102,7 +102,8 @@ def test_findings_keep_all_threats_of_a_window(spark):
     flows = flow_rows(spark, [dict(start=60, end=60, src=f"10.1.{k // 250}.{k % 250 + 1}") for k in range(510)], threats=threats)
     got = findings.run(flows, END - timedelta(seconds=1), END, learned=False).where("kind = 'threat'").collect()
     assert {r.src for r in got} == {f"10.1.{k // 250}.{k % 250 + 1}" for k in range(510)}
-    assert rules.threat(rules.windowed(flows, Limits(), END - timedelta(seconds=1), END), Limits()).count() == 500
+    rows = rules.windowed(flows, Limits(), END - timedelta(seconds=1), END)
+    assert rules.threat(rows, Limits()).count() == 510 and rules.threat(rows, Limits(most={"threat": 500})).count() == 500
 
 
 def test_windows_overlap(spark):

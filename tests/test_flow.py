@@ -12,7 +12,7 @@ from netloom.functions.flow import total, unsigned_sum
 from netloom.operators import ingest, interfaces, overview, paths, ranges, rollups, series, topn, totals
 from netloom.plans import query
 from netloom.plans.query import Filter, Query
-from netloom.plans.tables import DEVICE, IN, OUT, BOTH, Tables, view_of
+from netloom.plans.tables import BOTH, DEVICE, IN, OUT, Tables, blanked_flows, clean_flows, view_of
 
 NOW = datetime(2026, 7, 1, tzinfo=timezone.utc)
 
@@ -271,3 +271,17 @@ def test_queries_on_nothing(spark):
     assert topn.top_n(empty, q, "client").count() == 0 and totals.totals(empty, q).first().wire == 0 and series.series_by(empty, q, "client", now=NOW).count() == 0
     assert paths.sankey(empty, q).count() == 0 and interfaces.interfaces(empty, q).count() == 0 and overview.shares(empty, q, "dir", 4).count() == 0
     assert series.total_series(empty, q, NOW).count() == 60
+
+
+def test_conditions_reach_the_scan_below_the_search_for_copies(spark, tmp_path):
+    rows = flow_rows(spark, [dict(start=60 * i, end=60 * i + 30, src_port=50000 + i) for i in range(10)])
+    hot = rows.withColumn("arrived", F.col("ts")).unionByName(rows.withColumn("arrived", F.col("ts") + F.expr("interval 1 hour")))
+    hot.write.parquet(f"{tmp_path}/hot.parquet")
+    t = Tables(blanked_flows(spark.read.parquet(f"{tmp_path}/hot.parquet")))
+    q = Query(T0 + timedelta(minutes=2), T0 + timedelta(minutes=5))
+    assert totals.totals(t, q).first().flows == 3 and t.rows().count() == 10
+    plan = topn.top_n(t, q, "app")._jdf.queryExecution().executedPlan().toString()
+    pushed = [x for x in plan.split("\n") if "PushedFilters" in x]
+    assert pushed and all("GreaterThanOrEqual(ts," in x and "LessThan(ts," in x for x in pushed)
+    plan = clean_flows(spark.read.parquet(f"{tmp_path}/hot.parquet")).where(q.in_range())._jdf.queryExecution().executedPlan().toString()
+    assert all("GreaterThanOrEqual(ts," in x for x in plan.split("\n") if "PushedFilters" in x)
