@@ -1,27 +1,59 @@
 """Per-minute totals that are corrected while late records arrive, up to a cut-off.
 
 Each batch of arrivals is appended to the retained raw rows.  The periods it touches are computed anew from all retained
-rows of those periods, written beside the earlier version, and become visible together when the batch's commit file
-appears.  Reading takes, of every period, the version of the last committed batch; a batch that died leaves no trace, and
-one that is run again replaces its own files.
+rows of those periods, written beside the earlier version, and become visible together when the commit of the batch appears.
+A commit is one small file that holds the whole state: which version of each period is current and where its raw rows lie.
+Commits are numbered in the order they were made, whatever the batches are called, so reading looks at the last one only; a
+batch that died leaves no trace, and one that is run again replaces its own files.
 """
 
 from __future__ import annotations
 
 import json
+from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netloom.core.columns import floor_div, micros
 from netloom.core.deliveries import first_deliveries
 
 MINUTE_US = 60_000_000
 MEASURES = ["bytes", "wire", "pkts", "flows"]
-RAW = ["ts", "app", *MEASURES, "dup", "arrival_seq", "arrived"]
+RAW = "ts timestamp, app string, bytes long, wire long, pkts long, flows long, dup boolean, arrival_seq long, arrived timestamp"
+COLUMNS = [c.split()[0] for c in RAW.split(", ")]
+TOTALS = "minute_us long, app string, bytes long, wire long, pkts long, flows long, records long"
+#: A period's raw rows are put together when they lie in more folders than this; commit files kept.
+PARTS, KEPT = 16, 3
+
+
+@dataclass
+class State:
+    """One commit.  applied: the batches taken in, as closed spans of numbers; closed_us: periods that end before it take no
+    more rows; refused: rows that came for such a period; current, raw: of each period the folder of its totals (none where
+    no row counts) and those of its raw rows."""
+
+    seq: int = 0
+    applied: list[list[int]] = field(default_factory=list)
+    closed_us: int | None = None
+    refused: int = 0
+    current: dict[str, str] = field(default_factory=dict)
+    raw: dict[str, list[str]] = field(default_factory=dict)
+
+    def has(self, batch: int) -> bool:
+        return any(a <= batch <= b for a, b in self.applied)
+
+    def add(self, batch: int) -> None:
+        spans: list[list[int]] = []
+        for a, b in sorted([*self.applied, [batch, batch]]):
+            if spans and a <= spans[-1][1] + 1:
+                spans[-1][1] = max(b, spans[-1][1])
+            else:
+                spans.append([a, b])
+        self.applied = spans
 
 
 class LateTotals:
-    """Totals per minute and app under one folder.
+    """Totals per minute and app under one folder; one writer at a time.
 
     late_us: rows that arrived more than this after their ts are left out; early_us: so are rows whose ts is more than
     this after their arrival.  period_us: size of the unit that is recomputed.
@@ -37,53 +69,80 @@ class LateTotals:
     def _fs(self):
         return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def commits(self) -> dict[int, list[int]]:
-        """The periods of each committed batch; a batch brings one small file."""
-        fs, at = self._fs(), self._path("commits")
-        if not fs.exists(at):
-            return {}
-        rows = self.spark.read.schema("batch long, periods array<long>").json(f"{self.folder}/commits").collect()
-        return {r.batch: r.periods for r in rows}
-
-    def _commit(self, batch: int, periods: list[int]) -> None:
-        fs, temp = self._fs(), self._path(f"pending-{batch}.json")
+    def _names(self, folder: str) -> list[str]:
+        fs, at = self._fs(), self._path(folder)
+        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def _periods(self, folder: str) -> list[str]:
+        return [n.removeprefix("period=") for n in self._names(folder) if n.startswith("period=")]
+
+    def state(self) -> State:
+        names = [n for n in self._names("commits") if n.endswith(".json")]
+        if not names:
+            return State()
+        stream = self._fs().open(self._path(f"commits/{names[-1]}"))
+        try:
+            return State(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+        finally:
+            stream.close()
+
+    def _commit(self, state: State) -> None:
+        fs, temp = self._fs(), self._path(f"pending-{state.seq}.json")
         out = fs.create(temp, True)
-        out.write(bytearray(json.dumps({"batch": batch, "periods": periods}).encode()))
+        out.write(bytearray(json.dumps(asdict(state)).encode()))
         out.close()
         fs.mkdirs(self._path("commits"))
-        fs.delete(self._path(f"commits/{batch}.json"), False)
-        if not fs.rename(temp, self._path(f"commits/{batch}.json")):
-            raise OSError(f"batch {batch} could not be committed")
+        if not fs.rename(temp, self._path(f"commits/{state.seq:012d}.json")):
+            raise OSError(f"commit {state.seq} could not be made; is there another writer?")
+        for old in [n for n in self._names("commits") if n.endswith(".json")][:-KEPT]:
+            fs.delete(self._path(f"commits/{old}"), False)
 
     # -- batches
+    def _delay(self) -> Column:
+        return micros(F.col("arrived")) - micros(F.col("ts"))
+
     def apply(self, rows: DataFrame, batch: int) -> list[int]:
-        """Take in one batch of arrivals; the touched periods. A batch number that was committed before does nothing."""
-        done = self.commits()
-        if batch in done:
-            return done[batch]
-        kept = rows.where(F.col("ts").isNotNull()).select(*RAW).withColumn("period", floor_div(micros(F.col("ts")), self.period_us)).withColumn("batch", F.lit(batch).cast("long"))
-        # batch is a folder of its own, so a repeated batch overwrites exactly what its first attempt left.
-        kept.write.mode("overwrite").partitionBy("period").parquet(f"{self.folder}/raw/batch={batch}")
-        periods = sorted(r.period for r in self._raw([batch]).select("period").distinct().collect())
+        """Take in one batch of arrivals, in any order of batches; the periods it touched. A batch that was taken in before
+        does nothing.
+
+        Rows without ts or arrived and rows past the cut-off touch no period and aren't retained: whatever of their record
+        came earlier decides.  Rows for a period that forget() has closed are counted as refused.
+        """
+        state = self.state()
+        if state.has(batch):
+            return []
+        state.seq += 1
+        own = f"{state.seq:012d}"
+        kept = rows.where(F.col("ts").isNotNull() & (self._delay() <= self.late_us)).select(*COLUMNS, floor_div(micros(F.col("ts")), self.period_us).alias("period"))
+        if state.closed_us is not None:
+            first_open = F.timestamp_micros(F.lit(state.closed_us // self.period_us * self.period_us))
+            state.refused += kept.where(F.col("ts") < first_open).count()
+            kept = kept.where(F.col("ts") >= first_open)
+        # Few files: rows of a period come together, a large period in several tasks.
+        kept.hint("rebalance", "period").write.mode("overwrite").partitionBy("period").parquet(f"{self.folder}/raw/{own}")
+        periods = self._periods(f"raw/{own}")
+        for p in periods:
+            state.raw.setdefault(p, []).append(own)
+        crowded = [p for p in periods if len(state.raw[p]) > PARTS]
+        if crowded:
+            self._raw(state, crowded).hint("rebalance", "period").write.mode("overwrite").partitionBy("period").parquet(f"{self.folder}/raw/{own}-whole")
+            state.raw |= {p: [f"{own}-whole"] for p in crowded}
         if periods:
-            raw = self._raw([*done, batch]).where(F.col("period").isin(periods))
-            self.totals(raw).withColumn("period", floor_div(F.col("minute_us"), self.period_us)).write.mode("overwrite").partitionBy("period").parquet(f"{self.folder}/totals/batch={batch}")
-        self._commit(batch, periods)
-        return periods
-
-    def _raw(self, batches: list[int]) -> DataFrame:
-        schema = T.StructType([*self._raw_fields(), T.StructField("period", T.LongType()), T.StructField("batch", T.LongType())])
-        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/raw").parquet(*[f"{self.folder}/raw/batch={b}" for b in batches])
-
-    @staticmethod
-    def _raw_fields() -> list[T.StructField]:
-        kind = {"ts": T.TimestampType(), "arrived": T.TimestampType(), "app": T.StringType(), "dup": T.BooleanType()}
-        return [T.StructField(c, kind.get(c, T.LongType())) for c in RAW]
+            totals = self.totals(self._raw(state, periods)).withColumn("period", floor_div(F.col("minute_us"), self.period_us))
+            totals.write.mode("overwrite").partitionBy("period").parquet(f"{self.folder}/totals/{own}")
+            counted = set(self._periods(f"totals/{own}"))
+            state.current = {p: v for p, v in state.current.items() if p not in periods} | {p: own for p in periods if p in counted}
+        state.add(batch)
+        self._commit(state)
+        return sorted(map(int, periods))
+
+    def _raw(self, state: State, periods: list[str]) -> DataFrame:
+        paths = [f"{self.folder}/raw/{part}/period={p}" for p in periods for part in state.raw[p]]
+        return self.spark.read.schema(RAW).parquet(*paths).withColumn("period", floor_div(micros(F.col("ts")), self.period_us))
 
     def totals(self, raw: DataFrame) -> DataFrame:
         """minute_us, app and sums of the rows that count; second deliveries once, the first one deciding."""
-        late = micros(F.col("arrived")) - micros(F.col("ts"))
-        counts = ~F.col("dup") & (late <= self.late_us) & (late >= -self.early_us)
+        counts = ~F.col("dup") & (self._delay() <= self.late_us) & (self._delay() >= -self.early_us)
         return (
             first_deliveries(raw).where(counts)
             .groupBy(floor_div(micros(F.col("ts")), MINUTE_US).alias("minute"), "app")
@@ -93,45 +152,45 @@ class LateTotals:
 
     # -- results
     def read(self) -> DataFrame:
-        """The current totals: of every period the version of the last batch that touched it."""
-        done = self.commits()
-        schema = "minute_us long, app string, bytes long, wire long, pkts long, flows long, records long, period long, batch long"
-        current: dict[int, int] = {}
-        for b in sorted(done):
-            current.update(dict.fromkeys(done[b], b))
-        paths = [f"{self.folder}/totals/batch={b}/period={p}" for p, b in current.items()]
-        fs = self._fs()
-        paths = [p for p in paths if fs.exists(self._path(p.removeprefix(self.folder + "/")))]  # a period may have no row that counts
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.folder}/totals").parquet(*paths)
+        """The current totals: of every period the version of the last commit that touched it."""
+        paths = [f"{self.folder}/totals/{v}/period={p}" for p, v in self.state().current.items()]
+        return self.spark.read.schema(TOTALS).parquet(*paths) if paths else self.spark.createDataFrame([], TOTALS)
 
     def forget(self, before_us: int) -> None:
-        """Drop superseded versions, and the raw rows of periods that end before before_us: their cut-off has passed."""
-        done = self.commits()
-        last: dict[int, int] = {}
-        for b in sorted(done):
-            last.update(dict.fromkeys(done[b], b))
+        """Close the periods that end at before_us or earlier (choose it late enough for their cut-off to have passed): their
+        totals stay as they are and their raw rows go, as do superseded versions.
+
+        What is to stay is committed before anything is deleted.
+        """
+        state = self.state()
+        state.seq += 1
+        state.closed_us = max(before_us, state.closed_us or before_us)
+        state.raw = {p: parts for p, parts in state.raw.items() if (int(p) + 1) * self.period_us > state.closed_us}
+        self._commit(state)
         fs = self._fs()
-        for b, periods in done.items():
-            for p in periods:
-                if last[p] != b:
-                    fs.delete(self._path(f"totals/batch={b}/period={p}"), True)
-                if (p + 1) * self.period_us < before_us:
-                    fs.delete(self._path(f"raw/batch={b}/period={p}"), True)
+        wanted = {f"totals/{v}/period={p}" for p, v in state.current.items()} | {f"raw/{part}/period={p}" for p, parts in state.raw.items() for part in parts}
+        for kind in ("raw", "totals"):
+            for version in self._names(kind):
+                inside = [f"{kind}/{version}/period={p}" for p in self._periods(f"{kind}/{version}")]
+                if not wanted & set(inside):
+                    fs.delete(self._path(f"{kind}/{version}"), True)
+                    continue
+                for name in set(inside) - wanted:
+                    fs.delete(self._path(name), True)
 
 
 def replay(hot: DataFrame, totals: LateTotals, batches: int = 4) -> LateTotals:
     """Bring a whole table in as batches, in order of arrival: equal spans of arrival time, rows without one in the last."""
     at = micros(F.col("arrived"))
-    first, last = hot.agg(F.min(at), F.max(at)).first()
+    first, last = hot.agg(F.min("arrived"), F.max("arrived")).select(*[micros(F.col(c)) for c in ("min(arrived)", "max(arrived)")]).first()
     if first is None:
         totals.apply(hot, 0)
         return totals
     width = (last - first) // batches + 1
     for b in range(batches):
-        inside = (at >= first + b * width) & (at < first + (b + 1) * width)
-        totals.apply(hot.where(inside if b < batches - 1 else inside | F.col("arrived").isNull()), b)
+        low, high = (F.timestamp_micros(F.lit(first + k * width)) for k in (b, b + 1))
+        inside = (F.col("arrived") >= low) & (F.col("arrived") < high)
+        totals.apply(hot.where(inside if b < batches - 1 else (at >= first + b * width) | F.col("arrived").isNull()), b)
     return totals
 
 

@@ -177,6 +177,30 @@ def test_a_dead_batch_leaves_no_trace(spark, monkeypatch):
     assert [r.wire for r in totals.read().collect()] == [110]
 
 
+def test_a_closed_period_keeps_its_totals(spark):
+    totals = late.LateTotals(spark, new_path(spark, "late"))
+    totals.apply(hot(spark, [(0, "A", 100, False, 1, 1), (200, "A", 5, False, 2, 201)]), 0)
+    totals.forget(int(at(180).timestamp() * 1e6))
+    totals.apply(hot(spark, [(0, "A", 9, False, 3, 300), (1, "A", 7, False, 4, 60), (200, "A", 6, False, 5, 202)]), 1)
+    assert {r.minute_us - int(T0.timestamp() * 1e6): r.wire for r in totals.read().collect()} == {0: 100, 200 * late.MINUTE_US: 11}
+    assert totals.state().refused == 1  # the row in time for a closed period; the one past the cut-off is none
+
+
+def test_batches_in_any_order(spark, monkeypatch):
+    monkeypatch.setattr(late, "PARTS", 2)
+    totals = late.LateTotals(spark, new_path(spark, "late"))
+    for batch, wire in ((5, 100), (3, 11), (4, 1), (9, 1000)):
+        totals.apply(hot(spark, [(0, "A", wire, False, batch, 1)]), batch)
+    assert totals.apply(hot(spark, [(0, "A", 11, False, 3, 1)]), 3) == []
+    assert [r.wire for r in totals.read().collect()] == [1112]
+    state = totals.state()
+    assert state.applied == [[3, 5], [9, 9]] and [len(v) for v in state.raw.values()] == [2]  # three parts became one
+    totals.forget(0)
+    assert len(totals._names("totals")) == 1 and len(totals._names("commits")) <= late.KEPT
+    totals.apply(hot(spark, [(0, "A", 1, False, 10, 1)]), 10)
+    assert [r.wire for r in totals.read().collect()] == [1113]
+
+
 def test_late_totals_of_nothing(spark):
     totals = late.replay(hot(spark, []), late.LateTotals(spark, new_path(spark, "late")))
     assert totals.read().count() == 0
