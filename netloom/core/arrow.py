@@ -13,6 +13,21 @@ from pyspark.sql.types import _parse_datatype_string
 ROWS = 20_000
 
 
+#: Bytes that a task of a scan reads, about, and tasks per core below which slow work on rows is spread out.
+SPLIT_BYTES, TASKS_A_CORE = 128 << 20, 4
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt out evenly where a scan would give so few tasks that the slowest decide.
+
+    For CPU-bound work on texts over a table of a few files.  The table's size is the optimiser's estimate, nothing is run;
+    large tables have tasks enough and aren't moved.
+    """
+    tasks = TASKS_A_CORE * df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df if size // SPLIT_BYTES >= tasks else df.repartition(tasks)
+
+
 def rows_mapped(df: DataFrame, each: Callable[[dict], Iterable[dict]], schema: str) -> DataFrame:
     """The rows that `each` makes of every row, in batches; columns it doesn't name are null."""
     names = [f.name for f in _parse_datatype_string(schema).fields]
