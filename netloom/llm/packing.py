@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from netloom.core.arrow import spread
 from netloom.core.shared import cut
 from netloom.llm import tokens
 
@@ -103,7 +104,7 @@ def token_counts(documents: DataFrame, path: str) -> DataFrame:
             n = [tokens.count(t.as_py(), path) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], names=["doc_id", "tokens"])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, tokens long")
+    return spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, "doc_id long, tokens long")
 
 
 def containers(documents: DataFrame, capacity: int, path: str = tokens.VOCABULARY) -> DataFrame:

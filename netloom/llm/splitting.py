@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netloom.core.arrow import spread
 from netloom.llm import tokens
 
 #: Strength of a boundary; the strongest are the last to be merged away.
@@ -93,9 +94,11 @@ def pieces(text: str, limit: int = 512, overlap: int = 64, path: str = tokens.VO
     repeats the end of the one before.
 
     The own parts follow one another and make up the text.  tokens is counted on the piece itself; where a cut raises the
-    count of a piece above the limit, it repeats a little less.  A single character may have up to four tokens, so limit -
-    overlap must be 8 at least.
+    count of a piece above the limit, it repeats a little less, and if that isn't enough it is cut once more.  A single character may have up to four tokens, so
+    limit - overlap must be 8 at least.
     """
+    if overlap < 0 or limit - overlap < 8:
+        raise ValueError(f"pieces of {limit} tokens can't overlap by {overlap}: 8 at least must be their own")
     ids = np.array(tokens.encode(text, path), np.int64)
     n = len(ids)
     if n <= limit:
@@ -113,7 +116,9 @@ def pieces(text: str, limit: int = 512, overlap: int = 64, path: str = tokens.VO
         return b if char_at is None else (int(char_at[b - 1]) if b else 0)
 
     blank, out, last = lengths(path)[1], [], 0
-    for a, b in zip(cuts, cuts[1:]):
+    parts = list(zip(cuts, cuts[1:]))[::-1]
+    while parts:
+        a, b = parts.pop()
         t = max(last, a - overlap) if a else 0
         for u in range(t, min(t + overlap // 4, a)):  # from a word's start if there is one near
             if blank[ids[u]] and starts_char[u]:
@@ -126,6 +131,13 @@ def pieces(text: str, limit: int = 512, overlap: int = 64, path: str = tokens.VO
             if size <= limit or t >= a:
                 break
             t = min(a, t + size - limit)
+        if size > limit:  # the own part by itself, whose tokens a cut has broken up
+            half = (a + b) // 2
+            while half > a + 1 and not starts_char[half]:
+                half -= 1
+            if starts_char[half] and half > a:
+                parts += [(half, b), (a, half)]
+                continue
         out.append((char(t), char(a), char(b), size))
         last = t
     return out
@@ -162,5 +174,7 @@ def split_documents(documents: DataFrame, limit: int = 512, overlap: int = 64, p
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names=names)
 
+    if overlap < 0 or limit - overlap < 8:
+        raise ValueError(f"pieces of {limit} tokens can't overlap by {overlap}: 8 at least must be their own")
     rows = documents.where("text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, SPLIT)
+    return spread(rows).mapInArrow(run, SPLIT)

@@ -220,6 +220,26 @@ def test_split_documents(spark):
     assert splitting.split_documents(docs(spark, [])).count() == 0
 
 
-def test_very_long_text_counts_like_its_blocks():
-    text = "the flow table holds many rows and every row holds a minute " * 8000
-    assert tokens.count(text) == len(tokens.encoding().encode_ordinary(text))
+def test_ids_are_those_of_the_whole_text(monkeypatch):
+    whole = tokens.encoding().encode_ordinary
+    rng = Random(12)
+    for alphabet in ("abcdefghij", "ab,\n\r", "採取率流量", "0123456789'", "a b' \n.,s"):
+        text = "".join(rng.choice(alphabet) for _ in range(300_000))
+        assert tokens.encode(text) == whole(text)
+    monkeypatch.setattr(tokens, "RUN", 3)
+    blanks = [" ", "\n", "\t", "\r\n", "\x85", "\xa0", "\u3000", "\x1c", "  ", "   ", "\n\n\n"]
+    for _ in range(400):
+        text = "".join(rng.choice([*blanks, *blanks, "a", "'s", "!", "7", "é"]) for _ in range(rng.randint(0, 40)))
+        assert tokens.encode(text) == whole(text), repr(text)
+    monkeypatch.undo()
+    assert tokens.count(" " * 3_000_000 + "x") > 0 and tokens.count("x" + "\n" * 500_000) > 0
+    long = "x" + " " * 5_000 + "y z"
+    assert tokens.encode(long) == whole(long)
+
+
+def test_pieces_without_overlap_and_bad_limits():
+    rng = Random(13)
+    for text in ["".join(rng.choice("🙂é採a ") for _ in range(900)) for _ in range(20)]:
+        check_pieces(text, 9, 0)
+    with pytest.raises(ValueError):
+        splitting.pieces("word " * 100, 64, 60)
