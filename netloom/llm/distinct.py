@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from netloom.core.columns import address, micros
+from netloom.core.shared import cut
 
 #: Bits of a level's bitmap (a power of two) and number of levels; up to BITS * 2**LEVELS identifiers.
-SLOT_BITS, LEVELS = 13, 28
+SLOT_BITS, LEVELS = 15, 28
 BITS = 1 << SLOT_BITS
 #: A level filled beyond this share is saturated.
 FULL = 0.8
-#: Standard error of an estimate (see estimates), and how many of them an undecided comparison may be off.
-STANDARD_ERROR = 0.012
-SURE = 5
+#: What an estimate may be off in a comparison: so many standard errors, and so many identifiers, as a few that share a slot
+#: by chance are more than a multiple of the deviation while both are small.
+SURE, SLIPS = 5, 2
 
 
 def sketch(rows: DataFrame, keys: list[str], identifier: str) -> DataFrame:
@@ -37,21 +38,24 @@ def merged(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def estimates(parts: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, estimate, error (one standard deviation, as a share).
+    """keys, estimate, error (one standard deviation, as a share of the estimate).
 
-    The lowest level that isn't saturated and all above it hold a 2**-base sample; each counts by linear counting.  With
-    8,192 bits the standard error is at most 1.2 per cent at any size, and far less below 10,000 identifiers.
+    The lowest level that isn't saturated and all above it hold a 2**-base sample of the identifiers; each level counts by
+    linear counting.  error comes from the levels used: what a bitmap of BITS slots loses to shared slots, m(e^t - t - 1) at t
+    identifiers a slot, and from the sample's own spread.  It is about 0.4 per cent up to as many identifiers as slots and
+    below 1 per cent at any number.
     """
     ones = parts.groupBy(*keys, "level").agg(F.sum(F.bit_count("bits")).alias("ones"))
     found = ones.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("level", "ones"))).alias("ls"))  # at most LEVELS entries
     full = F.filter("ls", lambda x: x["ones"] > FULL * BITS)
     base = F.coalesce(F.array_max(F.transform(full, lambda x: x["level"])) + 1, F.lit(0))
-
-    def part(x: Column) -> Column:
-        return -F.log1p(-F.least(x["ones"], F.lit(BITS - 1)) / F.lit(float(BITS))) * BITS
-
-    counted = F.aggregate(F.filter("ls", lambda x: x["level"] >= F.col("base")), F.lit(0.0), lambda a, x: a + part(x))
-    return found.withColumn("base", base).select(*keys, (F.pow(F.lit(2.0), "base") * counted).alias("estimate"), F.lit(STANDARD_ERROR).alias("error"))
+    fill = lambda x: -F.log1p(-F.least(x["ones"], F.lit(BITS - 1)) / F.lit(float(BITS)))
+    used = F.transform(F.filter("ls", lambda x: x["level"] >= F.col("base")), fill)
+    add = lambda each: F.aggregate("fills", F.lit(0.0), lambda a, t: a + each(t))
+    out = found.withColumn("base", base).withColumn("fills", used).withColumn("sample", add(lambda t: t * BITS))
+    shared = add(lambda t: (F.exp(t) - t - 1) * BITS)
+    error = F.sqrt(shared + F.col("sample") * (1 - F.pow(F.lit(2.0), -F.col("base")))) / F.col("sample")
+    return out.select(*keys, (F.pow(F.lit(2.0), "base") * F.col("sample")).alias("estimate"), error.alias("error"))
 
 
 def group_members(r_host: DataFrame, r_dim: DataFrame) -> DataFrame:
@@ -87,6 +91,10 @@ def _day_text(day: str) -> Column:
     return F.date_format(F.date_from_unix_date(F.col(day).cast("int")), "yyyy-MM-dd")
 
 
+def _monday() -> Column:
+    return (F.col("day") - F.pmod(F.col("day") + 3, F.lit(7))).cast("int")
+
+
 def daily_counts(r_host: DataFrame, r_dim: DataFrame) -> DataFrame:
     """day, grp, estimate, error."""
     return estimates(daily_sketches(r_host, r_dim), ["day", "grp"]).withColumn("day", _day_text("day"))
@@ -94,32 +102,60 @@ def daily_counts(r_host: DataFrame, r_dim: DataFrame) -> DataFrame:
 
 def weekly_counts(r_host: DataFrame, r_dim: DataFrame) -> DataFrame:
     """week (its Monday), grp, days, estimate, error: the daily sketches of a week merged, no identifier read again."""
-    daily = daily_sketches(r_host, r_dim).withColumn("week", (F.col("day") - F.pmod(F.col("day") + 3, F.lit(7))).cast("int"))
+    daily = daily_sketches(r_host, r_dim).withColumn("week", _monday())
     return estimates(merged(daily, ["week", "grp"]), ["week", "grp"]).withColumn("week", _day_text("week"))
 
 
+def exact_counts(members: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n: different ids per group. Ids are made distinct first, spread by id, so that no group is in one task."""
+    return members.select(*keys, "id").distinct().groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+def in_groups(members: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """day, grp, id: members under each group they belong to; only the groups named, if any are."""
+    grps = groups_of(F.col("part"))
+    if names is None:
+        return members.select("day", F.explode(grps).alias("grp"), "id")
+    kept = F.filter(grps, lambda g: g.isin(names))
+    return members.where(F.size(kept) > 0).select("day", F.explode(kept).alias("grp"), "id")
+
+
+def judged_days(r_host: DataFrame, r_dim: DataFrame, times: float = 1.5) -> DataFrame:
+    """day, grp, estimate, error, usual, busy, open: whether each day has at least times the group's median by the bitmaps,
+    and whether that could be otherwise, SURE standard errors and SLIPS identifiers off."""
+    est = cut(estimates(daily_sketches(r_host, r_dim), ["day", "grp"]), "estimates")
+    usual = est.groupBy("grp").agg(F.median("estimate").alias("usual"), F.max("error").alias("worst"))
+    limit = times * F.col("usual")
+    slack = SURE * F.sqrt(F.pow(F.col("estimate") * F.col("error"), 2) + F.pow(limit * F.col("worst"), 2)) + SLIPS * (1 + times)
+    return est.join(usual, "grp").select("day", "grp", "estimate", "error", "usual", (F.col("estimate") >= limit).alias("busy"), (F.abs(F.col("estimate") - limit) <= slack).alias("open"))
+
+
 def busy_days(r_host: DataFrame, r_dim: DataFrame, times: float = 1.5) -> DataFrame:
     """day, grp: days with at least times as many different identifiers as on the group's median day.
 
-    The sketches decide where they can.  A group with a day within SURE standard errors of the limit is counted exactly,
-    all of its days, and its exact counts decide.  Rows with null ts, identifier, role or dim are left out; second
+    The bitmaps decide; an exact check follows for the groups of which some day is too close to its limit to tell (see
+    judged_days): their days are counted exactly, and those counts decide.  The driver learns the names of these groups,
+    roles and dims; identifiers stay where they are.  Rows with null ts, identifier, role or dim are left out; second
     deliveries and other spellings are the same identifiers and change nothing; empty tables give no rows.
     """
-    est = estimates(daily_sketches(r_host, r_dim), ["day", "grp"])
-    usual = est.groupBy("grp").agg(F.median("estimate").alias("usual"))
-    # Rounded: a handful of identifiers is estimated to within a small fraction of one.
-    ratio = est.join(usual, "grp").withColumn("ratio", F.col("estimate") / F.col("usual"))
-    slack = SURE * STANDARD_ERROR * 2**0.5
-    doubtful = F.col("ratio").between(times * (1 - slack), times * (1 + slack)) | (F.col("usual") < 60)
-    ratio = ratio.withColumn("doubtful", doubtful)
-    open_groups = ratio.groupBy("grp").agg(F.bool_or("doubtful").alias("open"))
-    decided = ratio.join(open_groups.where("not open"), "grp", "left_semi").where(F.col("ratio") >= times).select("day", "grp")
-    members = group_members(r_host, r_dim).withColumn("grp", F.explode(groups_of(F.col("part"))))
-    exact = (
-        members.join(open_groups.where("open"), "grp", "left_semi")
-        .select("day", "grp", "id").distinct()
-        .groupBy("day", "grp").agg(F.count("*").alias("n"))
-    )
-    exact_usual = exact.groupBy("grp").agg(F.median("n").alias("usual"))
-    settled = exact.join(exact_usual, "grp").where(F.col("n") >= times * F.col("usual")).select("day", "grp")
+    judged = cut(judged_days(r_host, r_dim, times), "judged")
+    names = [r.grp for r in judged.where("open").select("grp").distinct().collect()]
+    decided = judged.where("busy").where(~F.col("grp").isin(names)).select("day", "grp")
+    if not names:
+        return decided.select(_day_text("day").alias("day"), "grp")
+    exact = cut(exact_counts(in_groups(group_members(r_host, r_dim), names), ["day", "grp"]), "exact")
+    usual = exact.groupBy("grp").agg(F.median("n").alias("usual"))
+    settled = exact.join(usual, "grp").where(F.col("n") >= times * F.col("usual")).select("day", "grp")
     return decided.unionByName(settled).select(_day_text("day").alias("day"), "grp")
+
+
+def within_error(r_host: DataFrame, r_dim: DataFrame, weekly: bool = False) -> DataFrame:
+    """day (or week), grp, n, ok: exact counts, and whether the estimate lies within SURE stated errors and SLIPS identifiers of them. For
+    checking the bitmaps; it reads every identifier."""
+    members = in_groups(group_members(r_host, r_dim))
+    key = "week" if weekly else "day"
+    members = members.withColumn("week", _monday()) if weekly else members
+    found = (weekly_counts if weekly else daily_counts)(r_host, r_dim)
+    exact = exact_counts(members, [key, "grp"]).withColumn(key, _day_text(key))
+    off = F.abs(F.col("estimate") - F.col("n"))
+    return exact.join(found, [key, "grp"], "left").select(key, "grp", "n", F.coalesce(off <= SURE * F.col("error") * F.col("n") + SLIPS, F.lit(False)).alias("ok"))

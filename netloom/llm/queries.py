@@ -30,6 +30,14 @@ def p4_weekly(spark: SparkSession, folder: str) -> DataFrame:
     return distinct.weekly_counts(table(spark, folder, "r_host"), table(spark, folder, "r_dim"))
 
 
+def p4_daily_bound(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct.within_error(table(spark, folder, "r_host"), table(spark, folder, "r_dim"))
+
+
+def p4_weekly_bound(spark: SparkSession, folder: str) -> DataFrame:
+    return distinct.within_error(table(spark, folder, "r_host"), table(spark, folder, "r_dim"), True)
+
+
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return percentiles.misstated_p95(table(spark, folder, "ifc"), table(spark, folder, "report_iface"))
 
@@ -58,7 +66,7 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_topk, p4_found, p4_daily, p4_weekly, p7_found, p7_percentiles, p8_containers, p8_containers_8192, p9_found, p9_altered, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_topk, p4_found, p4_daily, p4_weekly, p4_daily_bound, p4_weekly_bound, p7_found, p7_percentiles, p8_containers, p8_containers_8192, p9_found, p9_altered, p10_pieces)}
 
 _PERIODS = f"""
 periods AS (SELECT DISTINCT {_ADDRESS.format('exporter')} AS exporter, ifindex, epoch_us(period_from) AS f, epoch_us(period_to) AS t FROM report_iface),
@@ -68,17 +76,21 @@ ranked AS (SELECT p.exporter, p.ifindex, f, t, rate, row_number() OVER w AS r, c
 points AS (SELECT exporter, ifindex, f, t, n, max(rate) FILTER (r = (n * 500 + 999) // 1000) AS p50, max(rate) FILTER (r = (n * 900 + 999) // 1000) AS p90,
   max(rate) FILTER (r = (n * 950 + 999) // 1000) AS p95, max(rate) FILTER (r = (n * 990 + 999) // 1000) AS p99 FROM ranked GROUP BY ALL)"""
 
+_IDS = f"""ids AS (
+    SELECT epoch_us(ts) // 86400000000 AS day, unnest(CASE WHEN internal IS NULL THEN ['role=' || role] ELSE ['role=' || role, 'role=' || role || ',internal=' || internal] END) AS grp, {_ADDRESS.format('ip')} AS id
+    FROM r_host WHERE ts IS NOT NULL AND ip IS NOT NULL AND role IS NOT NULL
+    UNION ALL SELECT epoch_us(ts) // 86400000000, 'dim=' || dim, split_part(val, chr(9), 1) FROM r_dim WHERE ts IS NOT NULL AND val IS NOT NULL AND dim IS NOT NULL)"""
+
 SQL = {
     "p3_found": f"""WITH {_HOSTS}, per AS (SELECT ip, count(*) AS n, sum(bytes) AS b FROM hosts WHERE ip IS NOT NULL AND ip <> '' GROUP BY 1)
         SELECT 'rows' AS measure, ip FROM per WHERE n * 100 >= (SELECT sum(n) FROM per) UNION ALL SELECT 'bytes', ip FROM per WHERE b * 100 >= (SELECT sum(b) FROM per)""",
     "p3_topk": f"""WITH {_HOSTS}, per AS (SELECT ip, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS b FROM hosts WHERE ip IS NOT NULL AND ip <> '' GROUP BY 1)
         SELECT * FROM (SELECT 'rows' AS measure, ip, n AS amount FROM per ORDER BY n DESC, ip LIMIT 100) UNION ALL SELECT * FROM (SELECT 'bytes', ip, b FROM per ORDER BY b DESC, ip LIMIT 100)""",
-    "p4_found": f"""WITH ids AS (
-          SELECT epoch_us(ts) // 86400000000 AS day, unnest(CASE WHEN internal IS NULL THEN ['role=' || role] ELSE ['role=' || role, 'role=' || role || ',internal=' || internal] END) AS grp, {_ADDRESS.format('ip')} AS id
-          FROM r_host WHERE ts IS NOT NULL AND ip IS NOT NULL AND role IS NOT NULL
-          UNION ALL SELECT epoch_us(ts) // 86400000000, 'dim=' || dim, split_part(val, chr(9), 1) FROM r_dim WHERE ts IS NOT NULL AND val IS NOT NULL AND dim IS NOT NULL),
+    "p4_found": f"""WITH {_IDS},
         per AS (SELECT day, grp, count(DISTINCT id) AS n FROM ids GROUP BY 1, 2)
         SELECT strftime(DATE '1970-01-01' + CAST(day AS INT), '%Y-%m-%d') AS day, grp FROM per JOIN (SELECT grp, median(n) AS m FROM per GROUP BY 1) USING (grp) WHERE n >= 1.5 * m""",
+    "p4_daily_bound": f"""WITH {_IDS} SELECT strftime(DATE '1970-01-01' + CAST(day AS INT), '%Y-%m-%d') AS day, grp, count(DISTINCT id) AS n, true AS ok FROM ids GROUP BY ALL""",
+    "p4_weekly_bound": f"""WITH {_IDS} SELECT strftime(DATE '1970-01-01' + CAST(day - (day + 3) % 7 AS INT), '%Y-%m-%d') AS week, grp, count(DISTINCT id) AS n, true AS ok FROM ids GROUP BY ALL""",
     "p7_found": f"""WITH {_READINGS}, {_PERIODS}
         SELECT DISTINCT p.exporter, p.ifindex, f // 1000000 AS from_s, t // 1000000 AS to_s FROM points p
         JOIN report_iface r ON p.exporter = {_ADDRESS.format('r.exporter')} AND p.ifindex = r.ifindex AND f = epoch_us(period_from) AND t = epoch_us(period_to) WHERE abs(in95 - p95) > 0.1::DOUBLE * p95""",
