@@ -11,15 +11,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from netloom.core.arrow import spread
+
 INVISIBLE = re.compile(r"[\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufeff]")
 TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>", re.S)
 NO_WORD = re.compile(r"[\W_]+")
 ASCII = str.maketrans({chr(c): " " for c in range(128) if not chr(c).isalnum()})
 Q = 8
 MULTIPLIER, SPREAD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
-FLAG_BITS = 22
+#: Flags per q-gram of an index, about, so that one in so many foreign q-grams passes.
+FLAGS_A_GRAM = 8
 #: Characters looked at in one go, and characters of passages in one block of items.
-STRETCH, BLOCK_CHARS = 1_000_000, 8_000_000
+STRETCH, BLOCK_CHARS = 1_000_000, 2_000_000
 
 
 def plain(text: str, tag: str = " ") -> str:
@@ -58,6 +61,12 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
+def run_of(text: str, words: int) -> int:
+    """Characters of the shortest run of `words` words of a plain text, the blanks about it included."""
+    blanks = np.flatnonzero(codes_of(text) == 32)
+    return int((blanks[words:] - blanks[:-words]).min()) + 1
+
+
 @dataclass
 class Index:
     """q-grams of a block of passages: sorted hashes with where they occur, and a flag table to pass over the rest."""
@@ -70,29 +79,40 @@ class Index:
     flags: np.ndarray
     shortest: int  # characters of the shortest run of `words` words
 
+    @property
+    def shift(self) -> np.uint64:
+        return np.uint64(64 - (len(self.flags).bit_length() - 1))
+
     @staticmethod
-    def of(items: list[tuple[int, str]], words: int) -> Index | None:
+    def of(items: list[tuple[int, str]], words: int, edits: int = 0, window: int | None = None) -> list[tuple[Index, int]]:
+        """Indexes of the items and the edits each is searched with: `edits` where a window (or else the item's shortest run of
+        `words` words) is long enough to keep Q q-grams of its own however many are altered, none for the other items."""
         rows = [(i, form) for i, text in items for form in forms(text) if form.count(" ") > words]
-        if not rows:
-            return None
+        least = [window or run_of(text, words) for _, text in rows]
+        enough = Q * edits + 2 * Q - 1
+        sides = [([r for r, n in zip(rows, least) if n >= enough], edits), ([r for r, n in zip(rows, least) if n < enough], 0)]
+        return [(Index._of(part, words), e) for part, e in sides if part]
+
+    @staticmethod
+    def _of(rows: list[tuple[int, str]], words: int) -> Index:
         hashes, item, at, shortest = [], [], [], []
         for k, (_, text) in enumerate(rows):
             h = grams(codes_of(text))
             hashes.append(h)
             item.append(np.full(len(h), k, np.int32))
             at.append(np.arange(len(h), dtype=np.int32))
-            blanks = np.flatnonzero(codes_of(text) == 32)
-            shortest.append(int((blanks[words:] - blanks[:-words]).min()) + 1)
+            shortest.append(run_of(text, words))
         h, it, a = map(np.concatenate, (hashes, item, at))
         order = np.argsort(h, kind="stable")
-        flags = np.zeros(1 << FLAG_BITS, bool)
-        flags[h >> np.uint64(64 - FLAG_BITS)] = True
+        bits = max(16, (FLAGS_A_GRAM * len(h)).bit_length())
+        flags = np.zeros(1 << bits, bool)
+        flags[h >> np.uint64(64 - bits)] = True
         return Index([i for i, _ in rows], [t for _, t in rows], h[order], it[order], a[order], flags, min(shortest))
 
 
-def regions(index: Index, text: str, window: int, edits: int) -> list[tuple[int, int, int, int, int]]:
+def regions(index: Index, h: np.ndarray, window: int, edits: int) -> list[tuple[int, int, int, int, int]]:
     """(item, doc from, doc to, item from, item to) of the stretches that may hold window characters of an item with at most
-    edits differences.
+    edits differences; h: the q-grams of the text.
 
     A stretch of window characters with e differences shares at least window - Q + 1 - Q * e q-grams with the item, on
     diagonals no more than e apart.  First the q-grams of any item are counted in windows of the text; what reaches the
@@ -101,10 +121,9 @@ def regions(index: Index, text: str, window: int, edits: int) -> list[tuple[int,
     """
     need = window - Q + 1 - Q * edits
     span = window - Q + 1 + edits
-    h = grams(codes_of(text))
     if len(h) < need:
         return []
-    hit = index.flags[h >> np.uint64(64 - FLAG_BITS)]
+    hit = index.flags[h >> index.shift]
     where = np.flatnonzero(hit)
     if len(where) < need:
         return []
@@ -252,6 +271,21 @@ def alike_parts(text: str, a: int, b: int, lo: int, hi: int, item: str, c: int,
     return parts
 
 
+def words_near(text: str, a: int, b: int, item: str, c: int, off: int) -> int:
+    """Most consecutive whole words that text[a:b] has in common with the item on the diagonals at most off from that of (a, c)."""
+    t, p, best = codes_of(text[a:b]), codes_of(item), 0
+    for diagonal in range(a - c - off, a - c + off + 1):
+        x0, x1 = max(a, diagonal), min(b, diagonal + len(p))
+        if x1 <= x0:
+            continue
+        same = np.concatenate(([False], t[x0 - a : x1 - a] == p[x0 - diagonal : x1 - diagonal], [False]))
+        turns = np.flatnonzero(same[1:] != same[:-1])
+        long = turns[1::2] - turns[::2] >= Q
+        for x, y in zip(turns[::2][long].tolist(), turns[1::2][long].tolist()):
+            best = max(best, item.count(" ", x + x0 - diagonal, y + x0 - diagonal) - 1)
+    return best
+
+
 def exact_words(text: str, at: int, item: str, start: int, length: int) -> int:
     """Most consecutive whole words in a common stretch through text[at:] and item[start:]; blanks enclose every word."""
     best, i = 0, 0
@@ -275,10 +309,9 @@ def stretches(text: str, longest: int) -> Iterator[str]:
         yield text[a : a + STRETCH + overlap]
 
 
-def search(index: Index, words: int, edits: int, window: int | None):
+def search(indexes: list[tuple[Index, int]], window: int | None):
     """mapInArrow function: doc_id, item_id, words, chars, edits of every verified region."""
-    longest = max(map(len, index.texts))
-    size = window or index.shortest
+    longest = max(len(t) for index, _ in indexes for t in index.texts)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("chars", pa.int32()), ("edits", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,60 +340,67 @@ def search(index: Index, words: int, edits: int, window: int | None):
         # A line feed is in no plain form, so no q-gram of an item spans two texts.
         text = "\n".join(p for _, p in pack)
         ends = np.cumsum([len(p) + 1 for _, p in pack])
+        h = grams(codes_of(text))
         got = []
-        for item, a, b, c, d in regions(index, text, size, edits):
-            first, last = (int(k) for k in np.searchsorted(ends, (a, b - 1), "right"))
-            doc = pack[first][0]
-            whole = index.texts[item]
-            if edits == 0:
-                n = same_length(text, a, whole, c)
-                got.append((doc, index.ids[item], exact_words(text, a, whole, c, min(n, b - a)), n, 0))
-                continue
-            budget = edits * -(-(d - c) // size)
-            off = alignment(whole[c:d], text[a:b], budget) if first == last else None
-            if off is None:
-                # Too much lies between the alike parts, or they are in two texts: each is held against the item by itself.
-                for k in range(first, last + 1):
-                    hi = int(ends[k]) - 1
-                    got += [(pack[k][0], index.ids[item], *part) for part in alike_parts(text, a, b, hi - len(pack[k][1]), hi, whole, c, d, size, edits)]
-                continue
-            if d - c >= size - Q * edits:
-                run_words = exact_words(text, a, whole, c, min(b - a, d - c)) if a - c == b - d else 0
-                got.append((doc, index.ids[item], run_words, d - c, off))
+        for index, edits in indexes:
+            size = window or index.shortest
+            for item, a, b, c, d in regions(index, h, size, edits):
+                got += verified(index, edits, size, pack, text, ends, item, a, b, c, d)
         return got
 
+    def verified(index: Index, edits: int, size: int, pack, text: str, ends: np.ndarray, item: int, a: int, b: int, c: int, d: int) -> list[tuple[int, int, int, int, int]]:
+        first, last = (int(k) for k in np.searchsorted(ends, (a, b - 1), "right"))
+        doc, name, whole = pack[first][0], index.ids[item], index.texts[item]
+        if edits == 0:
+            n = same_length(text, a, whole, c)
+            return [(doc, name, exact_words(text, a, whole, c, min(n, b - a)), n, 0)]
+        budget = edits * -(-(d - c) // size)
+        off = alignment(whole[c:d], text[a:b], budget) if first == last else None
+        if off is not None and d - c >= size:
+            return [(doc, name, words_near(text, a, b, whole, c, 2 * edits), d - c, off)]
+        # Too much lies between the alike parts, or they are in two texts, or edits lie at their ends: each is held against the
+        # item by itself.
+        out = []
+        for k in range(first, last + 1):
+            hi = int(ends[k]) - 1
+            out += [(pack[k][0], name, *part) for part in alike_parts(text, a, b, hi - len(pack[k][1]), hi, whole, c, d, size, edits)]
+        return out
+
     return run
 
 
 FOUND = "doc_id long, item_id long, words int, chars int, edits int"
 
 
-def leaks(documents: DataFrame, items: DataFrame, words: int = 8, edits: int = 0, window: int | None = None) -> DataFrame:
-    """doc_id, item_id, words, chars, edits: regions of documents that hold part of a passage.
+def leaks(documents: DataFrame, items: DataFrame, words: int = 8, edits: int = 1, window: int | None = None) -> DataFrame:
+    """doc_id, item_id, words, chars, edits: regions of documents in which at least window characters of a passage occur with at
+    most edits differences each window, verified by banded alignment; what isn't alike as a whole is verified part by part.
+    words: the most consecutive words of the item that such a region holds unaltered.
 
-    edits = 0: every maximal region equal to at least the shortest run of `words` words of any passage; words says how many
-    whole words it holds.  edits > 0: regions in which at least window characters of a passage occur with at most edits
-    differences each window, verified by banded alignment; what isn't alike as a whole is verified part by part.
+    window None: the shortest run of `words` words of any passage.  Every unaltered run of that many words then lies in a
+    region, whatever edits is.  A passage whose runs are too short for a q-gram to outlast the edits is searched without
+    edits (see Index.of): each region is a stretch that is equal throughout.
 
     Items are read by the driver in blocks of bounded size, each block a broadcast index that all documents are held
-    against; so the passages may outgrow a broadcast, at the price of another pass.  Each document is searched by one task,
-    whole, in stretches that overlap by more than a passage.  Null and empty texts, null ids and passages of fewer than
-    `words` words match nothing; repeated documents are reported each; other columns don't matter.
+    against; so the passages may outgrow a broadcast, at the price of another pass for every two million characters.  Each
+    document is searched by one task, whole, in stretches that overlap by more than a passage.  Null and empty texts, null
+    ids and passages of fewer than `words` words match nothing; repeated documents are reported each; other columns don't
+    matter.
     """
     spark = documents.sparkSession
-    rows = documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = spread(documents.where("doc_id is not null and text is not null and text <> ''").select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     out = spark.createDataFrame([], FOUND)
     block: list[tuple[int, str]] = []
     held = 0
 
     def found() -> DataFrame:
-        index = Index.of(block, words)
-        if index is None:
+        indexes = Index.of(block, words, edits, window)
+        if not indexes:
             return out
-        shared = spark.sparkContext.broadcast(index)
+        shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from search(shared.value, words, edits, window)(batches)
+            yield from search(shared.value, window)(batches)
 
         return out.unionByName(rows.mapInArrow(run, FOUND))
 
@@ -374,7 +414,8 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 8, edits: int = 0
 
 
 def shared_words(documents: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
-    """doc_id, item_id of documents with at least `words` consecutive words of an item's passage, one row each."""
+    """doc_id, item_id of documents with at least `words` consecutive words of an item's passage, one row each: the regions
+    alike within one edit, then an exact check of their words."""
     return leaks(documents, items, words).where(F.col("words") >= words).select("doc_id", "item_id").distinct()
 
 

@@ -120,7 +120,7 @@ def test_many_blocks_and_long_documents(spark, monkeypatch):
     texts = [f"{long} {passages[k]} {long}" for k in range(9)]
     items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
     monkeypatch.setattr(leak, "BLOCK_CHARS", 700)
-    index = leak.Index.of(list(enumerate(passages)), 8)
+    ((index, _),) = leak.Index.of(list(enumerate(passages)), 8)
     assert {tuple(r) for r in leak.shared_words(docs(spark, texts), items).collect()} == {(k, k) for k in range(9)}
     monkeypatch.setattr(leak, "STRETCH", 3000)
     text = " ".join(texts)
@@ -179,6 +179,44 @@ def test_alike_parts_of_a_region_that_is_not_alike_as_a_whole(spark):
     assert set(got) == {0, 1, 3, 4} and all(chars >= 80 and edits <= 3 for chars, edits in got.values()) and got[0][1] == 0
 
 
+def test_recall_at_the_bound(spark):
+    """Three edits in every 80 characters, of four kinds: every passage is found in its copy, and no other."""
+    rng = Random(14)
+    lex = ["ledger", "token", "clerk", "depot", "a", "in", "rate", "counter", "sample"]
+    passages = [" ".join(f"{rng.choice(lex)}{rng.choice(['', rng.randint(0, 9999)])}" for _ in range(60)) for _ in range(40)]
+    noise = lambda n: " ".join(f"n{rng.randint(0, 10**6)}" for _ in range(n))
+
+    def altered(t, spots):
+        t = list(t)
+        for k in spots:
+            t[k] = rng.choice(["", "q", t[k] + "z", "7"])
+        return "".join(t)
+
+    def spots(a, b):  # three in each 80 characters, the last of them too
+        return [k for at in range(a, b - 79, 80) for k in sorted(rng.sample(range(at + 2, at + 78), 3))]
+
+    kinds = [
+        lambda p: altered(p[:80], spots(0, 80)), lambda p: altered(p, spots(0, len(p))),
+        lambda p: p[:90] + altered(p[90:170], rng.sample(range(80), 30)) + p[170:260], lambda p: p[:30] + altered(p[30:110], spots(0, 80)),
+    ]
+    texts = [f"{noise(20)} {kinds[i % 4](p)} {noise(20)}" for i, p in enumerate(passages)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    got = {(r.doc_id, r.item_id) for r in leak.altered_passages(docs(spark, texts), items).collect()}
+    assert got == {(k, k) for k in range(len(passages))}
+
+
+def test_short_runs_are_searched_without_edits(spark):
+    passages = ["a b c d e f g h i j", "some longer words that leave room for one edit here"]
+    indexes = leak.Index.of(list(enumerate(passages)), 8, 1)
+    assert [(index.ids, e) for index, e in indexes] == [([1], 1), ([0], 0)]
+    items = spark.createDataFrame(list(enumerate(passages)), "item_id long, passage string")
+    texts = ["x A B, C D E F G H y", "a b c d x e f g h i", passages[1][5:48], passages[1].replace("leave", "leavo")]
+    got = {(r.doc_id, r.item_id) for r in leak.shared_words(docs(spark, texts), items).collect()}
+    assert got == {(0, 0), (2, 1)}
+    found = {(r.doc_id, r.item_id, r.words, r.edits) for r in leak.leaks(docs(spark, texts), items).collect()}
+    assert any(f[:2] == (3, 1) and f[3] == 1 and f[2] < 8 for f in found)  # alike within an edit, but too few words in a row
+
+
 def check_pieces(text, limit, overlap):
     got = splitting.pieces(text, limit, overlap)
     assert all(tokens.count(text[f:t]) == n <= limit for f, _, t, n in got)
