@@ -77,7 +77,7 @@ class Index:
     item: np.ndarray
     at: np.ndarray
     flags: np.ndarray
-    shortest: int  # characters of the shortest run of `words` words
+    sizes: np.ndarray  # of each text: characters of a window
 
     @property
     def shift(self) -> np.uint64:
@@ -90,37 +90,37 @@ class Index:
         rows = [(i, form) for i, text in items for form in forms(text) if form.count(" ") > words]
         least = [window or run_of(text, words) for _, text in rows]
         enough = Q * edits + 2 * Q - 1
-        sides = [([r for r, n in zip(rows, least) if n >= enough], edits), ([r for r, n in zip(rows, least) if n < enough], 0)]
-        return [(Index._of(part, words), e) for part, e in sides if part]
+        sides = [([(*r, n) for r, n in zip(rows, least) if n >= enough], edits), ([(*r, n) for r, n in zip(rows, least) if n < enough], 0)]
+        return [(Index._of(part), e) for part, e in sides if part]
 
     @staticmethod
-    def _of(rows: list[tuple[int, str]], words: int) -> Index:
-        hashes, item, at, shortest = [], [], [], []
-        for k, (_, text) in enumerate(rows):
+    def _of(rows: list[tuple[int, str, int]]) -> Index:
+        hashes, item, at = [], [], []
+        for k, (_, text, _) in enumerate(rows):
             h = grams(codes_of(text))
             hashes.append(h)
             item.append(np.full(len(h), k, np.int32))
             at.append(np.arange(len(h), dtype=np.int32))
-            shortest.append(run_of(text, words))
         h, it, a = map(np.concatenate, (hashes, item, at))
         order = np.argsort(h, kind="stable")
         bits = max(16, (FLAGS_A_GRAM * len(h)).bit_length())
         flags = np.zeros(1 << bits, bool)
         flags[h >> np.uint64(64 - bits)] = True
-        return Index([i for i, _ in rows], [t for _, t in rows], h[order], it[order], a[order], flags, min(shortest))
+        return Index([r[0] for r in rows], [r[1] for r in rows], h[order], it[order], a[order], flags, np.array([r[2] for r in rows], np.int64))
 
 
-def regions(index: Index, h: np.ndarray, window: int, edits: int) -> list[tuple[int, int, int, int, int]]:
-    """(item, doc from, doc to, item from, item to) of the stretches that may hold window characters of an item with at most
-    edits differences; h: the q-grams of the text.
+def regions(index: Index, h: np.ndarray, edits: int) -> list[tuple[int, int, int, int, int]]:
+    """(item, doc from, doc to, item from, item to) of the stretches that may hold a window of an item with at most edits
+    differences; h: the q-grams of the text.
 
     A stretch of window characters with e differences shares at least window - Q + 1 - Q * e q-grams with the item, on
     diagonals no more than e apart.  First the q-grams of any item are counted in windows of the text; what reaches the
-    bound is looked up and counted again per item in overlapping bands of 2 * edits + 1 diagonals, laid out twice, so that
-    every set of diagonals at most edits apart lies inside one band.  Without edits a stretch ends where its q-grams do.
+    bound of the smallest window (a larger one misses no more of its positions, so its parts reach it too) is looked up and
+    counted again, by the item's own bound, in overlapping bands of 2 * edits + 1 diagonals, laid out twice, so that every
+    set of diagonals at most edits apart lies inside one band.  Without edits a stretch ends where its q-grams do.
     """
-    need = window - Q + 1 - Q * edits
-    span = window - Q + 1 + edits
+    needs, spans = index.sizes - Q + 1 - Q * edits, index.sizes - Q + 1 + edits
+    need, span = int(needs.min()), int(spans.min())
     if len(h) < need:
         return []
     hit = index.flags[h >> index.shift]
@@ -142,28 +142,37 @@ def regions(index: Index, h: np.ndarray, window: int, edits: int) -> list[tuple[
     post = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
     doc, item, at = np.repeat(where, n), index.item[post], index.at[post]
     diagonal = doc.astype(np.int64) - at
+    diagonal -= diagonal.min()
     width = 2 * edits + 1
+    bands = int(diagonal.max()) // width + 2
     found = set()
     for shift in range(0, width, edits + 1) if edits else (0,):
-        band = (diagonal + shift) // width if edits else diagonal
-        order = np.lexsort((doc, band, item))
-        key_item, key_band, d, a = item[order], band[order], doc[order], at[order]
-        new = np.ones(len(d), bool)
-        new[1:] = (key_item[1:] != key_item[:-1]) | (key_band[1:] != key_band[:-1])
-        if len(d) < need:
+        # One number for item and band; the order of the text stays within it.
+        key = item * np.int64(bands) + ((diagonal + shift) // width if edits else diagonal)
+        # Most bands hold too few q-grams whatever their place; a count by hash passes them over.
+        slot = (key.astype(np.uint64) * SPREAD) >> np.uint64(44)
+        alive = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= needs[item])
+        order = alive[np.argsort(key[alive], kind="stable")]
+        if len(order) < need:
             continue
-        # Hits i .. i + need - 1 in one band and within span positions.
+        key, key_item, d, a = key[order], item[order], doc[order], at[order]
+        new = np.ones(len(d), bool)
+        new[1:] = key[1:] != key[:-1]
+        # Hits i .. i + need - 1 in one band and within span positions, by the item's need and span.
         group = np.cumsum(new)
-        ok = np.zeros(len(d), np.int32)
-        first = np.flatnonzero((group[need - 1 :] == group[: len(d) - need + 1]) & (d[need - 1 :] - d[: len(d) - need + 1] < span))
+        n, far = needs[key_item], spans[key_item]
+        last = np.arange(len(d)) + n - 1
+        can = last < len(d)
+        last[~can] = 0
+        first = np.flatnonzero(can & (group[last] == group) & (d[last] - d < far))
         if not len(first):
             continue
+        ok = np.zeros(len(d) + 1, np.int32)
         np.add.at(ok, first, 1)
-        end = first + need
-        np.add.at(ok, end[end < len(d)], -1)
-        inside = np.cumsum(ok) > 0
+        np.add.at(ok, first + n[first], -1)
+        inside = np.cumsum(ok[:-1]) > 0
         index_in = np.flatnonzero(inside)
-        cuts = np.flatnonzero((np.diff(index_in) > 1) | (np.diff(group[index_in]) > 0) | (np.diff(d[index_in]) > (span if edits else 1))) + 1
+        cuts = np.flatnonzero((np.diff(index_in) > 1) | (np.diff(group[index_in]) > 0) | (np.diff(d[index_in]) > (far[index_in][1:] if edits else 1))) + 1
         for part in np.split(index_in, cuts):
             x, y = part[0], part[-1]
             found.add((int(key_item[x]), int(d[x]), int(d[y]) + Q, int(a[part].min()), int(a[part].max()) + Q))
@@ -309,7 +318,7 @@ def stretches(text: str, longest: int) -> Iterator[str]:
         yield text[a : a + STRETCH + overlap]
 
 
-def search(indexes: list[tuple[Index, int]], window: int | None):
+def search(indexes: list[tuple[Index, int]]):
     """mapInArrow function: doc_id, item_id, words, chars, edits of every verified region."""
     longest = max(len(t) for index, _ in indexes for t in index.texts)
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("words", pa.int32()), ("chars", pa.int32()), ("edits", pa.int32())])
@@ -343,14 +352,13 @@ def search(indexes: list[tuple[Index, int]], window: int | None):
         h = grams(codes_of(text))
         got = []
         for index, edits in indexes:
-            size = window or index.shortest
-            for item, a, b, c, d in regions(index, h, size, edits):
-                got += verified(index, edits, size, pack, text, ends, item, a, b, c, d)
+            for region in regions(index, h, edits):
+                got += verified(index, edits, pack, text, ends, *region)
         return got
 
-    def verified(index: Index, edits: int, size: int, pack, text: str, ends: np.ndarray, item: int, a: int, b: int, c: int, d: int) -> list[tuple[int, int, int, int, int]]:
+    def verified(index: Index, edits: int, pack: list[tuple[int, str]], text: str, ends: np.ndarray, item: int, a: int, b: int, c: int, d: int) -> list[tuple[int, int, int, int, int]]:
         first, last = (int(k) for k in np.searchsorted(ends, (a, b - 1), "right"))
-        doc, name, whole = pack[first][0], index.ids[item], index.texts[item]
+        doc, name, whole, size = pack[first][0], index.ids[item], index.texts[item], int(index.sizes[item])
         if edits == 0:
             n = same_length(text, a, whole, c)
             return [(doc, name, exact_words(text, a, whole, c, min(n, b - a)), n, 0)]
@@ -377,7 +385,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 8, edits: int = 1
     most edits differences each window, verified by banded alignment; what isn't alike as a whole is verified part by part.
     words: the most consecutive words of the item that such a region holds unaltered.
 
-    window None: the shortest run of `words` words of any passage.  Every unaltered run of that many words then lies in a
+    window None: of each passage its shortest run of `words` words.  Every unaltered run of that many words then lies in a
     region, whatever edits is.  A passage whose runs are too short for a q-gram to outlast the edits is searched without
     edits (see Index.of): each region is a stretch that is equal throughout.
 
@@ -400,7 +408,7 @@ def leaks(documents: DataFrame, items: DataFrame, words: int = 8, edits: int = 1
         shared = spark.sparkContext.broadcast(indexes)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from search(shared.value, window)(batches)
+            yield from search(shared.value)(batches)
 
         return out.unionByName(rows.mapInArrow(run, FOUND))
 
