@@ -1,20 +1,21 @@
-"""The stored tables: flow rows by date and hour, and rollups by date, all in files that are replaced partition by partition.
-
-Replacing writes the new partitions beside the old ones and swaps them when they are complete (Spark's dynamic partition
-overwrite), so a job that dies leaves the old rows.
-"""
+"""The stored tables: flow rows by date and hour, and rollups by date, changed commit by commit."""
 
 from __future__ import annotations
 
 import json
+import threading
+import uuid
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from netloom.core.columns import as_timestamp
+from netloom.core.commits import Commits
 from netloom.core.shared import cut
 from netloom.operators import rollups
 from netloom.plans.query import HOUR, trunc, utc
+from netloom.plans.tables import ARRIVAL, Tables, blanked_flows
 
 #: Days that detail and summaries are kept; counters as long as summaries.
 DETAIL_DAYS, SUMMARY_DAYS = 30, 400
@@ -22,7 +23,26 @@ FORMAT = 1
 GRACE = timedelta(minutes=5)
 FLOW_KEY = ["ts", "src", "dst", "sport", "dport", "proto"]
 SUMMARIES = ("r_ts", "r_host", "r_dim", "r_ts_if", "r_dim_if")
+TABLES = ("flows", "hot", *SUMMARIES, "ifc")
 PART = {"flows": ["date", "hour"], "hot": ["date", "hour"]}
+_LOCK = threading.Lock()
+
+
+def _begin(part: str) -> datetime:
+    """The moment a partition begins."""
+    named = dict(x.split("=") for x in part.split("/"))
+    return utc(datetime.fromisoformat(named["date"])) + int(named.get("hour", 0)) * HOUR
+
+
+def _length(part: str) -> timedelta:
+    return HOUR if "hour=" in part else timedelta(days=1)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out
 
 
 def promoted(rows: DataFrame) -> DataFrame:
@@ -33,25 +53,71 @@ def promoted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_has", has).withColumn("_n", first).withColumn("dup", F.col("dup") & (F.col("_has") | (F.col("_n") > 1))).drop("_has", "_n")
 
 
+#: One change of a table: a partition, the versions of it that go (they must be there), the version that comes.
+Change = tuple[str, str, tuple[str, ...], str | None]
+
+
 class Store:
+    """Tables as sets of files named by commits.
+
+    Every write goes to a folder of its own, <table>/version=<v>/date=.../, and counts when a commit names it; every
+    operation is one commit, however many tables it changes.  What stops before its commit has changed nothing and can be
+    run again; what stops after it leaves files that nothing names (sweep() deletes them).  Rows appended while an operation
+    runs stay: it takes away the versions it has read, no others.
+    """
+
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self.commits = Commits(spark, folder)
 
-    # -- files
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+    # -- commits
+    def _state(self) -> dict[str, dict[str, list[str]]]:
+        return self.commits.last()[1] or {}
 
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _change(self, changes: list[Change]) -> None:
+        """Commit changes on top of the newest state, whoever made it."""
+        if not changes:
+            return
+        self.check_format()
+        for _ in range(100):
+            number, state = self.commits.last()
+            state = state or {}
+            for table, part, gone, come in changes:
+                own = state.setdefault(table, {}).get(part, [])
+                if not set(gone) <= set(own):
+                    raise RuntimeError(f"{table}/{part} was changed by another operation")
+                left = [v for v in own if v not in gone] + ([come] if come else [])
+                if left:
+                    state[table][part] = left
+                else:
+                    state[table].pop(part, None)
+            with _LOCK:
+                if self.commits.commit(number + 1, state):
+                    break
+        else:
+            raise RuntimeError("no commit could be made")
+        fs = self.commits.fs()
+        for table, part, gone, _ in changes:
+            for v in gone:
+                fs.delete(self.commits.path(f"{table}/version={v}/{part}"), True)
+
+    def sweep(self) -> int:
+        """Delete versions that no commit names; only while nothing else writes. The number deleted."""
+        state, fs, n = self._state(), self.commits.fs(), 0
+        for table in TABLES:
+            named = {v for versions in state.get(table, {}).values() for v in versions}
+            for name in self.commits.names(table):
+                if name.removeprefix("version=") not in named:
+                    n += bool(fs.delete(self.commits.path(f"{table}/{name}"), True))
+        return n
 
     def exists(self, table: str) -> bool:
-        """Whether the table holds anything; dropped partitions leave empty folders."""
-        fs, at = self._fs(), self._path(table)
-        return fs.exists(at) and fs.getContentSummary(at).getLength() > 0
+        """Whether the table holds anything."""
+        return bool(self._state().get(table))
 
     def check_format(self) -> None:
         """Refuse data written by a later version; mark a new folder with this one."""
-        fs, at = self._fs(), self._path("FORMAT.json")
+        fs, at = self.commits.fs(), self.commits.path("FORMAT.json")
         if fs.exists(at):
             version = self.spark.read.json(f"{self.folder}/FORMAT.json").first()["version"]
             if version > FORMAT:
@@ -62,22 +128,32 @@ class Store:
         out.close()
 
     # -- reading and writing
+    def _frame(self, table: str, parts: dict[str, list[str]]) -> DataFrame:
+        paths = [f"{self.folder}/{table}/version={v}/{p}" for p, versions in parts.items() for v in versions]
+        return self.spark.read.option("mergeSchema", "true").option("basePath", f"{self.folder}/{table}").parquet(*paths).drop("version")
+
     def read(self, table: str, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """A table, of which only the partitions in [start, end) are read. Columns are matched by name over all files."""
-        df = self.spark.read.option("mergeSchema", "true").parquet(f"{self.folder}/{table}")
-        if start is not None:
-            df = df.where((F.col("date") >= F.lit(utc(start).date())) & (F.col("ts") >= F.lit(utc(start))))
-        if end is not None:
-            df = df.where((F.col("date") <= F.lit(utc(end).date())) & (F.col("ts") < F.lit(utc(end))))
-        return df
+        parts = self._state().get(table)
+        if not parts:
+            raise ValueError(f"the store holds no {table}")
+        span = {p: v for p, v in parts.items() if (start is None or _begin(p) + _length(p) > utc(start)) and (end is None or _begin(p) < utc(end))}
+        if not span:
+            return self._frame(table, dict([next(iter(parts.items()))])).where("false")
+        df = self._frame(table, span)
+        df = df if start is None else df.where(F.col("ts") >= F.lit(utc(start)))
+        return df if end is None else df.where(F.col("ts") < F.lit(utc(end)))
 
     def flows(self, start: datetime | None = None, end: datetime | None = None) -> DataFrame:
         """Sealed rows and those not sealed yet."""
         parts = [self.read(t, start, end) for t in ("flows", "hot") if self.exists(t)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p, allowMissingColumns=True)
-        return out
+        return _union(parts)
+
+    def tables(self) -> Tables:
+        """The stored tables as queries take them: records are stored once, so nothing looks for second deliveries."""
+        flows = blanked_flows(self.flows()).drop(*ARRIVAL)
+        kept = {n: self.read(n) for n in (*SUMMARIES, "ifc") if self.exists(n)}
+        return Tables(flows, **kept, data_from=utc(self.data_start()))
 
     @staticmethod
     def _dated(df: DataFrame, table: str) -> DataFrame:
@@ -85,25 +161,33 @@ class Store:
         df = df.withColumn("ts", ts).withColumn("date", F.to_date(ts))
         return df.withColumn("hour", F.hour(ts)) if table in PART else df
 
-    def append(self, table: str, df: DataFrame) -> None:
-        self.check_format()
-        self._dated(df, table).write.mode("append").partitionBy(*PART.get(table, ["date"])).parquet(f"{self.folder}/{table}")
-
-    def replace(self, table: str, df: DataFrame) -> None:
-        """Replace the partitions that df has rows in."""
-        sorted_ = self._dated(df, table)
+    def _written(self, table: str, df: DataFrame) -> tuple[str, list[str]]:
+        """Write df as a version that no commit names yet; its name and partitions."""
+        version, dated = uuid.uuid4().hex[:16], self._dated(df, table)
         if table == "flows":
-            # Row groups then cover short spans of time and addresses.
-            sorted_ = sorted_.repartition("date", "hour").sortWithinPartitions("ts", "client")
-        sorted_.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*PART.get(table, ["date"])).parquet(f"{self.folder}/{table}")
+            # Row groups then cover short spans of time and addresses; an hour may be many tasks.
+            dated = dated.repartitionByRange("date", "hour", "ts").sortWithinPartitions("ts", "client")
+        by = PART.get(table, ["date"])
+        dated.write.option("compression", "zstd").partitionBy(*by).parquet(f"{self.folder}/{table}/version={version}")
+        parts = [n for n in self.commits.names(f"{table}/version={version}") if n.startswith("date=")]
+        if len(by) > 1:
+            parts = [f"{d}/{h}" for d in parts for h in self.commits.names(f"{table}/version={version}/{d}") if h.startswith("hour=")]
+        return version, parts
+
+    def _added(self, table: str, df: DataFrame) -> list[Change]:
+        version, parts = self._written(table, df)
+        return [(table, p, (), version) for p in parts]
+
+    def _replaced(self, table: str, df: DataFrame, old: dict[str, list[str]]) -> list[Change]:
+        """df instead of the partitions old, as they were read."""
+        version, parts = self._written(table, df)
+        return [(table, p, tuple(old.get(p, ())), version if p in parts else None) for p in {*old, *parts}]
 
-    def _partitions(self, table: str) -> list[tuple]:
-        cols = PART.get(table, ["date"])
-        return [tuple(r) for r in self.spark.read.parquet(f"{self.folder}/{table}").select(*cols).distinct().collect()] if self.exists(table) else []
+    def append(self, table: str, df: DataFrame) -> None:
+        self._change(self._added(table, df))
 
-    def _drop(self, table: str, part: tuple) -> None:
-        cols = PART.get(table, ["date"])
-        self._fs().delete(self._path("/".join([table, *[f"{c}={v}" for c, v in zip(cols, part)]])), True)
+    def _parts(self, table: str, wanted: Callable[[str], bool] = lambda p: True) -> dict[str, list[str]]:
+        return {p: v for p, v in self._state().get(table, {}).items() if wanted(p)}
 
     # -- sealing
     def seal(self, now: datetime) -> int:
@@ -112,98 +196,108 @@ class Store:
         An hour that was sealed before is rewritten with what came late.  Returns the hours sealed.
         """
         edge = trunc(utc(now) - GRACE, HOUR)
-        ready = [p for p in self._partitions("hot") if datetime.combine(p[0], datetime.min.time()) + p[1] * HOUR < edge.replace(tzinfo=None)]
+        ready = self._parts("hot", lambda p: _begin(p) < edge)
         if not ready:
             return 0
-        hours = self.spark.createDataFrame(ready, "date date, hour int")
-        new = cut(self.spark.read.parquet(f"{self.folder}/hot").join(F.broadcast(hours), ["date", "hour"], "left_semi"), "sealing")
-        old = [self.spark.read.parquet(f"{self.folder}/flows").join(F.broadcast(hours), ["date", "hour"], "left_semi")] if self.exists("flows") else []
-        whole = cut(old[0].unionByName(new, allowMissingColumns=True) if old else new, "sealed")
-        self.replace("flows", whole.drop("date", "hour"))
+        new = cut(self._frame("hot", ready).drop("date", "hour"), "sealing")
+        old = self._parts("flows", lambda p: p in ready)
+        whole = _union([*([self._frame("flows", old).drop("date", "hour")] if old else []), new])
+        changes = self._replaced("flows", whole, old)
         for name in ("r_ts_if", "r_dim_if"):
-            self.append(name, rollups.ALL[name](new))
-        for p in ready:
-            self._drop("hot", p)
+            changes += self._added(name, rollups.ALL[name](new))
+        self._change([*changes, *[("hot", p, tuple(v), None) for p, v in ready.items()]])
         return len(ready)
 
+    def compact(self, now: datetime, most: int = 16) -> int:
+        """Put together the partitions of days past that lie in more than `most` versions; the number of them."""
+        today, n = utc(now).replace(hour=0, minute=0, second=0, microsecond=0), 0
+        for table in (*SUMMARIES, "ifc"):
+            crowded = {p: v for p, v in self._parts(table).items() if len(v) > most and _begin(p) < today}
+            if crowded:
+                rows = self._frame(table, crowded).drop("date").repartitionByRange("ts")
+                self._change(self._replaced(table, rows, crowded))
+                n += len(crowded)
+        return n
+
     # -- retention and purging
     def retain(self, now: datetime, detail: int = DETAIL_DAYS, summary: int = SUMMARY_DAYS, counters: int = SUMMARY_DAYS) -> dict[str, int]:
         """Drop the partitions that lie before the cut of their table, whole days at a time; the number dropped."""
-        out = {}
+        out, changes = {}, []
         for table, days in [("flows", detail), *[(t, summary) for t in SUMMARIES], ("ifc", counters)]:
             cut_day = (utc(now) - timedelta(days=days)).date()
-            old = [p for p in self._partitions(table) if p[0] < cut_day]
-            for p in old:
-                self._drop(table, p)
+            old = self._parts(table, lambda p: _begin(p).date() < cut_day)
+            changes += [(table, p, tuple(v), None) for p, v in old.items()]
             out[table] = len(old)
+        self._change(changes)
         return out
 
     def purge(self, before: datetime | None = None) -> None:
         """Delete everything before a moment, or everything. Partitions that the moment cuts are rewritten."""
-        for table in ("flows", "hot", *SUMMARIES, "ifc"):
-            if not self.exists(table):
-                continue
-            if before is None:
-                self._fs().delete(self._path(table), True)
-                continue
-            edge = utc(before)
-            for p in self._partitions(table):
-                begin = datetime.combine(p[0], datetime.min.time(), edge.tzinfo) + (p[1] if len(p) > 1 else 0) * HOUR
-                length = HOUR if len(p) > 1 else timedelta(days=1)
-                if begin + length <= edge:
-                    self._drop(table, p)
-                elif begin < edge:
-                    cols = PART.get(table, ["date"])
-                    here = self.spark.read.parquet(f"{self.folder}/{table}").where(" and ".join(f"{c} = {v!r}" if c == "hour" else f"{c} = date'{v}'" for c, v in zip(cols, p)))
-                    kept = cut(here.where(F.col("ts") >= F.lit(edge)), "purged")
-                    if kept.isEmpty():
-                        self._drop(table, p)
-                    else:
-                        self.replace(table, kept.drop(*cols))
+        changes: list[Change] = []
+        for table in TABLES:
+            edge = utc(before) if before else None
+            gone = self._parts(table, lambda p: edge is None or _begin(p) + _length(p) <= edge)
+            changes += [(table, p, tuple(v), None) for p, v in gone.items()]
+            across = self._parts(table, lambda p: edge is not None and _begin(p) < edge < _begin(p) + _length(p))
+            if across:
+                changes += self._replaced(table, self._frame(table, across).where(F.col("ts") >= F.lit(edge)).drop(*PART.get(table, ["date"])), across)
+        self._change(changes)
 
     def purge_size(self, before: datetime) -> DataFrame:
         """table, rows that purge(before) would delete."""
-        parts = [self.read(t).where(F.col("ts") < F.lit(utc(before))).agg(F.lit(t).alias("table"), F.count("*").alias("rows")) for t in ("flows", "hot", *SUMMARIES, "ifc") if self.exists(t)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return _union([self.read(t, None, before).agg(F.lit(t).alias("table"), F.count("*").alias("rows")) for t in TABLES if self.exists(t)])
 
     def purge_exporter(self, exporter: str) -> int:
         """Delete everything one device reported. Where another reported the same traffic its copy counts from now on; the
         overall summaries of the touched hours are made anew. Returns the number of touched hours."""
-        touched = [tuple(r) for r in self.flows().where(F.col("exporter") == exporter).select("date", "hour").distinct().collect()]
-        if touched:
-            hours = F.broadcast(self.spark.createDataFrame(touched, "date date, hour int"))
-            for table in ("flows", "hot"):
-                if not self.exists(table):
-                    continue
-                here = self.spark.read.parquet(f"{self.folder}/{table}").join(hours, ["date", "hour"], "left_semi")
-                kept = cut(promoted(here.where(F.col("exporter") != exporter)), "kept")
-                for p in touched:
-                    self._drop(table, p)
-                if not kept.isEmpty():
-                    self.replace(table, kept.drop("date", "hour"))
-            begin = min(datetime.combine(d, datetime.min.time()) + h * HOUR for d, h in touched)
-            end = max(datetime.combine(d, datetime.min.time()) + h * HOUR for d, h in touched) + HOUR
-            self.rebuild(begin, end)
+        rows = self.flows().where(F.col("exporter") == exporter).select("date", "hour").distinct().collect()
+        touched = {f"date={r.date}/hour={r.hour}" for r in rows}
         own = (F.col("iface") == exporter) | F.col("iface").startswith(exporter + "/")
         marks = F.col("dim").isin("obsif", "obsunk") & ((F.col("val") == exporter) | F.col("val").startswith(exporter + "/"))
+        changes: list[Change] = []
+        if touched:
+            begin, end = min(map(_begin, touched)), max(map(_begin, touched)) + HOUR
+            span = {t: self._parts(t, lambda p: begin <= _begin(p) < end) for t in ("flows", "hot")}
+            kept = {}
+            for table, parts in span.items():
+                if parts:
+                    kept[table] = cut(self._frame(table, parts).where(F.col("exporter") != exporter), "kept")
+            # The copies of a flow may lie in both tables.
+            marked = cut(promoted(_union([f.withColumn("_table", F.lit(t)) for t, f in kept.items()])), "promoted")
+            for table in kept:
+                own_rows = marked.where((F.col("_table") == table) & F.concat(F.lit("date="), F.col("date").cast("string"), F.lit("/hour="), F.col("hour").cast("string")).isin(sorted(touched)))
+                changes += self._replaced(table, own_rows.drop("_table", "date", "hour"), {p: v for p, v in span[table].items() if p in touched})
+            changes += self._rebuilt(marked.drop("_table", "date", "hour"), begin, end, marks)
         for table, gone in (("r_ts_if", own), ("r_dim_if", own), ("r_dim", marks), ("ifc", F.col("exporter") == exporter)):
-            self._without(table, gone)
+            done = {p for t, p, _, _ in changes if t == table}
+            changes += self._without(table, gone, done)
+        self._change(changes)
         return len(touched)
 
-    def _without(self, table: str, gone: Column) -> None:
-        if not self.exists(table):
-            return
-        days = [r[0] for r in self.read(table).where(gone).select("date").distinct().collect()]
-        if days:
-            kept = cut(self.read(table).where(F.col("date").isin(days) & ~F.coalesce(gone, F.lit(False))), "without")
-            left = {r[0] for r in kept.select("date").distinct().collect()}
-            for d in set(days) - left:
-                self._drop(table, (d,))
-            if left:
-                self.replace(table, kept.drop("date"))
+    def _without(self, table: str, gone: Column, done: set[str]) -> list[Change]:
+        parts = self._parts(table, lambda p: p not in done)
+        if not parts:
+            return []
+        days = {f"date={r.date}" for r in self._frame(table, parts).where(gone).select("date").distinct().collect()}
+        old = {p: v for p, v in parts.items() if p in days}
+        return self._replaced(table, self._frame(table, old).where(~F.coalesce(gone, F.lit(False))).drop("date"), old) if old else []
+
+    def _rebuilt(self, flows: DataFrame, a: datetime, b: datetime, gone: Column | None = None) -> list[Change]:
+        """r_ts, r_host and r_dim of [a, b) from the flow rows of that span; the rest of its days stays, as do marks of sampled
+        interfaces but for those in gone."""
+        changes: list[Change] = []
+        inside = (F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))
+        for name in ("r_ts", "r_host", "r_dim"):
+            new = rollups.ALL[name](flows)
+            old = self._parts(name, lambda p: a.date() <= _begin(p).date() <= b.date())
+            if old:
+                keep = ~inside
+                if name == "r_dim":
+                    keep = keep | F.col("dim").isin("obsif", "obsunk")
+                    keep = keep if gone is None else keep & ~F.coalesce(gone, F.lit(False))
+                new = _union([self._frame(name, old).where(keep).drop("date"), new])
+            changes += self._replaced(name, new, old)
+        return changes
 
     def rebuild(self, start: datetime, end: datetime) -> None:
         """Make r_ts, r_host and r_dim of [start, end) anew from the flow rows, keeping the marks of sampled interfaces.
@@ -211,30 +305,15 @@ class Store:
         Whole days are replaced at a time: the rest of their rows is kept as it is.
         """
         a, b = utc(start), utc(end)
-        flows = cut(self.flows(a, b), "rebuilding")
-        inside = (F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))
-        for name in ("r_ts", "r_host", "r_dim"):
-            new = rollups.ALL[name](flows)
-            if self.exists(name):
-                old = self.read(name).where((F.col("date") >= F.lit(a.date())) & (F.col("date") <= F.lit(b.date())))
-                keep = ~inside | F.col("dim").isin("obsif", "obsunk") if name == "r_dim" else ~inside
-                new = old.where(keep).drop("date").unionByName(new, allowMissingColumns=True)
-                days = [r[0] for r in old.select("date").distinct().collect()]
-            else:
-                days = []
-            new = cut(new, "rebuilt")
-            left = {r[0] for r in new.select(F.to_date("ts")).distinct().collect()}
-            for d in set(days) - left:
-                self._drop(name, (d,))
-            if left:
-                self.replace(name, new)
+        self._change(self._rebuilt(cut(self.flows(a, b).drop("date", "hour"), "rebuilding"), a, b))
 
     def build_views(self) -> None:
-        """Make the summaries by device and interface for all stored rows."""
+        """Make the summaries by device and interface for all sealed rows."""
         flows = self.read("flows")
+        changes: list[Change] = []
         for name in ("r_ts_if", "r_dim_if"):
-            self._fs().delete(self._path(name), True)
-            self.append(name, rollups.ALL[name](flows))
+            changes += self._replaced(name, rollups.ALL[name](flows), self._parts(name))
+        self._change(changes)
 
     # -- questions about the store
     def exporters(self, limit: int = 200) -> DataFrame:
@@ -244,8 +323,8 @@ class Store:
 
     def usage(self) -> dict[str, int]:
         """Bytes of each table's files."""
-        fs = self._fs()
-        return {t: fs.getContentSummary(self._path(t)).getLength() for t in ("flows", "hot", *SUMMARIES, "ifc") if self.exists(t)}
+        fs = self.commits.fs()
+        return {t: sum(fs.getContentSummary(self.commits.path(f"{t}/version={v}/{p}")).getLength() for p, vs in self._parts(t).items() for v in vs) for t in TABLES if self.exists(t)}
 
     def data_start(self) -> datetime | None:
         """When the stored flow rows begin."""

@@ -9,12 +9,12 @@ batch that died leaves no trace, and one that is run again replaces its own file
 
 from __future__ import annotations
 
-import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from netloom.core.columns import floor_div, micros
+from netloom.core.commits import Commits
 from netloom.core.deliveries import first_deliveries
 
 MINUTE_US = 60_000_000
@@ -22,8 +22,8 @@ MEASURES = ["bytes", "wire", "pkts", "flows"]
 RAW = "ts timestamp, app string, bytes long, wire long, pkts long, flows long, dup boolean, arrival_seq long, arrived timestamp"
 COLUMNS = [c.split()[0] for c in RAW.split(", ")]
 TOTALS = "minute_us long, app string, bytes long, wire long, pkts long, flows long, records long"
-#: A period's raw rows are put together when they lie in more folders than this; commit files kept.
-PARTS, KEPT = 16, 3
+#: A period's raw rows are put together when they lie in more folders than this.
+PARTS = 16
 
 
 @dataclass
@@ -61,41 +61,19 @@ class LateTotals:
 
     def __init__(self, spark: SparkSession, folder: str, late_us: int = 120 * MINUTE_US, early_us: int = 2 * MINUTE_US, period_us: int = 60 * MINUTE_US):
         self.spark, self.folder, self.late_us, self.early_us, self.period_us = spark, folder.rstrip("/"), late_us, early_us, period_us
+        self.commits = Commits(spark, folder)
 
     # -- files
-    def _path(self, name: str):
-        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
-
-    def _fs(self):
-        return self._path("").getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _names(self, folder: str) -> list[str]:
-        fs, at = self._fs(), self._path(folder)
-        return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
-
     def _periods(self, folder: str) -> list[str]:
-        return [n.removeprefix("period=") for n in self._names(folder) if n.startswith("period=")]
+        return [n.removeprefix("period=") for n in self.commits.names(folder) if n.startswith("period=")]
 
     def state(self) -> State:
-        names = [n for n in self._names("commits") if n.endswith(".json")]
-        if not names:
-            return State()
-        stream = self._fs().open(self._path(f"commits/{names[-1]}"))
-        try:
-            return State(**json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
-        finally:
-            stream.close()
+        held = self.commits.last()[1]
+        return State(**held) if held else State()
 
     def _commit(self, state: State) -> None:
-        fs, temp = self._fs(), self._path(f"pending-{state.seq}.json")
-        out = fs.create(temp, True)
-        out.write(bytearray(json.dumps(asdict(state)).encode()))
-        out.close()
-        fs.mkdirs(self._path("commits"))
-        if not fs.rename(temp, self._path(f"commits/{state.seq:012d}.json")):
+        if not self.commits.commit(state.seq, asdict(state)):
             raise OSError(f"commit {state.seq} could not be made; is there another writer?")
-        for old in [n for n in self._names("commits") if n.endswith(".json")][:-KEPT]:
-            fs.delete(self._path(f"commits/{old}"), False)
 
     # -- batches
     def _delay(self) -> Column:
@@ -167,16 +145,16 @@ class LateTotals:
         state.closed_us = max(before_us, state.closed_us or before_us)
         state.raw = {p: parts for p, parts in state.raw.items() if (int(p) + 1) * self.period_us > state.closed_us}
         self._commit(state)
-        fs = self._fs()
+        fs = self.commits.fs()
         wanted = {f"totals/{v}/period={p}" for p, v in state.current.items()} | {f"raw/{part}/period={p}" for p, parts in state.raw.items() for part in parts}
         for kind in ("raw", "totals"):
-            for version in self._names(kind):
+            for version in self.commits.names(kind):
                 inside = [f"{kind}/{version}/period={p}" for p in self._periods(f"{kind}/{version}")]
                 if not wanted & set(inside):
-                    fs.delete(self._path(f"{kind}/{version}"), True)
+                    fs.delete(self.commits.path(f"{kind}/{version}"), True)
                     continue
                 for name in set(inside) - wanted:
-                    fs.delete(self._path(name), True)
+                    fs.delete(self.commits.path(name), True)
 
 
 def replay(hot: DataFrame, totals: LateTotals, batches: int = 4) -> LateTotals:

@@ -6,6 +6,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from netloom import queries_flow
+from netloom.core.shared import new_path
 from netloom.functions import net
 from netloom.maintain import store
 from netloom.operators import ingest, ranges, rollups
@@ -112,3 +114,40 @@ register("promote_dup", lambda s, d: store.promoted(clean_flows(s.read.parquet(f
 register("ingest_rows", lambda s, d: ingest.flow_rows(records(s, d), NOW, ranges.networks(s, _NETS, "name string"), _asns(s, d)))
 register("ingest_observed", lambda s, d: rollups.observed(ingest.flow_rows(records(s, d), NOW)))
 register("ingest_settle", lambda s, d: ingest.settle_seconds(records(s, d).withColumn("arrived", F.col("end"))))
+
+
+# -- the store: flow rows and summaries appended, hours sealed, a device's rows deleted, summaries rebuilt
+def _stored(spark: SparkSession, folder: str, *summaries: str) -> store.Store:
+    s, flows = store.Store(spark, new_path(spark, "store")), clean_flows(spark.read.parquet(f"{folder}/hot.parquet"))
+    s.append("hot", flows)
+    for name in summaries:
+        s.append(name, rollups.ALL[name](flows))
+    s.seal(NOW)
+    return s
+
+
+def _seal(spark: SparkSession, folder: str) -> DataFrame:
+    s = _stored(spark, folder)
+    assert not s.exists("hot")
+    return s.read("flows").groupBy((F.unix_seconds("ts") - F.pmod(F.unix_seconds("ts"), F.lit(3600))).alias("ts_s")).agg(F.count("*").alias("rows"), F.sum("wire").alias("wire"))
+
+
+def _purged(spark: SparkSession, folder: str) -> store.Store:
+    s = _stored(spark, folder, "r_ts", "r_host", "r_dim")
+    s.purge_exporter("10.66.0.1")
+    return s
+
+
+def _rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    s = _stored(spark, folder)
+    s.append("r_host", rollups.r_host(s.read("flows").where("proto = 6")))  # not what the flows say
+    s.rebuild(datetime(2026, 3, 1), datetime(2026, 4, 1))
+    return s.read("r_host").drop("date")
+
+
+_epoch = queries_flow._epoch
+register("store_seal", _seal, f"WITH {queries_flow._FLOWS} SELECT epoch_us(ts) // 3600000000 * 3600 AS ts_s, count(*) AS rows, CAST(sum(wire) AS BIGINT) AS wire FROM flows GROUP BY 1")
+register("store_views", lambda s, d: _epoch(_stored(s, d).read("r_ts_if").drop("date")), queries_flow.SQL["view_ts_if"])
+register("store_rebuild", lambda s, d: _epoch(_rebuilt(s, d)), queries_flow.SQL["rollup_host"])
+register("store_purge_exporter", lambda s, d: _purged(s, d).flows().groupBy("exporter").agg(F.count("*").alias("rows"), F.sum(F.col("dup").cast("long")).alias("dups")), SQL["promote_dup"])
+register("store_purge_summaries", lambda s, d: _epoch(_purged(s, d).read("r_ts").drop("date")), SQL["promote_dup"].replace("SELECT exporter, count(*) AS rows, CAST(sum((dup AND (has OR n > 1))::INT) AS BIGINT) AS dups FROM g GROUP BY 1", f"SELECT epoch_us(ts) // 1000000 AS ts_s, app, {queries_flow._SUMS} FROM g WHERE NOT (dup AND (has OR n > 1)) GROUP BY 1, 2").replace("SELECT exporter, dup, bool_or", "SELECT ts, app, bytes, wire, pkts, flows, dup, bool_or").replace("coalesce(dup, false) AS dup", queries_flow._BLANKS))

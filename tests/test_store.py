@@ -6,11 +6,12 @@ import pytest
 from flows import T0, flow_rows, records
 from pyspark.sql import functions as F
 
+from netloom.core.commits import Commits
 from netloom.maintain import store
 from netloom.maintain.store import Store
-from netloom.operators import ingest, interfaces, rollups
+from netloom.operators import ingest, interfaces, rollups, totals
 from netloom.plans.tables import Tables
-from netloom.plans.query import Query
+from netloom.plans.query import Query, utc
 from netloom.sources import netflow, udp
 from netloom.streaming import ingest as streaming
 
@@ -67,6 +68,75 @@ def test_retention_and_purge(spark, tmp_path):
     assert not s.exists("flows") and not s.exists("r_dim")
 
 
+@pytest.mark.parametrize("step", ["_written", "commit", "delete"])
+def test_an_operation_that_stops_changes_all_or_nothing(spark, tmp_path, monkeypatch, step):
+    s, flows = filled(spark, tmp_path)
+
+    def stop(*a):
+        raise OSError("stopped")
+
+    fs = s.commits.fs()
+
+    class Stopping:
+        def __getattr__(self, name):
+            return stop if name == "delete" else getattr(fs, name)
+
+    operations = [lambda: s.seal(T0 + timedelta(hours=9)), lambda: s.purge_exporter("10.9.9.1"), lambda: s.build_views()]
+    for operate in operations:
+        before = {t: s.read(t).count() for t in store.TABLES if s.exists(t)}
+        with monkeypatch.context() as m:
+            if step == "_written":
+                real, calls = Store._written, []
+                m.setattr(Store, "_written", lambda self, t, df: (calls.append(t), real(self, t, df) if len(calls) < 2 else stop())[1])
+            elif step == "commit":
+                m.setattr(Commits, "commit", stop)
+            else:
+                m.setattr(Commits, "fs", lambda self: Stopping())
+            with pytest.raises(OSError):
+                operate()
+        if step != "delete":
+            assert {t: s.read(t).count() for t in store.TABLES if s.exists(t)} == before
+        operate()
+        left = s.flows()
+        assert same(s.read("r_ts_if"), rollups.r_ts_if(s.read("flows")), ["ts", "iface", "side", "app"])
+        assert left.count() == left.distinct().count()
+    assert s.flows().count() == 30 and s.sweep() > 0 and s.flows().count() == 30
+
+
+def test_rows_that_arrive_while_an_hour_is_sealed_stay(spark, tmp_path, monkeypatch):
+    s, flows = filled(spark, tmp_path)
+    late, real = flows.where(F.col("ts") < F.lit(T0 + timedelta(minutes=30))), Store._replaced
+
+    def replaced(self, *a):
+        monkeypatch.undo()
+        self.append("hot", late)
+        return real(self, *a)
+
+    monkeypatch.setattr(Store, "_replaced", replaced)
+    s.seal(T0 + timedelta(days=1))
+    assert s.read("flows").count() == 60 and s.read("hot").count() == 6
+    s.seal(T0 + timedelta(days=1))
+    assert s.read("flows").count() == 66 and not s.exists("hot")
+
+
+def test_many_small_versions_are_put_together(spark, tmp_path):
+    s = Store(spark, str(tmp_path / "d"))
+    rows = rollups.r_ts(sample(spark))
+    for _ in range(4):
+        s.append("r_ts", rows)
+    assert s.compact(T0 + timedelta(days=2), most=3) == 1 and s.compact(T0 + timedelta(days=2), most=3) == 0
+    assert s.read("r_ts").count() == 4 * rows.count() and [len(v) for v in s._state()["r_ts"].values()] == [1]
+
+
+def test_stored_tables_answer_without_a_search_for_copies(spark, tmp_path):
+    s, flows = filled(spark, tmp_path)
+    s.seal(T0 + timedelta(days=1))
+    t = s.tables()
+    q = Query(T0, T0 + timedelta(hours=2))
+    plan = totals.totals(t, q)._jdf.queryExecution().executedPlan().toString()
+    assert "arrival_seq" not in plan and totals.totals(t, q).first().flows == 12 and utc(t.data_from) == T0
+
+
 def test_rebuild_equals_what_was_built(spark, tmp_path):
     s, flows = filled(spark, tmp_path)
     before = {n: spark.createDataFrame(s.read(n).drop("date").collect(), s.read(n).drop("date").schema) for n in KEYS}
