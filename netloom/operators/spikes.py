@@ -2,39 +2,87 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from netloom.core.arrow import rows_mapped
 from netloom.core.columns import floor_div
 from netloom.core.counters import CHUNK_US, HOUR_US, KEYS, interface_speed, rate, reading_steps
-from netloom.core.order_stats import bracket, bracketed_medians
+from netloom.core.order_stats import bracketed_medians
 from netloom.core.shared import cut
 
 DAY_US = 24 * HOUR_US
 #: Turns a median absolute deviation into the standard deviation of normal data.
 MAD_TO_SD = 1.4826
-#: Fewest rates for the studentised test; below, the limit is that for modified z-scores.
-LEAST, PLAIN_LIMIT = 25, 3.5
-#: z-scores are ranked in steps of this relative width; one of infinite size counts as Z_MOST.
-Z_STEP, Z_MOST = 0.01, 1e9
+#: Sizes are counted in bins of this relative width; zero has a bin of its own.
+WIDTH, ZERO = 0.05, -1_000_000
 
 
-def upper_normal(p: Column) -> Column:
-    """z with probability p above it, p < 0.5 (rational approximation, error below 5e-4)."""
-    t = F.sqrt(-2 * F.log(p))
-    return t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+def size_bin(size: Column) -> Column:
+    return F.when(size > 0, F.floor(F.log(size) / WIDTH)).otherwise(F.lit(ZERO)).cast("int")
 
 
-def esd_limit(n: Column, i: Column, alpha: float) -> Column:
-    """Critical value of the i-th most extreme of n values in the generalised studentised-deviate test."""
-    df = (n - i - 1).cast("double")
-    z = upper_normal(F.lit(alpha) / (2 * (n - i + 1)))
+def bin_size(b: np.ndarray) -> np.ndarray:
+    return np.where(b == ZERO, 0.0, np.exp((np.maximum(b, -10_000) + 0.5) * WIDTH))
+
+
+def esd_limits(n: float, i: np.ndarray, alpha: float) -> np.ndarray:
+    """Critical values of the i-th most extreme of n values in the generalised extreme studentised deviate test; infinite where
+    fewer than three values are left.  Normal quantiles by a rational approximation (error below 5e-4), Student's by their
+    expansion in 1 / df."""
+    df = np.maximum(n - i - 1, 1.0)
+    u = np.sqrt(-2 * np.log(alpha / (2 * (n - i + 1))))
+    z = u - (2.515517 + 0.802853 * u + 0.010328 * u * u) / (1 + 1.432788 * u + 0.189269 * u * u + 0.001308 * u * u * u)
     t = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
-    return F.when(n < LEAST, F.lit(PLAIN_LIMIT)).otherwise((n - i) * t / F.sqrt((df + t * t) * (n - i + 1)))
+    return np.where(n - i - 1 >= 1, (n - i) * t / np.sqrt((df + t * t) * (n - i + 1)), np.inf)
 
 
-def score(deviation: Column, mad: Column) -> Column:
-    size = F.abs(deviation)
-    return F.when(size == 0, F.lit(0.0)).when(mad > 0, F.least(size / (mad * MAD_TO_SD), F.lit(Z_MOST))).otherwise(F.lit(Z_MOST))
+def extreme(size: np.ndarray, count: np.ndarray, alpha: float, least: float = 0.0) -> np.ndarray:
+    """Which bins of deviations (their sizes, rising, and counts) the generalised ESD test finds extreme.
+
+    From the largest down: each bin is studentised by the median of the deviations that remain when all larger ones are
+    removed (the scale is estimated anew each time; least is its lower bound) and compared with the critical value of its
+    rank.  The lowest bin that exceeds its limit decides, and up to half of the values may go.
+    """
+    left = np.cumsum(count)
+    n = int(left[-1])
+    i = n - left + 1.0
+    scale = np.maximum(MAD_TO_SD * size[np.searchsorted(left, (left + 1) // 2)], least)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        beyond = np.where(size > 0, size / scale, 0.0) > esd_limits(n, i, alpha)
+    found = np.flatnonzero(beyond & (2 * i <= n))
+    return np.arange(len(size)) >= (found[0] if len(found) else len(size))
+
+
+LIMITS = "exporter string, ifindex long, rest_from int, high_from int, low_to int, ends array<double>"
+
+
+def interface_limits(alpha: float, factor: float):
+    """mapInArrow function over exporter, ifindex, middle, bins (kind, b, n): the bins from which on residuals are extreme, and
+    rates are above and below the middle; the bracket of the median of the rates above zero, if one may be factor times it."""
+
+    def one(row: dict) -> dict:
+        bins = {k: np.array(sorted((x["b"], x["n"]) for x in row["bins"] if x["kind"] == k), np.int64).reshape(-1, 2).T for k in (0, 1)}
+        out = {"exporter": row["exporter"], "ifindex": row["ifindex"]}
+        (b, n), (r, m) = bins[0], bins[1]
+        if len(b):
+            far = b[extreme(bin_size(b), n, alpha)]
+            out["rest_from"] = int(far[0]) if len(far) else None
+        if len(r):
+            away = np.abs(bin_size(r) - row["middle"])
+            order = np.argsort(away, kind="stable")
+            far = r[order][extreme(away[order], m[order], alpha, WIDTH / 2 * row["middle"])]
+            high, low = far[bin_size(far) > row["middle"]], far[bin_size(far) < row["middle"]]
+            out |= {"high_from": int(high.min()) if len(high) else None, "low_to": int(low.max()) if len(low) else None}
+            up, times = r[r != ZERO], m[r != ZERO]
+            if len(up):
+                upto = np.cumsum(times)
+                lo, hi = (int(up[np.searchsorted(upto, k)]) for k in ((upto[-1] + 1) // 2, upto[-1] // 2 + 1))
+                if np.exp((up[-1] + 1) * WIDTH) >= 0.999 * factor * np.exp(lo * WIDTH):
+                    out["ends"] = [float(np.exp(lo * WIDTH) * (1 - 1e-9)), float(np.exp((hi + 1) * WIDTH) * (1 + 1e-9))]
+        return out
+
+    return lambda row: [one(row)]
 
 
 def stuck_runs(steps: DataFrame, run: int, share: float) -> DataFrame:
@@ -76,76 +124,63 @@ def reading_checks(
 ) -> DataFrame:
     """Every usable reading with what speaks against it, measured by its own interface.
 
-    Columns: exporter, ifindex, us, in_oct, rate, speed, median (of the interface's rates above zero), expected (trend +
-    seasonal), residual, contradicted, over_speed, outlier, off_level, far_above, stuck.
+    Columns: exporter, ifindex, us, in_oct, rate, speed, median (of the interface's rates above zero, where some rate is
+    factor times it or nearly; else null), expected (trend + seasonal), residual, contradicted, over_speed, outlier,
+    off_level, far_above, stuck.
 
-    Decomposition: seasonal = median rate of the hour of day less the interface's median; trend = median per day of what
-    is left; both robust and mergeable (quantile sketches of 1e-3 rank error).  outlier: the residual
-    exceeds the limit of a generalised extreme studentised deviate test at alpha; off_level: the plain deviation from the
-    interface's median does (so a high rate that comes every day is seen, too).  The test takes its scale from the median
-    absolute deviation and keeps it while it removes points; up to half of the points may go.  far_above: outlier or
-    off_level, and the rate is at least factor times median.  No such rate escapes the test on the plain deviation: rates are not negative, so their median absolute deviation is at most their median, hence the plain deviation of a
-    rate of 15 medians is at least 14 / 1.4826 = 9.4 deviations, and the limit stays below 7 up to 1e10 readings.
-    over_speed: rate above the interface's largest known speed.  stuck: see stuck_runs, all but the first of a run.
+    Decomposition: of every hour the median rate; seasonal = median of an hour of day over the days, less the interface's
+    middle, the median of all its hours; trend = median per day of the hours without their seasonal part.  outlier: the
+    residual is extreme by a generalised extreme studentised deviate test at alpha that estimates its scale anew as it
+    removes points, over counts of residuals by size (see extreme).  off_level: the rate itself is, by its distance from the
+    middle (so a high rate that comes every day is seen, too).  far_above: outlier or off_level, and then the exact check:
+    at least factor times the median.  The test keeps every such rate for the check: rates are not negative, so the median
+    distance is at most the middle and a rate of 15 medians lies at least 9 deviations off, while a critical value stays
+    below both the root of the number of rates and 7 up to 1e10 of them.  over_speed: rate above the interface's largest
+    known speed.  stuck: see stuck_runs, all but the first of a run.
 
     Unusable rows are ignored (see usable_readings), an interface with no rate has null rate, median and residual and can
-    only be contradicted or stuck; an empty table gives an empty result; other columns don't matter.  Statistics reach the
-    readings through one row per (interface, chunk of time), so no task holds an interface.
+    only be contradicted or stuck; an empty table gives an empty result; other columns don't matter.  Statistics are taken of
+    the hours, and reach the readings through one row per (interface, chunk of time), so no task holds an interface; an
+    interface's counts by size are a few hundred, however many readings it has.
     """
-    steps = cut(reading_steps(ifc, skew_us).withColumn("rate", rate(gap_us)).withColumn("hour", (F.pmod(floor_div(F.col("us"), HOUR_US), F.lit(24))).cast("int")), "rates", [*KEYS, "chunk"])
-    rates = steps.where(F.col("rate").isNotNull()).select(*KEYS, "chunk", "hour", "us", "rate")
+    steps = cut(reading_steps(ifc, skew_us).withColumn("rate", rate(gap_us)).withColumn("slot", floor_div(F.col("us"), HOUR_US)), "rates", [*KEYS, "chunk"])
+    rates = steps.where(F.col("rate").isNotNull())
     chunks = steps.select(*KEYS, "chunk").distinct().withColumn("day", floor_div(F.col("chunk") * CHUNK_US, DAY_US))
-
-    middle = rates.groupBy(*KEYS).agg(F.percentile_approx("rate", 0.5, 10_000).alias("middle"), bracket(F.when(F.col("rate") > 0, F.col("rate"))).alias("ends"), F.count("*").alias("n"))
-    hours = rates.groupBy(*KEYS, "hour").agg(F.percentile_approx("rate", 0.5, 1_000).alias("typical"))
-    season = hours.groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("hour", "typical"))).alias("typical"))
-    base = cut(chunks.join(middle.join(season, KEYS), KEYS), "season")
-    seasonal = F.element_at("typical", F.col("hour")) - F.col("middle")
-
-    days = (
-        rates.join(base, [*KEYS, "chunk"])
-        .groupBy(*KEYS, "day").agg(F.percentile_approx(F.col("rate") - seasonal, 0.5, 1_000).alias("trend"))
-    )
-    base = cut(base.join(days, [*KEYS, "day"]), "trend")
-    expected = F.col("trend") + seasonal
-    level = F.col("rate") - F.col("middle")
-
-    apart = rates.join(base, [*KEYS, "chunk"])
-    spread = apart.groupBy(*KEYS).agg(
-        F.percentile_approx(F.abs(F.col("rate") - expected), 0.5, 10_000).alias("mad_rest"), F.percentile_approx(F.abs(level), 0.5, 10_000).alias("mad_level")
-    )
-    base = cut(base.join(spread, KEYS), "spread")
-
-    step = lambda z: F.floor(F.log(z) / Z_STEP).cast("int")
-    scores = rates.join(base, [*KEYS, "chunk"]).select(
-        *KEYS, "n",
-        F.explode(F.array(
-            F.struct(F.lit("rest").alias("kind"), score(F.col("rate") - expected, F.col("mad_rest")).alias("z")),
-            F.struct(F.lit("level").alias("kind"), score(level, F.col("mad_level")).alias("z")),
-        )).alias("s"),
-    ).where("s.z > 2.5").groupBy(*KEYS, "n", F.col("s.kind").alias("kind"), step(F.col("s.z")).alias("at")).agg(F.count("*").alias("c"))
-    # Ranks of whole z steps, from the top; the lowest step beyond its limit bounds the outliers.
-    top = Window.partitionBy(*KEYS, "kind").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)
-    limits = (
-        scores.withColumn("i", F.sum("c").over(top))
-        .where((F.col("i") * 2 <= F.col("n")) & (F.exp(F.col("at") * Z_STEP) > esd_limit(F.col("n"), F.col("i"), alpha)))
-        .groupBy(*KEYS)
-        .agg(F.min(F.when(F.col("kind") == "rest", F.col("at"))).alias("limit_rest"), F.min(F.when(F.col("kind") == "level", F.col("at"))).alias("limit_level"))
-    )
-    medians = bracketed_medians(rates.where("rate > 0").join(base.select(*KEYS, "chunk", "ends"), [*KEYS, "chunk"]), KEYS, "rate", "ends")
+    typical = lambda c, accuracy=1_000: F.percentile_approx(c, 0.5, accuracy)
+
+    hours = rates.groupBy(*KEYS, "chunk", "slot").agg(typical("rate").alias("typical"))
+    hours = cut(hours.select(*KEYS, "typical", F.pmod("slot", F.lit(24)).cast("int").alias("hour"), floor_div(F.col("slot"), 24).alias("day")), "hours")
+    middle = hours.groupBy(*KEYS).agg(typical("typical", 10_000).alias("middle"))
+    season = hours.groupBy(*KEYS, "hour").agg(typical("typical").alias("t")).groupBy(*KEYS).agg(F.map_from_entries(F.collect_list(F.struct("hour", "t"))).alias("typical"))
+    base = cut(middle.join(season, KEYS), "season")
+    seasonal = F.element_at("season", F.col("hour")) - F.col("middle")
+    days = hours.join(base.withColumnRenamed("typical", "season"), KEYS).groupBy(*KEYS, "day").agg(typical(F.col("typical") - seasonal).alias("trend"))
+    base = cut(chunks.join(base.withColumnRenamed("typical", "season"), KEYS, "left").join(days, [*KEYS, "day"], "left"), "base")
+    hour = F.pmod("slot", F.lit(24)).cast("int")
+    expected = F.col("trend") + F.element_at("season", hour) - F.col("middle")
+
+    # The facts are one row per chunk: hashed, so that the readings needn't be sorted for them.
+    facts_by_chunk = lambda df: df.hint("shuffle_hash")
+    apart = rates.join(facts_by_chunk(base), [*KEYS, "chunk"]).select(*KEYS, "middle", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), size_bin(F.abs(F.col("rate") - expected)).alias("b")),
+        F.struct(F.lit(1).alias("kind"), size_bin(F.col("rate")).alias("b")),
+    )).alias("x"))
+    counts = apart.groupBy(*KEYS, "middle", "x").agg(F.count("*").alias("n"))
+    bins = counts.groupBy(*KEYS, "middle").agg(F.collect_list(F.struct("x.kind", "x.b", "n")).alias("bins"))
+    limits = cut(rows_mapped(bins, interface_limits(alpha, factor), LIMITS), "limits")
+    near = rates.join(facts_by_chunk(chunks.select(*KEYS, "chunk").join(limits.where("ends is not null").select(*KEYS, "ends"), KEYS)), [*KEYS, "chunk"])
+    medians = bracketed_medians(near.where("rate > 0"), KEYS, "rate", "ends")
     facts = (
-        chunks.select(*KEYS, "chunk")
-        .join(base, [*KEYS, "chunk"], "left")
-        .join(limits, KEYS, "left")
+        base.join(limits.drop("ends"), KEYS, "left")
         .join(medians, KEYS, "left")
         .join(interface_speed(ifc), KEYS, "left")
         .join(stuck_runs(steps, run, repeat_share), [*KEYS, "chunk"], "left")
     )
-    z = lambda deviation, mad, limit: F.coalesce((score(deviation, F.col(mad)) > 2.5) & (step(score(deviation, F.col(mad))) >= F.col(limit)), F.lit(False))
-    outlier = z(F.col("rate") - expected, "mad_rest", "limit_rest")
-    off_level = z(level, "mad_level", "limit_level")
     false = F.lit(False)
-    return steps.join(facts, [*KEYS, "chunk"]).withColumn("outlier", outlier).withColumn("off_level", off_level).select(
+    outlier = size_bin(F.abs(F.col("rate") - expected)) >= F.col("rest_from")
+    off_level = F.coalesce(size_bin(F.col("rate")) >= F.col("high_from"), false) | F.coalesce(size_bin(F.col("rate")) <= F.col("low_to"), false)
+    checked = steps.join(facts_by_chunk(facts), [*KEYS, "chunk"], "left")
+    return checked.withColumn("outlier", F.coalesce(outlier, false)).withColumn("off_level", off_level).select(
         *KEYS, "us", "in_oct", "rate", "speed", "median", expected.alias("expected"), (F.col("rate") - expected).alias("residual"),
         "contradicted",
         F.coalesce(F.col("rate") > F.col("speed"), false).alias("over_speed"), "outlier", "off_level",

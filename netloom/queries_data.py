@@ -102,6 +102,35 @@ SQL = {
         UNION SELECT exporter, ifindex, us FROM rates JOIN speeds USING (exporter, ifindex) WHERE rate > speed
         UNION SELECT exporter, ifindex, us FROM rates JOIN medians USING (exporter, ifindex) WHERE rate >= 15 * median
         UNION SELECT exporter, ifindex, us FROM sized WHERE again AND size >= 6 AND lively""",
+    "p5_outliers": f"""WITH {_READINGS},
+        hourly AS (SELECT exporter, ifindex, us // 3600000000 AS slot, quantile_disc(rate, 0.5) AS t FROM rates WHERE rate IS NOT NULL GROUP BY 1, 2, 3),
+        mid AS (SELECT exporter, ifindex, quantile_disc(t, 0.5) AS middle FROM hourly GROUP BY 1, 2),
+        sea AS (SELECT exporter, ifindex, slot % 24 AS hour, quantile_disc(t, 0.5) AS season FROM hourly GROUP BY 1, 2, 3),
+        tre AS (SELECT exporter, ifindex, slot // 24 AS day, quantile_disc(t - (season - middle), 0.5) AS trend
+          FROM (SELECT *, slot % 24 AS hour FROM hourly) JOIN mid USING (exporter, ifindex) JOIN sea USING (exporter, ifindex, hour) GROUP BY 1, 2, 3),
+        res AS (SELECT exporter, ifindex, us, rate, trend + season - middle AS expected, rate - (trend + season - middle) AS residual
+          FROM (SELECT *, us // 3600000000 % 24 AS hour, us // 86400000000 AS day FROM rates WHERE rate IS NOT NULL) JOIN mid USING (exporter, ifindex) JOIN sea USING (exporter, ifindex, hour) JOIN tre USING (exporter, ifindex, day)),
+        binned AS (SELECT *, CASE WHEN residual = 0 THEN -1000000 ELSE floor(ln(abs(residual)) / 0.05::DOUBLE) END AS b FROM res),
+        cum AS (SELECT exporter, ifindex, b, CASE WHEN b = -1000000 THEN 0 ELSE exp((b + 0.5) * 0.05::DOUBLE) END AS size,
+          sum(count(*)) OVER (PARTITION BY exporter, ifindex ORDER BY b) AS l, sum(count(*)) OVER (PARTITION BY exporter, ifindex) AS n FROM binned GROUP BY 1, 2, 3),
+        scaled AS (SELECT c.exporter, c.ifindex, c.b, c.size, c.n::DOUBLE AS n, (c.n - c.l + 1)::DOUBLE AS i, 1.4826::DOUBLE * min(m.size) AS scale
+          FROM cum c JOIN cum m ON c.exporter = m.exporter AND c.ifindex = m.ifindex AND m.l >= (c.l + 1) // 2 GROUP BY ALL),
+        quant AS (SELECT *, n - i - 1 AS df, sqrt(-2 * ln(0.05::DOUBLE / (2 * (n - i + 1)))) AS u FROM scaled WHERE n - i >= 2 AND 2 * i <= n AND size > 0),
+        normal AS (SELECT *, u - (2.515517::DOUBLE + 0.802853::DOUBLE * u + 0.010328::DOUBLE * u * u) / (1 + 1.432788::DOUBLE * u + 0.189269::DOUBLE * u * u + 0.001308::DOUBLE * u * u * u) AS z FROM quant),
+        student AS (SELECT *, z + (z ** 3 + z) / (4 * df) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * df ** 2) AS t FROM normal),
+        beyond AS (SELECT exporter, ifindex, min(b) AS rest_from FROM student WHERE scale = 0 OR size / scale > (n - i) * t / sqrt((df + t * t) * (n - i + 1)) GROUP BY 1, 2)
+        SELECT exporter, ifindex, us AS ts_us, rate, expected, residual FROM binned JOIN beyond USING (exporter, ifindex) WHERE b >= rest_from""",
+    "p1_grid": f"""WITH {_READINGS},
+        pairs AS (SELECT exporter, ifindex, us, prev_us, CASE WHEN in_oct >= prev_oct AND us - prev_us < 3600000000 THEN in_oct - prev_oct END AS rise FROM steps WHERE prev_us IS NOT NULL),
+        cells AS (SELECT *, unnest(range(prev_us // 300000000, us // 300000000 + 1)) AS slot FROM pairs),
+        cut AS (SELECT *, greatest(prev_us, slot * 300000000) AS a, least(us, (slot + 1) * 300000000) AS z FROM cells),
+        shares AS (SELECT exporter, ifindex, slot, CASE WHEN rise IS NOT NULL THEN z - a ELSE 0 END AS covered,
+          CAST(round(rise * ((z - prev_us)::DOUBLE / (us - prev_us))) AS BIGINT) - CAST(round(rise * ((a - prev_us)::DOUBLE / (us - prev_us))) AS BIGINT) AS octets FROM cut),
+        known AS (SELECT exporter, ifindex, slot, sum(octets) AS octets, sum(covered) AS covered_us FROM shares GROUP BY 1, 2, 3),
+        seen AS (SELECT exporter, ifindex, us // 300000000 AS slot, count(*) AS readings FROM readings GROUP BY 1, 2, 3)
+        SELECT exporter, ifindex, slot * 300 AS slot_s, coalesce(readings, 0) AS readings, CASE WHEN covered_us > 0 THEN CAST(octets AS BIGINT) END AS octets, CAST(coalesce(covered_us, 0) AS BIGINT) AS covered_us,
+          CASE WHEN coalesce(covered_us, 0) = 0 THEN 'missing' WHEN covered_us < 300000000 THEN 'partial' WHEN readings > 0 THEN 'measured' ELSE 'filled' END AS state
+        FROM known FULL JOIN seen USING (exporter, ifindex, slot)""",
     "p6_found": f"""WITH {_HOSTS},
         bounds AS (SELECT min(epoch_us(ts)) // 86400000000 AS f, max(epoch_us(ts)) // 86400000000 AS l FROM r_host),
         per AS (SELECT ip, epoch_us(ts) // 86400000000 AS day, sum(bytes) AS bytes FROM hosts WHERE internal AND ts IS NOT NULL AND ip IS NOT NULL AND ip <> '' GROUP BY 1, 2),
