@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from netloom.core.columns import address
 from netloom.core.shared import cut
 from netloom.functions import net
 from netloom.operators import ranges
@@ -42,6 +43,12 @@ def plausible(now: datetime) -> Column:
     )
 
 
+def refused(records: DataFrame, now: datetime) -> DataFrame:
+    """exporter, n: records of each that flow_rows leaves out as implausible."""
+    clean = records.withColumns({c: address(F.col(c)) for c in ("src", "dst", "exporter")})
+    return clean.where(~F.coalesce(plausible(now), F.lit(False))).groupBy("exporter").agg(F.count("*").alias("n"))
+
+
 def normalised(records: DataFrame, overhead: int = OVERHEAD) -> DataFrame:
     """Adds l3, wire and pkts, scaled by the sampling rate, whichever layer's bytes were counted.
 
@@ -167,10 +174,10 @@ def enriched(records: DataFrame, nets: DataFrame | None = None, asns: DataFrame
 def flow_rows(records: DataFrame, now: datetime, nets: DataFrame | None = None, asns: DataFrame | None = None, threats: DataFrame | None = None, overhead: int = OVERHEAD, dedup: bool = True) -> DataFrame:
     """The flow table's rows, with obs_if and arrival_seq beside its 34 columns.
 
-    Addresses are taken in their plain form; implausible records are left out.  dedup=False leaves dup to a later stage.
+    Addresses are taken in their plain form; implausible records are left out (refused() counts them); times are corrected
+    by the arrival, where records have one.  dedup=False leaves dup to a later stage.
     """
-    from netloom.core.columns import address
-
+    records = corrected_times(records) if "arrived" in records.columns else records
     clean = records.withColumns({c: address(F.col(c)) for c in ("src", "dst", "exporter")}).where(F.coalesce(plausible(now), F.lit(False)))
     clean = clean.withColumn("encap", net.encap_from_tuple())
     rich = normalised(enriched(clean, nets, asns, threats), overhead).withColumnRenamed("pkts", "_pkts").withColumnRenamed("wire", "_wire")

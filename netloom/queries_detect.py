@@ -95,4 +95,10 @@ register("findings_merged", _merged, f"""{_W}, g AS (SELECT win, client, server,
     o AS (SELECT *, max(l) OVER (PARTITION BY client, server, threat ORDER BY win ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM g),
     i AS (SELECT *, sum(CASE WHEN p IS NULL OR p < f - 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY client, server, threat ORDER BY win) AS k FROM o)
     SELECT 'threat' AS kind, client AS src, server AS dst, threat AS port, max(CASE dir WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END) AS sev, min(f) AS first_s, max(l) AS last_s, count(*) AS hits, CAST(max(up) AS BIGINT) AS up FROM i GROUP BY client, server, threat, k""")
-register("findings_run", lambda t: findings.merge(None, findings.run(t.rows(), RUN.start, RUN.end, LOW, r_host=t.r_host)), summaries=True)
+_EVERY = " UNION ALL ".join(f"SELECT win, kind, sev, src, dst, port, first_s, last_s FROM ({_SQLS[f'detect_{k}']})" for k in ("scan", "portscan", "brute", "threat", "fastscan", "beacon", "llm", "flood", "lateral", "exfil", "chain"))
+register(
+    "findings_run", lambda t: findings.merge(None, findings.run(t.rows(), RUN.start, RUN.end, LOW, r_host=t.r_host)).select("kind", "src", "dst", "port", "sev", F.unix_seconds("first").alias("first_s"), F.unix_seconds("last").alias("last_s"), "hits"),
+    f"""WITH every AS ({_EVERY}), o AS (SELECT *, max(last_s) OVER (PARTITION BY kind, src, dst, port ORDER BY win, first_s, last_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM every),
+    i AS (SELECT *, sum(CASE WHEN p IS NULL OR p < first_s - {findings.GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY kind, src, dst, port ORDER BY win, first_s, last_s ROWS UNBOUNDED PRECEDING) AS k FROM o)
+    SELECT kind, src, dst, port, max(sev) AS sev, min(first_s) AS first_s, max(last_s) AS last_s, count(*) AS hits FROM i GROUP BY kind, src, dst, port, k""", summaries=True,
+)

@@ -290,8 +290,26 @@ register(
         SELECT exporter, ifindex, coalesce(speed, 0) AS speed, coalesce(counters, false) AS counters, coalesce(in_wire, 0) AS in_wire, coalesce(out_wire, 0) AS out_wire
         FROM k FULL JOIN i USING (exporter, ifindex) FULL JOIN o USING (exporter, ifindex)""",
 )
-register("interface_peers", lambda t: interfaces.interfaces(_shifted(t), POLLED))
-register("report_interfaces", lambda t: interfaces.report_interfaces(_shifted(t), POLLED))
+_PEERED = f"""{SQL['interfaces'].replace('SELECT exporter, ifindex, coalesce(speed, 0)', ', listed AS (SELECT exporter, ifindex, coalesce(speed, 0)')}), whole AS (SELECT exporter, sum(wire) AS w FROM flows WHERE {_span(POLLED)} GROUP BY 1),
+    near AS (SELECT l.*, coalesce(w, 0) > 0 AND in_wire + out_wire >= 0.9 * w AND in_wire + out_wire > 0 AS nearly FROM listed l LEFT JOIN whole USING (exporter)),
+    peered AS (SELECT exporter, ifindex, speed, counters, in_wire, out_wire, in_wire + out_wire > 0 AND bool_or(nearly) OVER (PARTITION BY exporter) AND NOT nearly AS peer FROM near)"""
+register("interface_peers", lambda t: interfaces.interfaces(_shifted(t), POLLED), f"{_PEERED} SELECT * FROM peered")
+_BUCKETS = _N - 1  # the range ends with a bucket
+_RANK = -(-95 * _BUCKETS // 100)
+_FIGURES = ("in_avg", "in_peak", "in95", "out_avg", "out_peak", "out95")
+_SIDE = f"""SELECT exporter, {{0}}_if AS ifindex, epoch_us(ts) // 1000000 // {POLLED_STEP} AS b, sum(wire) AS w FROM flows WHERE {{0}}_if <> 0 AND {_span(POLLED)} GROUP BY 1, 2, 3"""
+_FLOW_SIDE = f"""{{0}}f AS (SELECT exporter, ifindex, sum(w) * 8.0::DOUBLE / {int(POLLED.span.total_seconds())} AS {{0}}_avg, max(v) AS {{0}}_peak, coalesce(max(v) FILTER (rn + {_BUCKETS} - n = {_RANK}), 0) AS {{0}}95 FROM (
+    SELECT *, w * 8.0::DOUBLE / {POLLED_STEP} AS v, row_number() OVER (PARTITION BY exporter, ifindex ORDER BY w) AS rn, count(*) OVER (PARTITION BY exporter, ifindex) AS n FROM ({_SIDE})) GROUP BY 1, 2)"""
+register(
+    "report_interfaces", lambda t: interfaces.report_interfaces(_shifted(t), POLLED).select("exporter", "ifindex", "speed", "in_wire", "out_wire", "peer", "source", *[F.round(c, 2).alias(c) for c in _FIGURES], F.round("coverage", 6).alias("coverage"), F.round("util95", 4).alias("util95")),
+    f"""{_PEERED}, {_RECON.removeprefix(f'WITH {_BACK}, ').replace('fi AS', 'fi2 AS').replace('fo AS', 'fo2 AS').replace('fi.', 'fi2.').replace('fo.', 'fo2.').replace('JOIN fi ', 'JOIN fi2 ').replace('JOIN fo ', 'JOIN fo2 ')}, {_FLOW_SIDE.format('in')}, {_FLOW_SIDE.format('out')},
+        v AS (SELECT *, in_ctr * 8 / {_RECON_STEP} AS i, out_ctr * 8 / {_RECON_STEP} AS o FROM r WHERE covered AND bucket + {_RECON_STEP} <= {_W1 // 10**6}),
+        cf AS (SELECT exporter, ifindex, avg(i) AS in_avg, max(i) AS in_peak, percentile_disc(0.95) WITHIN GROUP (ORDER BY i) AS in95, avg(o) AS out_avg, max(o) AS out_peak, percentile_disc(0.95) WITHIN GROUP (ORDER BY o) AS out95, count(*)::DOUBLE / {_N} AS coverage FROM v GROUP BY 1, 2),
+        a AS (SELECT p.exporter, p.ifindex, speed, in_wire, out_wire, peer, CASE WHEN coverage IS NULL THEN 'flows' ELSE 'counters' END AS source, coalesce(coverage, 0) AS coverage,
+          {', '.join(f"CASE WHEN coverage IS NULL THEN coalesce({'inf' if c.startswith('in') else 'outf'}.{c}, 0) ELSE cf.{c} END AS {c}" for c in _FIGURES)}
+          FROM peered p LEFT JOIN cf USING (exporter, ifindex) LEFT JOIN inf USING (exporter, ifindex) LEFT JOIN outf USING (exporter, ifindex))
+        SELECT exporter, ifindex, speed, in_wire, out_wire, peer, source, {', '.join(f'round({c}, 2) AS {c}' for c in _FIGURES)}, round(coverage, 6) AS coverage, round(CASE WHEN speed > 0 THEN greatest(in95, out95) / speed * 100 ELSE 0 END, 4) AS util95 FROM a""",
+)
 
 # -- overview and report
 

@@ -111,9 +111,20 @@ register("dedup", _dedup, f"""WITH {_REC}, k AS (SELECT *, s_us // 3600000000 AS
 register("promote_dup", lambda s, d: store.promoted(clean_flows(s.read.parquet(f"{d}/hot.parquet")).where("exporter <> '10.66.0.1'")).groupBy("exporter").agg(F.count("*").alias("rows"), F.sum(F.col("dup").cast("long")).alias("dups")), """WITH f AS (SELECT * REPLACE (coalesce(dup, false) AS dup) FROM (SELECT *, row_number() OVER (PARTITION BY arrival_seq ORDER BY arrived) AS rn FROM hot) WHERE rn = 1 AND ts IS NOT NULL AND exporter <> '10.66.0.1'),
     g AS (SELECT exporter, dup, bool_or(NOT dup) OVER (PARTITION BY ts, src, dst, sport, dport, proto) AS has, row_number() OVER (PARTITION BY ts, src, dst, sport, dport, proto ORDER BY exporter, in_if, out_if, wire, pkts) AS n FROM f)
     SELECT exporter, count(*) AS rows, CAST(sum((dup AND (has OR n > 1))::INT) AS BIGINT) AS dups FROM g GROUP BY 1""")
-register("ingest_rows", lambda s, d: ingest.flow_rows(records(s, d), NOW, ranges.networks(s, _NETS, "name string"), _asns(s, d)))
-register("ingest_observed", lambda s, d: rollups.observed(ingest.flow_rows(records(s, d), NOW)))
-register("ingest_settle", lambda s, d: ingest.settle_seconds(records(s, d).withColumn("arrived", F.col("end"))))
+_SHARES = "CAST(round(l3 * upto) - round(l3 * before) AS BIGINT) AS bytes, CAST(round(wire * upto) - round(wire * before) AS BIGINT) AS wire, CAST(round(p * upto) - round(p * before) AS BIGINT) AS pkts, CASE WHEN m = m1 THEN 1 ELSE 0 END AS flows"
+_POINT = "{'e': exporter, 'o': observation, 'i': in_if, 'x': out_if, 'd': direction}"
+register(
+    "ingest_rows", lambda s, d: ingest.flow_rows(records(s, d), NOW, ranges.networks(s, _NETS, "name string"), _asns(s, d)).select("arrival_seq", F.unix_seconds("ts").alias("ts_s"), "src", "dst", "client", "server", "svc_port", "app", "bytes", "wire", "pkts", "flows", "exporter", "dup"),
+    f"""WITH {_REC}, {_NORMAL}, {_SLICES}, c AS (SELECT *, {_CLIENT} AS c FROM part), v AS (SELECT *, CASE WHEN proto IN (6, 17, 132) THEN CASE WHEN c THEN dst_port ELSE src_port END ELSE 0 END AS svc FROM c)
+    SELECT arrival_seq, m // 1000000 AS ts_s, src, dst, CASE WHEN c THEN src ELSE dst END AS client, CASE WHEN c THEN dst ELSE src END AS server, svc AS svc_port, {_APP} AS app, {_SHARES}, exporter,
+      first_value({_POINT}) OVER (PARTITION BY m, src, dst, src_port, dst_port, proto ORDER BY arrival_seq) <> {_POINT} AS dup FROM v""",
+)
+_OBSERVED = "CASE WHEN observation <> 0 THEN observation WHEN direction = 0 THEN in_if WHEN direction = 1 THEN out_if ELSE 0 END"
+register("ingest_observed", lambda s, d: queries_flow._epoch(rollups.observed(ingest.flow_rows(records(s, d), NOW))), f"""WITH {_REC}, {_NORMAL}, {_SLICES}, o AS (SELECT m, exporter, {_OBSERVED} AS o, {_SHARES} FROM part)
+    SELECT m // 3600000000 * 3600 AS ts_s, CASE WHEN o <> 0 THEN 'obsif' ELSE 'obsunk' END AS dim, CASE WHEN o <> 0 THEN concat(exporter, '/', o) ELSE exporter END AS val, {queries_flow._SUMS} FROM o GROUP BY 1, 2, 3""")
+_DELAY = "CASE " + " ".join(f"WHEN e_us - s_us <= {x} * 1000000 THEN {x}" for x in ingest.DELAYS) + " ELSE 999 END"
+register("ingest_settle", lambda s, d: ingest.settle_seconds(records(s, d).withColumn("arrived", F.col("end"))), f"""WITH {_REC}, h AS (SELECT {_DELAY} AS d, sum(greatest(bytes * greatest(mult, 1), 1)) AS w FROM rec GROUP BY 1),
+    c AS (SELECT d, sum(w) OVER (ORDER BY d) AS upto, sum(w) OVER () AS every FROM h) SELECT CAST(coalesce(min(d) FILTER (upto >= {ingest.ARRIVED} * every AND d < 999), {ingest.MOST_SETTLE}) + 1 AS INT) AS seconds FROM c""")
 
 
 # -- the store: flow rows and summaries appended, hours sealed, a device's rows deleted, summaries rebuilt

@@ -113,6 +113,12 @@ def headers(data: bytes, link: int) -> tuple[bool, dict | None]:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Packets of capture files, each file read by one task. A damaged file gives the packets before the damage; packets
     without an IP header are left out."""
+    return packets_in(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def packets_in(files: DataFrame) -> DataFrame:
+    """read() of files (path, content) that are rows already."""
+
     def each(r: dict) -> Iterator[dict]:
         try:
             for k, (us, size, data, link) in enumerate(packets(r["content"])):
@@ -122,7 +128,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         except ValueError:
             return
 
-    return rows_mapped(spark.read.format("binaryFile").load(path).select("path", "content"), each, PACKETS)
+    return rows_mapped(files.select("path", "content"), each, PACKETS)
 
 
 KEY = ["path", "src", "dst", "src_port", "dst_port", "proto", "vlan", "encap", "l2", "l2_hdr"]

@@ -235,6 +235,16 @@ RECORD = (
     "start_ms long, end_ms long, src string, dst string, src_port int, dst_port int, proto short, tcp_flags short, tos short, bytes long, packets long, in_if long, out_if long, vlan int, encap short, direction short, "
     "src_as long, dst_as long, domain long, rate long, source short, seq long, sampler long, running boolean, known_start boolean, exporter string, arrived timestamp, arrival_seq long, error string"
 )
+#: Numbers that the records of a datagram take: two for each of its bytes at most, as a record has one at least and its reverse
+#: counts as another.
+NUMBERS = 1 << 17
+
+
+def numbered(arrival_seq: Column, place: Column) -> Column:
+    """The number of a record in order of arrival, from its datagram's (below 2**46) and its place there (below NUMBERS)."""
+    return arrival_seq * NUMBERS + place
+
+
 SETS = "exporter string, domain long, version int, uptime long, secs long, seq long, sid int, body binary, arrived timestamp, arrival_seq long, place int, error string"
 
 
@@ -246,13 +256,13 @@ def records5(datagrams: DataFrame) -> DataFrame:
             got = decode5(r["payload"])
         except Exception as e:  # a hostile datagram must not reach further than its row
             got = [{"error": str(e)[:200]}]
-        return [g | {k: r[k] for k in ("exporter", "arrived", "arrival_seq")} for g in got]
+        return [g | {k: r[k] for k in ("exporter", "arrived", "arrival_seq")} | {"nth": i} for i, g in enumerate(got)]
 
-    return rows_mapped(datagrams.select("payload", "exporter", "arrived", "arrival_seq"), each, RECORD)
+    return rows_mapped(datagrams.select("payload", "exporter", "arrived", "arrival_seq"), each, RECORD + ", nth int")
 
 
 def message_sets(datagrams: DataFrame) -> DataFrame:
-    """Sets of version 9 and IPFIX datagrams, in the order they came: arrival_seq, place."""
+    """Sets of version 9 and IPFIX datagrams, in the order they came: arrival_seq, place (the byte a set begins at)."""
 
     def each(r: dict) -> list[dict]:
         base = {k: r[k] for k in ("exporter", "arrived", "arrival_seq")}
@@ -260,7 +270,12 @@ def message_sets(datagrams: DataFrame) -> DataFrame:
             head, sets = sets_of(r["payload"])
         except Exception as e:
             return [base | {"error": str(e)[:200]}]
-        return [base | head | {"sid": sid, "body": body, "place": k} for k, (sid, body) in enumerate(sets)]
+        at = {9: 20, 10: 16}[head["version"]]
+        out = []
+        for sid, body in sets:
+            out.append(base | head | {"sid": sid, "body": body, "place": at})
+            at += 4 + len(body)
+        return out
 
     return rows_mapped(datagrams.select("payload", "exporter", "arrived", "arrival_seq"), each, SETS)
 
@@ -309,9 +324,9 @@ def decoded_sets(sets: DataFrame) -> DataFrame:
         try:
             for k, v in enumerate(values_of(t, r["body"])):
                 if t.options:
-                    out.append(base | {"nth": k, "domain": r["domain"], "rate": rate_of(v), "sampler": v.get("sampler", -1), "scope_if": v.get("scope_if", -1), "init_ms": v.get("init_ms", 0)})
+                    out.append(base | {"nth": 2 * k, "domain": r["domain"], "rate": rate_of(v), "sampler": v.get("sampler", -1), "scope_if": v.get("scope_if", -1), "init_ms": v.get("init_ms", 0)})
                 else:
-                    out += [base | {"nth": k, "scope_if": -1, "init_ms": 0} | x for x in records_of(v, head)]
+                    out += [base | {"nth": 2 * k + j, "scope_if": -1, "init_ms": 0} | x for j, x in enumerate(records_of(v, head))]
         except Exception as e:
             out.append(base | {"error": str(e)[:200]})
         return out
@@ -383,6 +398,8 @@ def running_deltas(rows: DataFrame) -> DataFrame:
 
 #: Seconds of a window of losses, and the bounds of what they may raise the counts by.
 LOSS_S, LEAST_RAISE, MOST_RAISE = 60, 1.005, 2.0
+#: Records that a window must hold to be believed, and the largest gap that is taken for a loss.
+ENOUGH, MOST_GAP = 100, 1 << 20
 
 
 def losses(sets: DataFrame, counted: DataFrame) -> DataFrame:
@@ -396,42 +413,48 @@ def losses(sets: DataFrame, counted: DataFrame) -> DataFrame:
     w = Window.partitionBy("exporter", "domain", "win").orderBy("seq")
     unit = F.when(F.col("version") == 9, F.lit(1)).otherwise(F.col("n"))
     gaps = m.withColumn("gap", F.lead("seq").over(w) - F.col("seq") - unit)
-    per = gaps.groupBy("exporter", "domain", "version", "win").agg(F.sum("n").alias("recv"), F.count("*").alias("messages"), F.coalesce(F.sum(F.when(F.col("gap").between(1, 1 << 20), F.col("gap"))), F.lit(0)).alias("lost"))
+    per = gaps.groupBy("exporter", "domain", "version", "win").agg(F.sum("n").alias("recv"), F.count("*").alias("messages"), F.coalesce(F.sum(F.when(F.col("gap").between(1, MOST_GAP), F.col("gap"))), F.lit(0)).alias("lost"))
     lost = F.when(F.col("version") == 9, F.col("lost") * F.col("recv") / F.col("messages")).otherwise(F.col("lost"))
     up = F.least((F.col("recv") + lost) / F.col("recv"), F.lit(MOST_RAISE))
-    return per.select("exporter", "domain", "win", F.when((F.col("recv") >= 100) & (up >= LEAST_RAISE), up).otherwise(1.0).alias("raise"))
+    return per.select("exporter", "domain", "win", F.when((F.col("recv") >= ENOUGH) & (up >= LEAST_RAISE), up).otherwise(1.0).alias("raise"))
 
 
 def records(datagrams: DataFrame, manual: dict[str, int] | None = None) -> DataFrame:
     """Records (see operators.ingest.RECORD) of version 5, 9 and IPFIX datagrams (payload, exporter, arrived, arrival_seq)."""
     kind = F.conv(F.hex(F.substring("payload", 1, 2)), 16, 10).cast("int")
-    five = records5(datagrams.where(kind == 5)).where("error is null").select("*", F.lit(0).alias("place"), F.lit(0).alias("nth"), F.lit(False).alias("option"), F.lit(-1).cast("long").alias("scope_if"), F.lit(0).cast("long").alias("init_ms"))
+    five = records5(datagrams.where(kind == 5)).where("error is null").select("*", F.lit(0).alias("place"), F.lit(False).alias("option"), F.lit(-1).cast("long").alias("scope_if"), F.lit(0).cast("long").alias("init_ms"))
     sets = cut(message_sets(datagrams.where(kind.isin(9, 10))), "sets")
     decoded = cut(decoded_sets(sets), "values")
-    counted = decoded.groupBy("exporter", "domain", "arrival_seq").agg(F.count_distinct("place", "nth").alias("n"))
+    counted = decoded.groupBy("exporter", "domain", "arrival_seq").agg(F.count_distinct("place", F.expr("nth div 2")).alias("n"))
     rows = running_deltas(with_rates(decoded.unionByName(five.select(*decoded.columns)), manual).withColumn("place", F.col("place")))
     rows = rows.withColumn("win", F.floor(F.unix_seconds("arrived") / LOSS_S)).join(losses(sets, counted), ["exporter", "domain", "win"], "left")
     mult = F.col("mult") * F.coalesce("raise", F.lit(1.0))
     return rows.select(
         F.timestamp_millis("start_ms").alias("start"), F.timestamp_millis("end_ms").alias("end"), "src", "dst", "src_port", "dst_port", "proto", "tcp_flags", "tos", "bytes", "packets", F.lit(False).alias("l2"), F.lit(0).cast("short").alias("l2_hdr"),
         "sampling", mult.alias("mult"), "sampling_known", "in_if", "out_if", "vlan", "encap", "direction", F.lit(0).cast("short").alias("opener"), "src_as", "dst_as", "exporter", "domain", F.lit(0).cast("long").alias("observation"), "source",
-        (F.col("arrival_seq") * 10_000 + F.col("place") * 1_000 + F.col("nth") % 1_000).alias("arrival_seq"), "arrived",
+        numbered(F.col("arrival_seq"), 2 * F.col("place") + F.col("nth")).alias("arrival_seq"), "arrived",
     )
 
 
 # -- one exporter at a time, for streams
 @dataclass
 class Session:
-    """What a stream keeps of one exporter: templates, rates, sets and records that wait, totals, by domain."""
+    """What a stream keeps of one exporter: templates, rates, sets and records that wait, totals, sequence, by domain.
+
+    Nothing is dropped for lack of room: what waits leaves after HOLD_S seconds of the exporter's own time, records as not
+    sampled and sets that no template came for as rows with an error, so that they can be counted.  Totals are forgotten
+    when a flow hasn't been heard of for TOTALS_S seconds; such a flow's next report counts whole.
+    """
 
     templates: dict = field(default_factory=dict)  # (version, domain, id) -> spec
     rates: dict = field(default_factory=dict)  # (domain, kind, number) -> rate
-    sets: list = field(default_factory=list)  # waiting: (arrived, version, domain, id, head, body)
+    sets: dict = field(default_factory=dict)  # (version, domain, id) -> waiting: (arrived, head, body)
     waiting: list = field(default_factory=list)  # records without a rate
-    totals: dict = field(default_factory=dict)  # flow -> (arrived, bytes, packets)
+    totals: dict = field(default_factory=dict)  # flow -> (arrived, bytes, packets), by the last time it was heard of
     clocks: dict = field(default_factory=dict)  # domain -> milliseconds of the device's start
+    order: dict = field(default_factory=dict)  # domain -> Losses
 
-    MOST_SETS, MOST_WAITING, MOST_TOTALS = 4_000, 200_000, 131_072
+    TOTALS_S = 3_600
 
     def take(self, raw: bytes, exporter: str, arrived: float) -> list[dict]:
         """Records that can be given out after this datagram."""
@@ -440,14 +463,19 @@ class Session:
         else:
             head, sets = sets_of(raw)
             head["init_ms"] = self.clocks.get(head["domain"], 0)
-            got = []
+            got, n = [], 0
             for sid, body in sets:
-                got += self._set(sid, body, head, arrived)
+                found, count = self._set(sid, body, head, arrived)
+                got, n = got + found, None if n is None or count is None else n + count
+            self.order.setdefault(head["domain"], Losses()).take(head["version"], head["seq"], n, arrived)
+        while self.totals and arrived - next(iter(self.totals.values()))[0] >= self.TOTALS_S:
+            self.totals.pop(next(iter(self.totals)))
         for r in got:
             r.update(exporter=exporter, arrived=arrived)
         return self._rated([x for x in map(self._grown, got) if x], arrived)
 
-    def _set(self, sid: int, body: bytes, head: dict, arrived: float) -> list[dict]:
+    def _set(self, sid: int, body: bytes, head: dict, arrived: float) -> tuple[list[dict], int]:
+        """Records, and how many data records the set itself holds (None if that can't be told)."""
         v, d = head["version"], head["domain"]
         own = {9: (0, 1), 10: (2, 3)}[v]
         if sid in own:
@@ -457,39 +485,35 @@ class Session:
                     self.templates.pop((v, d, tid), None)
                     continue
                 self.templates[v, d, tid] = t.spec()
-                held = [s for s in self.sets if s[1:4] == (v, d, tid)]
-                self.sets = [s for s in self.sets if s[1:4] != (v, d, tid)]
-                for _, _, _, _, h, b in held:
-                    out += self._data(t, b, h)
-            return out
+                for _, h, b in self.sets.pop((v, d, tid), []):
+                    out += self._data(t, b, h)[0]
+            return out, 0
         if sid < 256:
-            return []
+            return [], 0
         if (v, d, sid) not in self.templates:
-            if len(self.sets) < self.MOST_SETS:
-                self.sets.append((arrived, v, d, sid, head, body))
-            return []
+            self.sets.setdefault((v, d, sid), []).append((arrived, head, body))
+            return [], None
         return self._data(Template.of(self.templates[v, d, sid]), body, head)
 
-    def _data(self, t: Template, body: bytes, head: dict) -> list[dict]:
-        out, d = [], head["domain"]
+    def _data(self, t: Template, body: bytes, head: dict) -> tuple[list[dict], int]:
+        out, d, n = [], head["domain"], 0
         for v in values_of(t, body):
+            n += 1
             if not t.options:
                 out += records_of(v, head)
                 continue
             if v.get("init_ms"):
                 self.clocks[d] = v["init_ms"]
             if rate := rate_of(v):
-                kind, n = ("sampler", v["sampler"]) if "sampler" in v else ("if", v["scope_if"]) if "scope_if" in v else ("all", 0)
-                self.rates[d, kind, n] = rate
-        return out
+                kind, number = ("sampler", v["sampler"]) if "sampler" in v else ("if", v["scope_if"]) if "scope_if" in v else ("all", 0)
+                self.rates[d, kind, number] = rate
+        return out, n
 
     def _grown(self, r: dict) -> dict | None:
         if not r["running"]:
             return r
         key = (r["domain"], r["src"], r["dst"], r["src_port"], r["dst_port"], r["proto"], r["in_if"], r["out_if"], r["start_ms"] if r["known_start"] else None)
         _, b, p = self.totals.pop(key, (0, None, None))
-        if len(self.totals) >= self.MOST_TOTALS:
-            self.totals.pop(next(iter(self.totals)))  # the one not heard of for longest
         self.totals[key] = (r["arrived"], r["bytes"], r["packets"])
         if b is not None and r["bytes"] >= b and r["packets"] >= p:
             r = r | {"bytes": r["bytes"] - b, "packets": r["packets"] - p}
@@ -504,19 +528,52 @@ class Session:
         return next((x for x in say if x), 0)
 
     def _rated(self, new: list[dict], arrived: float) -> list[dict]:
+        """Records with a rate, raised by what is being lost; those without one when they have waited long enough."""
         out, wait = [], []
         for r in [*self.waiting, *new]:
             rate = self.rate(r)
+            raised = self.order[r["domain"]].factor if r["source"] != NF5 and r["domain"] in self.order else 1.0
             if rate:
-                out.append(r | {"sampling": rate, "mult": float(rate), "sampling_known": True})
+                out.append(r | {"sampling": rate, "mult": rate * raised, "sampling_known": True})
             elif arrived - r["arrived"] >= HOLD_S or r["source"] == NF5:
-                out.append(r | {"sampling": 1, "mult": 1.0, "sampling_known": False})
+                out.append(r | {"sampling": 1, "mult": raised, "sampling_known": False})
             else:
                 wait.append(r)
-        over = len(wait) - self.MOST_WAITING
-        if over > 0:  # the oldest leave as they are rather than vanish
-            out += [r | {"sampling": 1, "mult": 1.0, "sampling_known": False} for r in wait[:over]]
-            wait = wait[over:]
         self.waiting = wait
-        self.sets = [s for s in self.sets if arrived - s[0] < HOLD_S]
+        for key, held in list(self.sets.items()):
+            gone = [s for s in held if arrived - s[0] >= HOLD_S]
+            out += [{"arrived": at, "domain": key[1], "error": f"no template {key[2]} came"} for at, _, _ in gone]
+            if len(gone) == len(held):
+                del self.sets[key]
+            elif gone:
+                self.sets[key] = held[len(gone) :]
         return out
+
+
+@dataclass
+class Losses:
+    """What the sequence numbers of a domain show as lost, by windows of LOSS_S seconds; a window's share raises the counts of
+    the next one, as its own isn't known yet."""
+
+    window: int | None = None
+    due: int | None = None  # the sequence number expected next
+    received: int = 0
+    messages: int = 0
+    lost: int = 0
+    factor: float = 1.0
+
+    def take(self, version: int, seq: int, n: int | None, arrived: float) -> None:
+        """n: data records of the message, None if it holds some that can't be read yet."""
+        now = int(arrived // LOSS_S)
+        if self.window is not None and now != self.window:
+            lost = self.lost * self.received / self.messages if version == 9 and self.messages else self.lost
+            up = min((self.received + lost) / self.received, MOST_RAISE) if self.received >= ENOUGH else 1.0
+            self.factor = up if up >= LEAST_RAISE else 1.0
+            self.received = self.messages = self.lost = 0
+        self.window = now
+        gap = seq - self.due & 0xFFFFFFFF if self.due is not None else 0
+        if 0 < gap <= MOST_GAP:
+            self.lost += gap
+        if gap <= MOST_GAP or self.due is None or self.due - seq & 0xFFFFFFFF > MOST_GAP:  # not one that was overtaken
+            self.due = seq + 1 & 0xFFFFFFFF if version == 9 else None if n is None else seq + n & 0xFFFFFFFF
+        self.received, self.messages = self.received + (n or 0), self.messages + 1

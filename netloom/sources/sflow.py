@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from netloom.core.arrow import rows_mapped
 from netloom.sources import packet
+from netloom.sources.netflow import numbered
 from netloom.sources.wire import Fields, Short
 
 # Formats of samples and records, kinds of sampled headers.
@@ -17,7 +18,7 @@ RAW, DATA4, DATA6, SWITCH, GATEWAY, INTERFACE = 1, 3, 4, 1001, 1003, 1
 HEAD_ETHERNET, HEAD_IP4, HEAD_IP6 = 1, 11, 12
 MOST_SAMPLES = 4096
 SOURCE = 1  # of a record: sFlow
-SAMPLE = "agent string, sub_agent long, dgram_seq long, kind string, seq long, source_id long, rate long, pool long, drops long, in_if long, out_if long, decoded boolean, src string, dst string, src_port int, dst_port int, proto short, tos short, tcp_flags short, vlan int, encap short, l2_hdr short, l2 boolean, bytes long, src_as long, dst_as long, ifindex long, speed long, in_oct long, out_oct long, in_pkts long, out_pkts long, error string, arrived timestamp, arrival_seq long, crc long"
+SAMPLE = "agent string, sub_agent long, dgram_seq long, kind string, seq long, source_id long, rate long, pool long, drops long, in_if long, out_if long, decoded boolean, src string, dst string, src_port int, dst_port int, proto short, tos short, tcp_flags short, vlan int, encap short, l2_hdr short, l2 boolean, bytes long, src_as long, dst_as long, ifindex long, speed long, in_oct long, out_oct long, in_pkts long, out_pkts long, error string, arrived timestamp, arrival_seq long, nth int, crc long"
 
 
 def interface(form: int, value: int) -> int:
@@ -148,7 +149,7 @@ def samples(datagrams: DataFrame) -> DataFrame:
             got = decode(raw)
         except Exception as e:  # a hostile datagram must not reach further than its row
             got = [{"kind": "error", "error": str(e)[:200]}]
-        return [g | {"arrived": r["arrived"], "arrival_seq": r["arrival_seq"], "crc": zlib.crc32(raw)} for g in got]
+        return [g | {"arrived": r["arrived"], "arrival_seq": r["arrival_seq"], "nth": i, "crc": zlib.crc32(raw)} for i, g in enumerate(got)]
 
     return rows_mapped(datagrams.select("payload", "arrived", "arrival_seq"), each, SAMPLE)
 
@@ -193,7 +194,7 @@ def records(rows: DataFrame) -> DataFrame:
     return f.select(
         F.col("arrived").alias("start"), F.col("arrived").alias("end"), "src", "dst", "src_port", "dst_port", "proto", "tcp_flags", "tos", "bytes", F.lit(1).cast("long").alias("packets"), "l2", "l2_hdr",
         F.col("rate").alias("sampling"), "mult", (F.col("rate") > 0).alias("sampling_known"), "in_if", "out_if", "vlan", "encap", F.lit(255).cast("short").alias("direction"), F.lit(0).cast("short").alias("opener"),
-        "src_as", "dst_as", F.col("agent").alias("exporter"), F.col("sub_agent").alias("domain"), F.col("source_id").alias("observation"), F.lit(SOURCE).cast("short").alias("source"), "arrival_seq", "arrived",
+        "src_as", "dst_as", F.col("agent").alias("exporter"), F.col("sub_agent").alias("domain"), F.col("source_id").alias("observation"), F.lit(SOURCE).cast("short").alias("source"), numbered(F.col("arrival_seq"), F.col("nth")).alias("arrival_seq"), "arrived",
     )
 
 

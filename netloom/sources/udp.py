@@ -14,6 +14,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "payload binary, exporter string, arrived timestamp, arrival_seq long"
+#: Where the numbering of datagrams starts: the seconds since then times 65,536 stay far below 2**46.
+SINCE = int(datetime(2025, 1, 1, tzinfo=timezone.utc).timestamp())
 _ARROW = pa.schema([("payload", pa.binary()), ("exporter", pa.string()), ("arrived", pa.timestamp("us", "UTC")), ("arrival_seq", pa.int64())])
 
 
@@ -21,7 +23,7 @@ def land(sock: socket.socket, folder: str, blocked: frozenset[str] = frozenset()
     """Write what arrives on a bound socket to files in folder, one each `seconds`; those from blocked addresses are dropped
     unread. Runs until the given time (for ever by default); the number of datagrams written."""
     os.makedirs(folder, exist_ok=True)
-    seq, rows = time.time_ns() // 1000, []
+    seq, rows = (int(time.time()) - SINCE) << 16, []  # later than any number of an earlier run
     sock.settimeout(min(seconds, 0.2))
     due, written = time.time() + seconds, 0
     while until is None or time.time() < until:
