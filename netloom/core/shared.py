@@ -9,13 +9,17 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
 _own: dict[str, str] = {}
 _tables: list[str] = []
+_scopes = threading.local()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,14 +45,18 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
     What follows reads the table, so a lost executor costs its tasks only, and a frame used several times is computed
-    once.  The tables live until :func:`release` or the end of the session.  by: lay the rows out by these columns, in as
+    once.  The tables live until the :func:`scope` they were made in ends, or else until :func:`release` or the end of the
+    session.  by: lay the rows out by these columns, in as
     many buckets as shuffles have partitions, so that joins on them don't move the rows again.
     """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path, table = new_path(spark, name), None
     if by:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         table = f"netloom_{path.rsplit('-', 1)[1]}"
+    for inner in getattr(_scopes, "open", [])[-1:]:
+        inner.append((path, table))
+    if by:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
         df.repartition(n, *by).write.option("compression", "zstd").option("path", path).bucketBy(n, *by).saveAsTable(table)
         _tables.append(table)
         return spark.table(table)
@@ -56,6 +64,27 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """What cut() writes inside goes when the block ends; for work that repeats, such as the batches of a stream."""
+    mine: list[tuple[str, str | None]] = []
+    _scopes.open = [*getattr(_scopes, "open", []), mine]
+    try:
+        yield
+    finally:
+        _scopes.open.pop()
+        for path, table in mine:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS {table}")
+                _tables.remove(table)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the shared tables of this application."""
     try:
@@ -63,8 +92,6 @@ def release(spark: SparkSession) -> None:
             spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
         path = _own.pop(spark.sparkContext.applicationId, None)
         if path:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(spark, path)
     except Exception:  # the session may be gone already
         pass

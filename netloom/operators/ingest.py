@@ -116,6 +116,30 @@ def mark_duplicates(rows: DataFrame, window: timedelta | None = None) -> DataFra
     return inside.unionByName(timed.where("not _on").withColumn("dup", F.lit(False))).drop("_on")
 
 
+def mark_against(rows: DataFrame, origins: DataFrame | None, window: timedelta) -> tuple[DataFrame, DataFrame]:
+    """mark_duplicates for a batch of a stream, and the origins after it: the point that first reported each flow and minute.
+
+    origins: the flow's key and origin, from the batches before; None for the first.  Rows that arrived later than window
+    after their minute are compared with nothing (if they have arrived); origins of minutes further back than window before
+    the newest minute that has arrived are forgotten.
+    """
+    point = F.struct(*POINT)
+    late = F.unix_micros("arrived") - F.unix_micros("ts") - MINUTE_US > int(window.total_seconds() * 1e6) if "arrived" in rows.columns else F.lit(False)
+    timed = rows.drop("dup").withColumn("_on", ~F.coalesce(late, F.lit(True)))
+    first = F.first(point).over(Window.partitionBy(*FLOW_KEY).orderBy("arrival_seq"))
+    inside = timed.where("_on").withColumn("_first", first)
+    if origins is not None:
+        inside = inside.join(origins, FLOW_KEY, "left").withColumn("_first", F.coalesce("origin", "_first")).drop("origin")
+    marked = inside.withColumn("dup", ~F.col("_first").eqNullSafe(point))
+    out = marked.drop("_first").unionByName(timed.where("not _on").withColumn("dup", F.lit(False))).drop("_on")
+    own = marked.groupBy(*FLOW_KEY).agg(F.first("_first").alias("origin"))
+    every = own if origins is None else own.unionByName(origins.join(own.select(*FLOW_KEY), FLOW_KEY, "left_anti"))
+    seen = F.least(F.col("ts"), F.col("arrived")) if "arrived" in rows.columns else F.col("ts")
+    newest = rows.agg(F.max(seen).alias("_newest"))
+    kept = every.join(F.broadcast(newest)).where(F.col("ts") >= F.col("_newest") - F.expr(f"interval {int(window.total_seconds())} seconds"))  # one row
+    return out, kept.drop("_newest")
+
+
 def observed_interface() -> Column:
     """The interface a record was sampled on; 0 where it can't be told."""
     source = F.col("observation")

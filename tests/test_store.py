@@ -1,11 +1,13 @@
 """Sealing, retention, purging, rebuilding; and streams against batches."""
 
+import os
 from datetime import datetime, timedelta, timezone
 
 import pytest
 from flows import T0, flow_rows, records
 from pyspark.sql import functions as F
 
+from netloom.core import shared
 from netloom.core.commits import Commits
 from netloom.maintain import store
 from netloom.maintain.store import Store
@@ -204,6 +206,50 @@ def test_stream_of_records_is_the_batch(spark, tmp_path):
     assert sink.read("hot").where("true").count() >= want.count()
 
 
+def test_stream_marks_duplicates_across_batches_and_leaves_no_tables(spark, tmp_path):
+    rows = [dict(start=60 * m, end=60 * m, exporter=e, arrival_seq=2 * m + i) for i, e in enumerate(("10.9.9.1", "10.9.9.2")) for m in range(6)]
+    rows += [dict(start=0, end=0, exporter="10.9.9.2", bytes=1 << 50, arrival_seq=99)]  # not plausible
+    recs = records(spark, rows).withColumn("arrived", F.col("end") + F.expr("interval 1 minute"))
+    sink, shared_tables = streaming.Sink(spark, str(tmp_path / "out")), lambda: sorted(os.listdir(shared.shared_folder(spark).removeprefix("file://")))
+    shared.cut(recs, "there")
+    before = shared_tables()
+    q = streaming.run(landed(spark, tmp_path / "in", recs, 1), sink, str(tmp_path / "cp"), trigger={"availableNow": True})
+    q.awaitTermination(300)
+    got = sink.read("hot").groupBy("exporter", "dup").count().collect()
+    assert {(r.exporter, r.dup): r["count"] for r in got} == {("10.9.9.1", False): 6, ("10.9.9.2", True): 6}
+    assert {(r.exporter, r.what): r.n for r in sink.read("health").groupBy("exporter", "what").agg(F.sum("n").alias("n")).collect()} == {("10.9.9.2", "refused"): 1}
+    assert shared_tables() == before
+
+
+def test_stream_of_sflow(spark, tmp_path):
+    from test_sources import sflow_counter, sflow_datagram, sflow_sample
+
+    now = datetime.now(timezone.utc)
+    raws = [sflow_datagram(sflow_sample(), sflow_counter()), sflow_datagram(sflow_sample(seq=2), seq=2), sflow_datagram(sflow_sample(), sflow_counter()), b"\0\0\0\5broken"]
+    for i, raw in enumerate(raws):
+        spark.createDataFrame([(bytearray(raw), "10.9.9.9", now + timedelta(seconds=i), i)], udp.SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    sink = streaming.Sink(spark, str(tmp_path / "out"))
+    streaming.run_sflow(udp.stream(spark, str(tmp_path / "in"), 1), sink, str(tmp_path / "cp"), trigger={"availableNow": True}).awaitTermination(300)
+    assert sorted((r.wire, r.pkts, r.flows) for r in sink.read("hot").collect()) == [(100_000, 100, 1)] * 2
+    assert sink.read("ifc").count() == 1 and [(r.what, r.n) for r in sink.read("health").collect()] == [("unreadable", 1)]
+
+
+def test_session_raises_counts_by_what_was_lost_and_gives_up_sets():
+    from test_sources import FIELDS, data, message, template
+
+    session, got = netflow.Session(), []
+    session.take(message(template(300, *FIELDS), seq=0), "e", 0.0)
+    for k in range(1, 2400):
+        if k % 20:  # one in twenty is lost
+            got += session.take(message(data(300, *[("10.0.0.1", 100, 1)] * 20), seq=k), "e", k / 10)
+    got += session._rated([], 1e6)
+    late = [r["mult"] for r in got if r["arrived"] > 61]
+    assert all(abs(m / (20 / 19) - 1) < 0.015 for m in late) and late
+    session.take(message(data(301, ("10.0.0.1", 100, 1)), seq=2400), "e", 240.0)
+    out = session.take(message(template(302, *FIELDS), seq=2401), "e", 240.0 + netflow.HOLD_S)
+    assert [r["error"] for r in out if "error" in r] == ["no template 301 came"] and not session.sets
+
+
 def test_stream_duplicates(spark, tmp_path):
     rows = [dict(start=60 * m, end=60 * m, exporter=e, arrival_seq=2 * m + i) for m in range(6) for i, e in enumerate(("10.9.9.1", "10.9.9.2"))]
     flows = flow_rows(spark, rows, dedup=False).withColumn("arrived", F.when(F.minute("ts") == 3, F.col("ts") + F.expr("interval 20 minutes")).otherwise(F.col("ts") + F.expr("interval 1 minute")))
