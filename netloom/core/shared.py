@@ -41,13 +41,23 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def laid_by(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows laid out as cut() lays them by these columns; windows, groups and hash joins on them keep the layout."""
+    return df.repartition(_partitions(df.sparkSession), *by)
+
+
+def cut(df: DataFrame, name: str, by: list[str] | None = None, laid: bool = False) -> DataFrame:
     """Write df once as a Parquet table in the shared folder and read it back.
 
     What follows reads the table, so a lost executor costs its tasks only, and a frame used several times is computed
     once.  The tables live until the :func:`scope` they were made in ends, or else until :func:`release` or the end of the
     session.  by: lay the rows out by these columns, in as
-    many buckets as shuffles have partitions, so that joins on them don't move the rows again.
+    many buckets as shuffles have partitions, so that joins on them don't move the rows again; laid: they lie so already
+    (see laid_by).
     """
     spark = df.sparkSession
     path, table = new_path(spark, name), None
@@ -56,8 +66,8 @@ def cut(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     for inner in getattr(_scopes, "open", [])[-1:]:
         inner.append((path, table))
     if by:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        df.repartition(n, *by).write.option("compression", "zstd").option("path", path).bucketBy(n, *by).saveAsTable(table)
+        n = _partitions(spark)
+        (df if laid else laid_by(df, by)).write.option("compression", "zstd").option("path", path).bucketBy(n, *by).saveAsTable(table)
         _tables.append(table)
         return spark.table(table)
     df.write.option("compression", "zstd").parquet(path)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from netloom.core.arrow import rows_mapped
 from netloom.core.columns import floor_div
-from netloom.core.counters import CHUNK_US, HOUR_US, KEYS, interface_speed, rate, reading_steps
+from netloom.core.counters import CELL, CHUNK_US, HOUR_US, KEYS, interface_speed, rate, reading_steps
 from netloom.core.order_stats import bracketed_medians
 from netloom.core.shared import cut
 
@@ -143,7 +143,7 @@ def reading_checks(
     the hours, and reach the readings through one row per (interface, chunk of time), so no task holds an interface; an
     interface's counts by size are a few hundred, however many readings it has.
     """
-    steps = cut(reading_steps(ifc, skew_us).withColumn("rate", rate(gap_us)).withColumn("slot", floor_div(F.col("us"), HOUR_US)), "rates", [*KEYS, "chunk"])
+    steps = cut(reading_steps(ifc, skew_us).withColumn("rate", rate(gap_us)).withColumn("slot", floor_div(F.col("us"), HOUR_US)), "rates", CELL, laid=True)
     rates = steps.where(F.col("rate").isNotNull())
     chunks = steps.select(*KEYS, "chunk").distinct().withColumn("day", floor_div(F.col("chunk") * CHUNK_US, DAY_US))
     typical = lambda c, accuracy=1_000: F.percentile_approx(c, 0.5, accuracy)

@@ -410,7 +410,7 @@ def losses(sets: DataFrame, counted: DataFrame) -> DataFrame:
     """
     heads = sets.where("error is null").select("exporter", "domain", "version", "seq", "arrived", "arrival_seq").distinct()
     m = heads.join(counted, ["exporter", "domain", "arrival_seq"], "left").fillna(0, ["n"]).withColumn("win", F.floor(F.unix_seconds("arrived") / LOSS_S))
-    w = Window.partitionBy("exporter", "domain", "win").orderBy("seq")
+    w = Window.partitionBy("exporter", "domain", "win").orderBy("seq", "arrival_seq")
     unit = F.when(F.col("version") == 9, F.lit(1)).otherwise(F.col("n"))
     gaps = m.withColumn("gap", F.lead("seq").over(w) - F.col("seq") - unit)
     per = gaps.groupBy("exporter", "domain", "version", "win").agg(F.sum("n").alias("recv"), F.count("*").alias("messages"), F.coalesce(F.sum(F.when(F.col("gap").between(1, MOST_GAP), F.col("gap"))), F.lit(0)).alias("lost"))

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta, timezone
 from random import Random
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,36 @@ def test_spikes_against_loops(spark):
     assert got == want and len(want) > 30
 
 
+def test_extremes_are_those_of_the_test_that_removes_one_after_the_other():
+    rng = np.random.default_rng(3)
+    for n, far in ((3, 0), (10, 1), (40, 4), (300, 12), (300, 0)):
+        sizes = np.sort(np.abs(np.concatenate([rng.normal(size=n - far), rng.normal(30, 5, far)])))
+        last = 0
+        for i in range(1, n // 2 + 1):  # the i-th most extreme, with the scale of what is left
+            left = sizes[: n - i + 1]
+            if left[-1] / (spikes.MAD_TO_SD * left[(len(left) + 1) // 2 - 1]) > spikes.esd_limits(n, np.array([float(i)]), 0.05)[0]:
+                last = i
+        got = spikes.extreme(sizes, np.ones(n, int), 0.05)
+        assert got.sum() == last >= far and got[n - last :].all()
+    # A removed point no longer widens the scale: five of seven far points don't hide each other.
+    assert spikes.extreme(np.array([1.0, 1.1, 1.2, 50.0]), np.array([20, 20, 20, 20]), 0.05).tolist() == [False, False, False, True]
+
+
+def test_planted_seasonal_outliers(spark):
+    """A rate that is usual at noon is extreme at night, and the daily wave itself isn't."""
+    rng, rows, total, planted = Random(6), [], 0, set()
+    for k in range(10 * 288):
+        noon = 11 * 12 <= k % 288 < 14 * 12
+        amount = rng.randint(90, 110) * 1000 * (20 if noon else 1)
+        if k in (700, 1380, 2200):
+            amount, planted = 2_000_000, planted | {int(at(k * 5).timestamp() * 1e6)}
+        total += amount
+        rows.append((k * 5, "10.0.0.1", 1, None, total))
+    found = {r.us for r in spikes.reading_checks(ifc(spark, rows)).where("outlier and residual > 20000").collect()}
+    edges = lambda us: ((us // 10**6 - int(T0.timestamp())) // 300) % 288
+    assert planted <= found and all(u in planted or 11 * 12 - 1 <= edges(u) <= 14 * 12 + 1 for u in found)
+
+
 def test_outliers_leave_the_daily_wave_alone(spark):
     rows, total = [], 0
     for k in range(6 * 288):
