@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from netloom.core.shared import cut
 from netloom.llm import distinct, heavy, leak, packing, percentiles, splitting
 from netloom.queries_data import _ADDRESS, _HOSTS, _READINGS, table
 
@@ -54,6 +55,29 @@ def p8_containers_8192(spark: SparkSession, folder: str) -> DataFrame:
     return packing.containers(table(spark, folder, "documents"), 8_192)
 
 
+def _containers_checked(spark: SparkSession, folder: str, capacity: int) -> DataFrame:
+    """What an assignment must hold, as one row: every document once and whole, no container too full, none needlessly
+    divided, and how many containers there are beside the fewest possible."""
+    placed = cut(packing.containers(table(spark, folder, "documents"), capacity), "placed")
+    per = placed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("pieces"), F.max(F.col("from_token") + F.col("tokens")).alias("to"), F.count_distinct("piece").alias("different"))
+    full = placed.groupBy("container").agg(F.sum("tokens").alias("tokens"))
+    docs = per.agg(
+        F.count("*").alias("documents"), F.count(F.when((F.col("to") != F.col("tokens")) | (F.col("different") != F.col("pieces")), 1)).alias("broken"),
+        F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= capacity), 1)).alias("divided"), F.sum("tokens").alias("tokens"),
+    )
+    fewest = F.ceil(F.col("tokens") / capacity)
+    row = docs.join(full.agg(F.count(F.when(F.col("tokens") > capacity, 1)).alias("over_full"), F.count("*").alias("containers")))  # one row each
+    return row.select("documents", "broken", "divided", "over_full", (F.col("containers") <= fewest * 1.01 + 1).alias("within_1_percent"))
+
+
+def p8_checked(spark: SparkSession, folder: str) -> DataFrame:
+    return _containers_checked(spark, folder, 2_048)
+
+
+def p8_checked_8192(spark: SparkSession, folder: str) -> DataFrame:
+    return _containers_checked(spark, folder, 8_192)
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return leak.shared_words(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
@@ -66,7 +90,19 @@ def p10_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_documents(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_topk, p4_found, p4_daily, p4_weekly, p4_daily_bound, p4_weekly_bound, p7_found, p7_percentiles, p8_containers, p8_containers_8192, p9_found, p9_altered, p10_pieces)}
+def p10_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, gaps, too_large, rebuilt: of each document with text whether its pieces follow one another, keep the limit, and
+    give its text back when what they repeat is left out."""
+    cut_up = splitting.split_documents(table(spark, folder, "documents"), whole=True)
+    own = F.expr("substr(text, CAST(own_char - from_char + 1 AS INT))")
+    per = cut_up.groupBy("doc_id").agg(
+        F.sort_array(F.collect_list(F.struct("piece", "own_char", "to_char", own.alias("own")))).alias("ps"), F.count(F.when(F.col("tokens") > 512, 1)).alias("too_large"),
+    )
+    gaps = F.size(F.filter(F.arrays_zip(F.slice("ps.own_char", 2, 1 << 30).alias("a"), F.slice("ps.to_char", 1, 1 << 30).alias("b")), lambda x: x["a"] != x["b"]))
+    return per.select("doc_id", gaps.cast("long").alias("gaps"), "too_large", F.length(F.array_join("ps.own", "")).cast("long").alias("chars"), F.md5(F.array_join("ps.own", "")).alias("rebuilt"))
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_topk, p4_found, p4_daily, p4_weekly, p4_daily_bound, p4_weekly_bound, p7_found, p7_percentiles, p8_containers, p8_containers_8192, p8_checked, p8_checked_8192, p9_found, p9_altered, p10_pieces, p10_checked)}
 
 _PERIODS = f"""
 periods AS (SELECT DISTINCT {_ADDRESS.format('exporter')} AS exporter, ifindex, epoch_us(period_from) AS f, epoch_us(period_to) AS t FROM report_iface),
@@ -95,4 +131,7 @@ SQL = {
         SELECT DISTINCT p.exporter, p.ifindex, f // 1000000 AS from_s, t // 1000000 AS to_s FROM points p
         JOIN report_iface r ON p.exporter = {_ADDRESS.format('r.exporter')} AND p.ifindex = r.ifindex AND f = epoch_us(period_from) AND t = epoch_us(period_to) WHERE abs(in95 - p95) > 0.1::DOUBLE * p95""",
     "p7_percentiles": f"WITH {_READINGS}, {_PERIODS} SELECT exporter, ifindex, f // 1000000 AS from_s, t // 1000000 AS to_s, n, p50, p90, p95, p99 FROM points",
+    "p8_checked": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS over_full, true AS within_1_percent FROM documents",
+    "p8_checked_8192": "SELECT count(*) AS documents, CAST(0 AS BIGINT) AS broken, CAST(0 AS BIGINT) AS divided, CAST(0 AS BIGINT) AS over_full, true AS within_1_percent FROM documents",
+    "p10_checked": "SELECT doc_id, CAST(0 AS BIGINT) AS gaps, CAST(0 AS BIGINT) AS too_large, length(text) AS chars, md5(text) AS rebuilt FROM documents WHERE text IS NOT NULL AND text <> ''",
 }
