@@ -327,8 +327,12 @@ class Store:
         return {t: sum(fs.getContentSummary(self.commits.path(f"{t}/version={v}/{p}")).getLength() for p, vs in self._parts(t).items() for v in vs) for t in TABLES if self.exists(t)}
 
     def data_start(self) -> datetime | None:
-        """When the stored flow rows begin."""
-        return self.flows().agg(F.min("ts")).first()[0] if self.exists("flows") or self.exists("hot") else None
+        """When the stored flow rows begin: only their first partitions are looked at."""
+        parts = [(_begin(p), t, p, v) for t in ("flows", "hot") for p, v in self._parts(t).items()]
+        first = min((x[0] for x in parts), default=None)
+        if first is None:
+            return None
+        return _union([self._frame(t, {p: v}).select("ts") for at, t, p, v in parts if at == first]).agg(F.min("ts")).first()[0]
 
     def projection(self, days: int = DETAIL_DAYS) -> dict[str, float]:
         """Bytes of detail a day so far, and what the retention of that many days will come to."""

@@ -117,6 +117,15 @@ class Tables:
         rows = self.flows if cond is None else self.flows.where(cond)
         return once(rows, [c for c in rows.columns if c not in ARRIVAL], ("ts",)) if has_arrivals(rows) else rows
 
+    @staticmethod
+    def _parts(df: DataFrame, q: Query) -> DataFrame:
+        """The partitions of a stored table that a query's range touches; tables without partitions as they are."""
+        if "date" in df.columns:
+            df = df.where(F.col("date").between(F.lit(q.start.date()), F.lit(q.end.date())))
+        if "hour" in df.columns and q.start.date() == q.end.date():
+            df = df.where(F.col("hour").between(q.start.hour, q.end.hour))
+        return df
+
     def rollup(self, q: Query, name: str) -> DataFrame | None:
         """The rows of rollup `name` (r_ts, r_host or r_dim) that answer q, or None if the flow rows must.
 
@@ -128,12 +137,12 @@ class Tables:
             return None
         if not v.key:
             whole = getattr(self, name)
-            return None if whole is None else whole.where(q.in_range())
+            return None if whole is None else self._parts(whole, q).where(q.in_range())
         part = getattr(self, f"{name}_if", None)
-        return None if part is None else part.where((F.col("iface") == v.key) & F.col("side").isin(*v.sides) & q.in_range())
+        return None if part is None else self._parts(part, q).where((F.col("iface") == v.key) & F.col("side").isin(*v.sides) & q.in_range())
 
     def detail(self, q: Query) -> DataFrame:
-        return self.rows(q.where())
+        return replace(self, flows=self._parts(self.flows, q)).rows(q.where())
 
     def without_rollups(self) -> Tables:
         return replace(self, r_ts=None, r_host=None, r_dim=None, r_ts_if=None, r_dim_if=None)
