@@ -138,7 +138,7 @@ def busy_days(r_host: DataFrame, r_dim: DataFrame, times: float = 1.5) -> DataFr
     roles and dims; identifiers stay where they are.  Rows with null ts, identifier, role or dim are left out; second
     deliveries and other spellings are the same identifiers and change nothing; empty tables give no rows.
     """
-    judged = cut(judged_days(r_host, r_dim, times), "judged")
+    judged = judged_days(r_host, r_dim, times)  # a few rows per group and day, from the estimates on disk
     names = [r.grp for r in judged.where("open").select("grp").distinct().collect()]
     decided = judged.where("busy").where(~F.col("grp").isin(names)).select("day", "grp")
     if not names:
