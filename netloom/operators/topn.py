@@ -62,7 +62,7 @@ def top_n(tables: Tables, q: Query, dim: str, limit: int = ROWS, by: str = "wire
     Ranked by one of wire, bytes, pkts, flows, peers or avg (average packet size).  Groups are ranked on their sums alone;
     peers, which need distinct pairs, and extras are taken for the listed groups only, from the flow rows.  Ranked by peers,
     distinct pairs are counted for all groups, in two steps, so that no group is held in memory.  Summaries hold no peers:
-    there they are 0, and a ranking by peers ranks by wire.
+    there they are 0, and a ranking by peers ranks by wire.  limit: 1 to MOST_ROWS groups; anything else asks for ROWS.
     """
     if by not in RANKINGS:
         raise ValueError(f"unknown ranking {by!r}")

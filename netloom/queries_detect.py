@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, functions as F
 
 from netloom.detect import findings, rules
+from netloom.operators import overview
 from netloom.plans.query import Query
 from netloom.plans.tables import Tables
 from netloom.queries_flow import _FLOWS, _rollup_sql, SQL as _SQLS, register
@@ -96,9 +97,37 @@ register("findings_merged", _merged, f"""{_W}, g AS (SELECT win, client, server,
     i AS (SELECT *, sum(CASE WHEN p IS NULL OR p < f - 1800 THEN 1 ELSE 0 END) OVER (PARTITION BY client, server, threat ORDER BY win) AS k FROM o)
     SELECT 'threat' AS kind, client AS src, server AS dst, threat AS port, max(CASE dir WHEN 1 THEN 3 WHEN 2 THEN 1 ELSE 2 END) AS sev, min(f) AS first_s, max(l) AS last_s, count(*) AS hits, CAST(max(up) AS BIGINT) AS up FROM i GROUP BY client, server, threat, k""")
 _EVERY = " UNION ALL ".join(f"SELECT win, kind, sev, src, dst, port, first_s, last_s FROM ({_SQLS[f'detect_{k}']})" for k in ("scan", "portscan", "brute", "threat", "fastscan", "beacon", "llm", "flood", "lateral", "exfil", "chain"))
+_FOUND = ("kind", "src", "dst", "port", "sev", "first_s", "last_s", "hits")
+
+
+def _found(found: DataFrame) -> DataFrame:
+    return found.withColumn("first_s", F.unix_seconds("first")).withColumn("last_s", F.unix_seconds("last")).select(*_FOUND)
+
+
+def _ran(t: Tables) -> DataFrame:
+    return findings.merge(None, findings.run(t.rows(), RUN.start, RUN.end, LOW, r_host=t.r_host))
+
+
 register(
-    "findings_run", lambda t: findings.merge(None, findings.run(t.rows(), RUN.start, RUN.end, LOW, r_host=t.r_host)).select("kind", "src", "dst", "port", "sev", F.unix_seconds("first").alias("first_s"), F.unix_seconds("last").alias("last_s"), "hits"),
+    "findings_run", lambda t: _ran(t).select("kind", "src", "dst", "port", "sev", F.unix_seconds("first").alias("first_s"), F.unix_seconds("last").alias("last_s"), "hits"),
     f"""WITH every AS ({_EVERY}), o AS (SELECT *, max(last_s) OVER (PARTITION BY kind, src, dst, port ORDER BY win, first_s, last_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM every),
     i AS (SELECT *, sum(CASE WHEN p IS NULL OR p < first_s - {findings.GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY kind, src, dst, port ORDER BY win, first_s, last_s ROWS UNBOUNDED PRECEDING) AS k FROM o)
     SELECT kind, src, dst, port, max(sev) AS sev, min(first_s) AS first_s, max(last_s) AS last_s, count(*) AS hits FROM i GROUP BY kind, src, dst, port, k""", summaries=True,
 )
+_RUN_SQL = _SQLS["findings_run"]
+register("findings_catch_up", lambda t: _found(findings.caught_up(t.rows(), None, RUN.start, RUN.end, LOW, r_host=t.r_host)[0]), _RUN_SQL, summaries=True)
+_EDGE = datetime(2026, 3, 10, 1, tzinfo=timezone.utc)
+register("findings_select", lambda t: _found(findings.select(_ran(t), RUN.start, _EDGE, limit=100)), f"SELECT * FROM ({_RUN_SQL}) WHERE first_s < {int(_EDGE.timestamp())} ORDER BY sev DESC, last_s DESC, kind, src, dst, port LIMIT 100", summaries=True)
+register("report_findings", lambda t: overview.by_severity(_ran(t)), f"SELECT severity, count(sev) AS n FROM (VALUES (3, 'high'), (2, 'medium'), (1, 'low')) v(s, severity) LEFT JOIN ({_RUN_SQL}) ON s = sev GROUP BY 1", summaries=True)
+
+
+def _closed(t: Tables) -> DataFrame:
+    """Findings of threats after those of one address were marked false and the same windows were looked at again."""
+    seen = findings.packed(rules.threat(_rows(t), LOW))
+    first = findings.merge(None, seen)
+    marked = findings.with_status(first, first.where("src < '10.100.0.3'"), findings.FALSE)
+    return findings.merge(marked, seen).groupBy("status", "src").agg(F.count("*").alias("n"), F.sum("hits").alias("hits"))
+
+
+_MERGED = _SQLS["findings_merged"]
+register("findings_status", _closed, f"SELECT CASE WHEN src < '10.100.0.3' THEN 'false' ELSE 'open' END AS status, src, CASE WHEN src < '10.100.0.3' THEN count(*) ELSE count(DISTINCT (dst, port)) END AS n, CAST(CASE WHEN src < '10.100.0.3' THEN sum(hits) ELSE sum(hits) * 2 END AS BIGINT) AS hits FROM ({_MERGED}) GROUP BY src")

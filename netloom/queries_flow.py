@@ -334,6 +334,11 @@ register("report_head", lambda t: overview.report_head(t, MARCH, NOW).select("wi
         v AS (SELECT n.bucket, coalesce(sum(wire), 0)::DOUBLE * 8 / {STEP} AS value FROM n LEFT JOIN d ON epoch_us(ts) // 1000000 // {STEP} * {STEP} = n.bucket GROUP BY 1)
         SELECT (SELECT CAST(sum(wire) AS BIGINT) FROM d) AS wire, round((SELECT sum(wire)::DOUBLE * 8 / {int(MARCH.span.total_seconds())} FROM d), 3) AS avg_bps, round(max(value), 3) AS peak_bps, round(percentile_disc(0.95) WITHIN GROUP (ORDER BY value), 3) AS p95_bps FROM v""")
 
+_AT = datetime(2026, 3, 10, 1, 0, 30, tzinfo=timezone.utc)
+register("overview_rate", lambda t: overview.current_rate(t, MARCH, _AT), f"""{_detail(Query(datetime(2026, 3, 10, 0, 55), datetime(2026, 3, 10, 1)))} SELECT CAST(coalesce(sum(wire), 0) AS BIGINT) * 8 / 300.0::DOUBLE AS now_bps FROM d""")
+register("series_totals_app", lambda t: series.series_totals(t, MARCH, "app"), f"""{_detail(MARCH)}, g AS (SELECT app, CAST(sum(wire) AS BIGINT) AS w FROM d GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY w DESC, app) AS rn FROM g)
+        SELECT CASE WHEN rn <= 8 THEN app ELSE '__other__' END AS name, CAST(sum(w) AS BIGINT) AS amount FROM n GROUP BY 1""")
+
 # -- summaries from flow rows
 _DIM_SQL = [("app", "app", "true"), ("port", f"concat({_PORT}, chr(9), app)", "true"), ("country", "CASE WHEN dir = 3 THEN '__internal__' ELSE peer_cc END", "true"), ("proto", "CAST(proto AS VARCHAR)", "true"), ("dir", "CAST(dir AS VARCHAR)", "true"), ("exporter", "exporter", "true"), ("segment", "segment", "true"), ("encap", "CAST(encap AS VARCHAR)", "true"), ("asn", _ASN, "peer_asn <> 0")]
 _HOUR = "epoch_us(ts) // 3600000000 * 3600 AS ts_s"

@@ -10,8 +10,8 @@ from netloom import queries_flow
 from netloom.core.shared import new_path
 from netloom.functions import net
 from netloom.maintain import store
-from netloom.operators import ingest, ranges, rollups
-from netloom.plans.tables import clean_flows, once
+from netloom.operators import ingest, interfaces, ranges, rollups
+from netloom.plans.tables import Tables, clean_flows, once
 
 NOW = datetime(2026, 7, 1)
 _RULE = {
@@ -162,3 +162,38 @@ register("store_views", lambda s, d: _epoch(_stored(s, d).read("r_ts_if").drop("
 register("store_rebuild", lambda s, d: _epoch(_rebuilt(s, d)), queries_flow.SQL["rollup_host"])
 register("store_purge_exporter", lambda s, d: _purged(s, d).flows().groupBy("exporter").agg(F.count("*").alias("rows"), F.sum(F.col("dup").cast("long")).alias("dups")), SQL["promote_dup"])
 register("store_purge_summaries", lambda s, d: _epoch(_purged(s, d).read("r_ts").drop("date")), SQL["promote_dup"].replace("SELECT exporter, count(*) AS rows, CAST(sum((dup AND (has OR n > 1))::INT) AS BIGINT) AS dups FROM g GROUP BY 1", f"SELECT epoch_us(ts) // 1000000 AS ts_s, app, {queries_flow._SUMS} FROM g WHERE NOT (dup AND (has OR n > 1)) GROUP BY 1, 2").replace("SELECT exporter, dup, bool_or", "SELECT ts, app, bytes, wire, pkts, flows, dup, bool_or").replace("coalesce(dup, false) AS dup", queries_flow._BLANKS))
+register("store_exporters", lambda s, d: _stored(s, d).exporters().select("exporter", "wire", "rows", F.unix_seconds("first").alias("first_s"), F.unix_seconds("last").alias("last_s")), f"WITH {queries_flow._FLOWS} SELECT exporter, CAST(sum(wire) AS BIGINT) AS wire, count(*) AS rows, min(epoch_us(ts)) // 1000000 AS first_s, max(epoch_us(ts)) // 1000000 AS last_s FROM flows GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200")
+_PURGED = datetime(2026, 3, 10, 0, 40)
+
+
+def _purged_before(spark: SparkSession, folder: str) -> DataFrame:
+    s = _stored(spark, folder, "r_ts")
+    s.purge(_PURGED)
+    return s.read("flows").groupBy(F.lit("flows").alias("table")).agg(F.count("*").alias("rows"), F.sum("wire").alias("wire")).unionByName(s.read("r_ts").groupBy(F.lit("r_ts").alias("table")).agg(F.count("*").alias("rows"), F.sum("wire").alias("wire")))
+
+
+_KEPT_SQL = "epoch_us(ts) >= 1773103200000000"
+register("store_purge", _purged_before, f"""WITH {queries_flow._FLOWS} SELECT 'flows' AS "table", count(*) AS rows, CAST(sum(wire) AS BIGINT) AS wire FROM flows WHERE {_KEPT_SQL} UNION ALL SELECT 'r_ts', count(DISTINCT (ts, app)), CAST(sum(wire) AS BIGINT) FROM flows WHERE NOT dup AND {_KEPT_SQL}""")
+
+
+def _retained(spark: SparkSession, folder: str) -> DataFrame:
+    """A month after the first day, its detail goes and its summaries stay."""
+    s = _stored(spark, folder, "r_ts")
+    s.retain(datetime(2026, 4, 10, 1), detail=30, summary=60)
+    flows = [s.read("flows")] if s.exists("flows") else [s.read("r_ts").where("false").select("ts", "wire")]
+    count = lambda df, n: df.agg(F.lit(n).alias("table"), F.count("*").alias("rows"), F.coalesce(F.sum("wire"), F.lit(0)).alias("wire"))
+    return count(flows[0], "flows").unionByName(count(s.read("r_ts"), "r_ts"))
+
+
+register("store_retain", _retained, f"""WITH {queries_flow._FLOWS} SELECT 'flows' AS "table", count(*) AS rows, CAST(coalesce(sum(wire), 0) AS BIGINT) AS wire FROM flows WHERE epoch_us(ts) >= 1773187200000000 UNION ALL SELECT 'r_ts', count(DISTINCT (ts, app)), CAST(sum(wire) AS BIGINT) FROM flows WHERE NOT dup""")
+register("store_repaired", lambda s, d: store.repaired(clean_flows(s.read.parquet(f"{d}/hot.parquet")).withColumn("bytes", F.when(F.col("sport") % 11 == 0, F.lit(-1).cast("long").bitwiseXOR(F.lit(-(2**63)))).otherwise(F.col("bytes")))).groupBy("exporter").agg(F.sum("bytes").alias("bytes"), F.sum("wire").alias("wire")), f"WITH {queries_flow._FLOWS} SELECT exporter, CAST(sum(CASE WHEN sport % 11 = 0 THEN 0 ELSE bytes END) AS BIGINT) AS bytes, CAST(sum(wire) AS BIGINT) AS wire FROM flows GROUP BY 1")
+
+
+def _csv(spark: SparkSession, folder: str) -> DataFrame:
+    path = new_path(spark, "csv")
+    store.counters_csv(interfaces.interface_hours(Tables(None, ifc=spark.read.parquet(f"{folder}/ifc.parquet")), queries_flow.POLLED), path)
+    read = spark.read.schema("start string, exporter string, ifindex long, in_oct long, out_oct long, in_pkts long, out_pkts long, in_bps long, out_bps long").option("header", "true").csv(path)
+    return read.select(F.unix_seconds(F.to_timestamp("start")).alias("start"), *read.columns[1:7])
+
+
+register("export_csv", _csv, queries_flow.SQL["iface_hours"])

@@ -4,12 +4,14 @@ what must come out of the rows themselves."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from netloom.core.arrow import rows_mapped
+from netloom.core.shared import new_path
 from netloom.functions import net
-from netloom.operators import ingest, ranges
+from netloom.operators import health, ingest, ranges
 from netloom.plans.tables import clean_flows, once
 from netloom.queries_flow import _FLOWS
 from netloom.queries_ingest import _REC, NOW, records
@@ -191,3 +193,36 @@ register("threat_match", _threats, """WITH a AS (SELECT DISTINCT client AS addr,
     x(lo, hi, i, list) AS (VALUES (174325761, 174325761, 0, 'watch'), (172097802, 172097802, 1, 'watch'), (174325760, 174325775, 2, 'ranges'), (3405803776, 3405804031, 3, 'ranges'), (4026531840, 4294967295, 4, 'ranges'), (174325760, 174391295, 5, 'late'), (174325762, 174325762, 6, 'late'))
     SELECT addr, list FROM a JOIN x ON n BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY addr ORDER BY CASE WHEN lo = hi THEN 0 ELSE 1 END, i) = 1""")
 register("blocked_exporters", lambda s, d: files.not_blocked(_flows(s, d), s.createDataFrame([("192.0.2.1",), ("192.0.2.9",)], "addr string")).groupBy("exporter").agg(F.count("*").alias("n")), f"WITH {_R} SELECT exporter, count(*) AS n FROM r WHERE exporter <> '192.0.2.1' GROUP BY 1")
+register("threat_list_sizes", lambda s, d: files.list_sizes(files.threat_list(s, _LISTS)), "SELECT * FROM (VALUES ('watch', 2::BIGINT), ('ranges', 3::BIGINT), ('late', 2::BIGINT)) v(list, entries)")
+
+
+def _asn_file(spark: SparkSession, folder: str) -> DataFrame:
+    """A file of AS ranges, one /16 per supplier, with lines that say nothing."""
+    rows = spark.read.parquet(f"{folder}/supplier.parquet")
+    line = F.expr("concat('10.', s_suppkey % 256, '.0.0\t10.', s_suppkey % 256, '.255.255\t', CASE WHEN s_suppkey % 9 = 0 THEN 0 ELSE 64500 + s_suppkey END, '\t', CASE WHEN s_suppkey % 4 = 0 THEN 'None' ELSE 'DE' END, '\t', s_name)")
+    path = new_path(spark, "asn")
+    rows.select(line.alias("value")).unionByName(spark.createDataFrame([("# no range",), ("x\ty\t5\tDE\tnone",), ("10.0.0.0\t2001:db8::\t5\tDE\tmixed",)], "value string")).write.text(path)
+    return files.asn_ranges(spark, path)
+
+
+register("asn_file", lambda s, d: _asn_file(s, d).select("lo", "hi", "asn", "cc", "org"), """SELECT printf('40a%02x0000', s_suppkey % 256) AS lo, printf('40a%02xffff', s_suppkey % 256) AS hi, 64500 + s_suppkey AS asn, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'DE' END AS cc, s_name AS org FROM supplier WHERE s_suppkey % 9 <> 0""")
+_INVENTORY = "\n".join(f"device 10.66.0.{k} edge {k} room=r{k % 2} {'rack=a_1' if k % 3 else ''}" for k in range(1, 7)) + "\ndevice 10.66.0.99 spare\n# end"
+register("racks", lambda s, d: files.Inventory.parse(_INVENTORY).racks(s, clean_flows(s.read.parquet(f"{d}/hot.parquet")).groupBy("exporter").agg(F.sum("wire").alias("wire"))),
+         f"""WITH {_FLOWS} SELECT concat('r', k % 2) AS room, CASE WHEN k % 3 = 0 THEN '' ELSE 'a 1' END AS rack, concat('10.66.0.', k) AS exporter, concat('edge ', k) AS device, CAST(coalesce(sum(wire), 0) AS BIGINT) AS wire
+    FROM range(1, 7) x(k) LEFT JOIN flows ON exporter = concat('10.66.0.', k) GROUP BY k""")
+
+# -- health: sources made from the flow rows by rule
+_STATE = {"pending": "n % 3", "assumed": "n % 4 = 0", "received": "n", "lost": "n % 5", "drops": "n % 2", "no_template": "n % 7 - 1", "skew_s": "n % 300", "errors": "0"}
+
+
+def _health(spark: SparkSession, folder: str) -> DataFrame:
+    n = clean_flows(spark.read.parquet(f"{folder}/hot.parquet")).groupBy("exporter").agg(F.max("ts").alias("last_seen"), F.count("*").alias("n"))
+    sources = n.select("exporter", "last_seen", *[F.expr(v).alias(k) for k, v in _STATE.items()])
+    return health.source_health(sources, datetime(2026, 3, 10, 2, tzinfo=timezone.utc)).select("exporter", F.array_join("codes", ",").alias("codes"))
+
+
+register("health_codes", _health, f"""WITH {_FLOWS}, n AS (SELECT exporter, max(epoch_us(ts)) // 1000000 AS at_s, count(*) AS n FROM flows GROUP BY 1), x AS (SELECT exporter, at_s, {', '.join(f'{v} AS {k}' for k, v in _STATE.items())} FROM n)
+    SELECT exporter, concat_ws(',', CASE WHEN at_s < {int(datetime(2026, 3, 10, 2, tzinfo=timezone.utc).timestamp())} - 300 THEN 'silent' END, CASE WHEN pending > 0 THEN 'waiting_sampling' END, CASE WHEN assumed THEN 'assumed_unsampled' END, CASE WHEN lost > 0.01 * (received + lost) THEN 'loss' END,
+      CASE WHEN drops > 0 THEN 'agent_drops' END, CASE WHEN no_template > 0 THEN 'no_template' END, CASE WHEN abs(skew_s) > 120 THEN 'clock_skew' END, CASE WHEN errors > 0 THEN 'decode_errors' END) AS codes FROM x""")
+register("metrics_text", lambda s, d: health.metrics_text(clean_flows(s.read.parquet(f"{d}/hot.parquet")).groupBy("exporter").agg(F.sum("wire").cast("double").alias("value")).select(F.lit("wire_total").alias("name"), F.create_map(F.lit("exporter"), F.col("exporter")).alias("labels"), "value")),
+         f"WITH {_FLOWS} SELECT concat('wire_total{{exporter=\"', exporter, '\"}} ', CAST(sum(wire) AS BIGINT)) AS line FROM flows GROUP BY exporter")
