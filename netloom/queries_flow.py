@@ -339,6 +339,8 @@ register("overview_rate", lambda t: overview.current_rate(t, MARCH, _AT), f"""{_
 register("series_totals_app", lambda t: series.series_totals(t, MARCH, "app"), f"""{_detail(MARCH)}, g AS (SELECT app, CAST(sum(wire) AS BIGINT) AS w FROM d GROUP BY 1), n AS (SELECT *, row_number() OVER (ORDER BY w DESC, app) AS rn FROM g)
         SELECT CASE WHEN rn <= 8 THEN app ELSE '__other__' END AS name, CAST(sum(w) AS BIGINT) AS amount FROM n GROUP BY 1""")
 
+register("series_distinct_apps", lambda t: series.distinct_values(t, MARCH, "app"), f"{_detail(MARCH)} SELECT count(DISTINCT app) AS n FROM d")
+
 # -- summaries from flow rows
 _DIM_SQL = [("app", "app", "true"), ("port", f"concat({_PORT}, chr(9), app)", "true"), ("country", "CASE WHEN dir = 3 THEN '__internal__' ELSE peer_cc END", "true"), ("proto", "CAST(proto AS VARCHAR)", "true"), ("dir", "CAST(dir AS VARCHAR)", "true"), ("exporter", "exporter", "true"), ("segment", "segment", "true"), ("encap", "CAST(encap AS VARCHAR)", "true"), ("asn", _ASN, "peer_asn <> 0")]
 _HOUR = "epoch_us(ts) // 3600000000 * 3600 AS ts_s"

@@ -7,6 +7,7 @@ import pytest
 from flows import T0, flow_rows, records
 from pyspark.sql import functions as F
 
+from netloom.detect import findings
 from netloom.functions import net
 from netloom.functions.flow import total, unsigned_sum
 from netloom.operators import ingest, interfaces, overview, paths, ranges, rollups, series, topn, totals
@@ -285,3 +286,18 @@ def test_conditions_reach_the_scan_below_the_search_for_copies(spark, tmp_path):
     assert pushed and all("GreaterThanOrEqual(ts," in x and "LessThan(ts," in x for x in pushed)
     plan = clean_flows(spark.read.parquet(f"{tmp_path}/hot.parquet")).where(q.in_range())._jdf.queryExecution().executedPlan().toString()
     assert all("GreaterThanOrEqual(ts," in x for x in plan.split("\n") if "PushedFilters" in x)
+
+
+def test_report_and_first_page_are_composed(spark):
+    rows = [dict(start=60 * m, end=60 * m, src_port=40000 + m, in_if=1 + m % 2, out_if=3, bytes=1000 * (m + 1)) for m in range(20)]
+    flows = flow_rows(spark, rows)
+    ifc = spark.createDataFrame([], "ts timestamp, exporter string, ifindex long, speed long, in_oct long, out_oct long, in_pkts long, out_pkts long")
+    t, q = Tables(flows, ifc=ifc), Query(T0, T0 + timedelta(hours=1))
+    found = spark.createDataFrame([("scan", "10.0.0.1", "", "22/tcp", 3, T0, T0, 1, "{}", "open"), ("scan", "10.0.0.2", "", "22/tcp", 1, T0 - timedelta(days=9), T0 - timedelta(days=8), 1, "{}", "open")], findings.FINDING)
+    parts = overview.report(t, q, found, now=NOW)
+    assert {r.severity: r.n for r in parts["findings_by_severity"].collect()} == {"high": 1, "medium": 0, "low": 0} and parts["findings"].count() == 1
+    assert parts["head"].first().wire == sum(1000 * (m + 1) + 180 for m in range(20)) and parts["interfaces"].count() == 3 and parts["top_app"].first().key == "HTTPS"
+    one = overview.report(t, q.also(Filter("iface", "10.9.9.9/1")), now=NOW)
+    assert [(r.ifindex, r.in_wire) for r in one["interfaces"].collect()] == [(1, one["head"].first().wire)]
+    page = overview.overview(t, q, T0 + timedelta(minutes=20, seconds=30))
+    assert page["rate"].first().now_bps == sum(1000 * (m + 1) + 180 for m in range(15, 20)) * 8 / 300 and all(f.count() >= 0 for f in page.values())
