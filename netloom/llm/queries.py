@@ -66,7 +66,8 @@ def _containers_checked(spark: SparkSession, folder: str, capacity: int) -> Data
         F.count(F.when((F.col("pieces") > 1) & (F.col("tokens") <= capacity), 1)).alias("divided"), F.sum("tokens").alias("tokens"),
     )
     fewest = F.ceil(F.col("tokens") / capacity)
-    row = docs.join(full.agg(F.count(F.when(F.col("tokens") > capacity, 1)).alias("over_full"), F.count("*").alias("containers")))  # one row each
+    bins = full.agg(F.count(F.when(F.col("tokens") > capacity, 1)).alias("over_full"), F.count("*").alias("containers"))
+    row = docs.withColumn("one", F.lit(1)).join(bins.withColumn("one", F.lit(1)), "one")  # one row each
     return row.select("documents", "broken", "divided", "over_full", (F.col("containers") <= fewest * 1.01 + 1).alias("within_1_percent"))
 
 
