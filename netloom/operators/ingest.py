@@ -135,9 +135,8 @@ def mark_against(rows: DataFrame, origins: DataFrame | None, window: timedelta)
     own = marked.groupBy(*FLOW_KEY).agg(F.first("_first").alias("origin"))
     every = own if origins is None else own.unionByName(origins.join(own.select(*FLOW_KEY), FLOW_KEY, "left_anti"))
     seen = F.least(F.col("ts"), F.col("arrived")) if "arrived" in rows.columns else F.col("ts")
-    newest = rows.agg(F.max(seen).alias("_newest"))
-    kept = every.join(F.broadcast(newest)).where(F.col("ts") >= F.col("_newest") - F.expr(f"interval {int(window.total_seconds())} seconds"))  # one row
-    return out, kept.drop("_newest")
+    newest = rows.agg(F.max(seen)).first()[0]
+    return out, every if newest is None else every.where(F.col("ts") >= F.lit(newest - window))
 
 
 def observed_interface() -> Column:
