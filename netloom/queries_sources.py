@@ -6,7 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from netloom.core.arrow import rows_mapped
 from netloom.core.shared import new_path
@@ -16,6 +16,7 @@ from netloom.plans.tables import clean_flows, once
 from netloom.queries_flow import _FLOWS
 from netloom.queries_ingest import _REC, NOW, records
 from netloom.sources import capture, encode, files, netflow, sflow
+from netloom.sources.wire import dispatch
 
 QUERIES, SQL = {}, {}
 RATE, PER_DATAGRAM = 10, 16
@@ -226,3 +227,19 @@ register("health_codes", _health, f"""WITH {_FLOWS}, n AS (SELECT exporter, max(
       CASE WHEN drops > 0 THEN 'agent_drops' END, CASE WHEN no_template > 0 THEN 'no_template' END, CASE WHEN abs(skew_s) > 120 THEN 'clock_skew' END, CASE WHEN errors > 0 THEN 'decode_errors' END) AS codes FROM x""")
 register("metrics_text", lambda s, d: health.metrics_text(clean_flows(s.read.parquet(f"{d}/hot.parquet")).groupBy("exporter").agg(F.sum("wire").cast("double").alias("value")).select(F.lit("wire_total").alias("name"), F.create_map(F.lit("exporter"), F.col("exporter")).alias("labels"), "value")),
          f"WITH {_FLOWS} SELECT concat('wire_total{{exporter=\"', exporter, '\"}} ', CAST(sum(wire) AS BIGINT)) AS line FROM flows GROUP BY exporter")
+
+
+def _rates(spark: SparkSession, folder: str) -> DataFrame:
+    per = clean_flows(spark.read.parquet(f"{folder}/hot.parquet")).groupBy("exporter", F.unix_seconds("ts").alias("at")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("exporter").orderBy("at")
+    return health.rates(per.select("exporter", "at", F.sum("n").over(w).alias("records"))).select("exporter", "at", F.round("rate", 6).alias("rate"))
+
+
+register("health_rates", _rates, f"""WITH {_FLOWS}, p AS (SELECT exporter, epoch_us(ts) // 1000000 AS at_s, count(*) AS n FROM flows GROUP BY 1, 2),
+    r AS (SELECT exporter, at_s, n::DOUBLE / (at_s - lag(at_s) OVER (PARTITION BY exporter ORDER BY at_s)) AS r FROM p),
+    i AS (SELECT *, row_number() OVER (PARTITION BY exporter ORDER BY at_s) AS i FROM r WHERE r IS NOT NULL)
+    SELECT a.exporter, a.at_s AS "at", round(sum(b.r * CASE WHEN b.i = greatest(1, a.i - 15) THEN 0.4::DOUBLE ** (a.i - b.i) ELSE 0.6::DOUBLE * 0.4::DOUBLE ** (a.i - b.i) END), 6) AS rate
+    FROM i a JOIN i b ON a.exporter = b.exporter AND b.i BETWEEN greatest(1, a.i - 15) AND a.i GROUP BY 1, 2""")
+_STARTS = (b"\0\0\0\5", b"\0\5", b"\0\x09", b"\0\x0a", b"GET /", b"\0")
+register("source_dispatch", lambda s, d: rows_mapped(_flows(s, d).select("id"), lambda r: [{"kind": dispatch(_STARTS[r["id"] % 6])}], "kind string").groupBy("kind").agg(F.count("*").alias("n")),
+         f"WITH {_R} SELECT ['sflow', 'nf5', 'nf9', 'ipfix', '', ''][1 + id % 6] AS kind, count(*) AS n FROM r GROUP BY 1")

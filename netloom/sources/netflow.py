@@ -9,6 +9,7 @@ own.  Sampling rates that exporters declare are versions of the same kind.
 from __future__ import annotations
 
 import struct
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -449,7 +450,9 @@ class Session:
     templates: dict = field(default_factory=dict)  # (version, domain, id) -> spec
     rates: dict = field(default_factory=dict)  # (domain, kind, number) -> rate
     sets: dict = field(default_factory=dict)  # (version, domain, id) -> waiting: (arrived, head, body)
-    waiting: list = field(default_factory=list)  # records without a rate
+    waiting: deque = field(default_factory=deque)  # records without a rate, in order of arrival
+    single: dict = field(default_factory=dict)  # domain -> the only rate declared there or else on the device, as far as asked for
+    news: bool = False  # whether a rate has been declared since the waiting records were last looked at
     totals: dict = field(default_factory=dict)  # flow -> (arrived, bytes, packets), by the last time it was heard of
     clocks: dict = field(default_factory=dict)  # domain -> milliseconds of the device's start
     order: dict = field(default_factory=dict)  # domain -> Losses
@@ -506,7 +509,8 @@ class Session:
                 self.clocks[d] = v["init_ms"]
             if rate := rate_of(v):
                 kind, number = ("sampler", v["sampler"]) if "sampler" in v else ("if", v["scope_if"]) if "scope_if" in v else ("all", 0)
-                self.rates[d, kind, number] = rate
+                if self.rates.get((d, kind, number)) != rate:
+                    self.rates[d, kind, number], self.single, self.news = rate, {}, True
         return out, n
 
     def _grown(self, r: dict) -> dict | None:
@@ -521,25 +525,31 @@ class Session:
 
     def rate(self, r: dict) -> int:
         d = r["domain"]
-        say = [r["rate"], self.rates.get((d, "sampler", r["sampler"]), 0), self.rates.get((d, "if", r["in_if"]), 0), self.rates.get((d, "if", r["out_if"]), 0), self.rates.get((d, "all", 0), 0)]
-        own = {x for (dd, _, _), x in self.rates.items() if dd == d}
-        every = set(self.rates.values())
-        say += [own.pop() if len(own) == 1 else 0, every.pop() if len(every) == 1 else 0]
+        if d not in self.single:
+            own, every = {x for (dd, _, _), x in self.rates.items() if dd == d}, set(self.rates.values())
+            self.single[d] = own.pop() if len(own) == 1 else every.pop() if len(every) == 1 else 0
+        say = (r["rate"], self.rates.get((d, "sampler", r["sampler"])), self.rates.get((d, "if", r["in_if"])), self.rates.get((d, "if", r["out_if"])), self.rates.get((d, "all", 0)), self.single[d])
         return next((x for x in say if x), 0)
 
     def _rated(self, new: list[dict], arrived: float) -> list[dict]:
-        """Records with a rate, raised by what is being lost; those without one when they have waited long enough."""
-        out, wait = [], []
-        for r in [*self.waiting, *new]:
-            rate = self.rate(r)
+        """Records with a rate, raised by what is being lost; those without one when they have waited long enough. Those that
+        wait are looked at again only when a rate has been declared."""
+        out = []
+        if self.news:
+            new, self.waiting, self.news = [*self.waiting, *new], deque(), False
+
+        def give(r: dict, rate: int) -> None:
             raised = self.order[r["domain"]].factor if r["source"] != NF5 and r["domain"] in self.order else 1.0
-            if rate:
-                out.append(r | {"sampling": rate, "mult": rate * raised, "sampling_known": True})
-            elif arrived - r["arrived"] >= HOLD_S or r["source"] == NF5:
-                out.append(r | {"sampling": 1, "mult": raised, "sampling_known": False})
+            out.append(r | {"sampling": rate or 1, "mult": (rate or 1) * raised, "sampling_known": bool(rate)})
+
+        for r in new:
+            rate = self.rate(r)
+            if rate or r["source"] == NF5:
+                give(r, rate)
             else:
-                wait.append(r)
-        self.waiting = wait
+                self.waiting.append(r)
+        while self.waiting and arrived - self.waiting[0]["arrived"] >= HOLD_S:
+            give(self.waiting.popleft(), 0)
         for key, held in list(self.sets.items()):
             gone = [s for s in held if arrived - s[0] >= HOLD_S]
             out += [{"arrived": at, "domain": key[1], "error": f"no template {key[2]} came"} for at, _, _ in gone]
